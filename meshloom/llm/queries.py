@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import bpe, exact_dedup, mixing, sharding
+from meshloom.llm import bpe, exact_dedup, mixing, quality, records, sharding, toxicity
+from meshloom.plans.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MULTILINGUAL_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -18,6 +20,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the counts of the shards are at most one apart."""
     placed = sharding.assign(_documents(spark, sf_dir), n_shards=8)
@@ -42,12 +48,32 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _scored(rows: DataFrame, threshold: float) -> DataFrame:
+    held_out = ~toxicity.in_training(F.col("doc_id"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality.score(_documents(spark, sf_dir), _labels(spark, sf_dir)), 0.3)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return _scored(toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir))), 0.5)
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "records")
+    records.write(_documents(spark, sf_dir), path, TOKENIZER)
+    return records.starts(records.write_index(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), MULTILINGUAL_RANKS)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_mixing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_mixing, op6_quality, op7_toxicity, op8_token_records, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
