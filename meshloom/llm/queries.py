@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import bpe, exact_dedup, mixing, quality, records, sharding, toxicity
+from meshloom.llm import bpe, embedding_dedup, exact_dedup, mixing, quality, records, sharding, toxicity
 from meshloom.plans.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,12 +68,16 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.starts(records.write_index(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), MULTILINGUAL_RANKS)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_mixing, op6_quality, op7_toxicity, op8_token_records, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_mixing, op6_quality, op7_toxicity, op8_token_records, op9_embedding_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
