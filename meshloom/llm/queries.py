@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import bpe, embedding_dedup, exact_dedup, mixing, quality, records, sharding, toxicity
+from meshloom.llm import bpe, embedding_dedup, exact_dedup, mixing, quality, records, sharding, substring_dedup, toxicity
 from meshloom.plans.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir), window=35)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the counts of the shards are at most one apart."""
     placed = sharding.assign(_documents(spark, sf_dir), n_shards=8)
@@ -77,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_mixing, op6_quality, op7_toxicity, op8_token_records, op9_embedding_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_exact_dedup, op5_mixing, op6_quality, op7_toxicity, op8_token_records, op9_embedding_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
