@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import bpe, embedding_dedup, exact_dedup, mixing, quality, records, sharding, substring_dedup, toxicity
+from meshloom.llm import bpe, embedding_dedup, exact_dedup, mixing, ngram_join, quality, records, sharding, substring_dedup, toxicity
 from meshloom.plans.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_documents(spark, sf_dir), n=5)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_documents(spark, sf_dir))
 
@@ -81,7 +85,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_exact_dedup, op5_mixing, op6_quality, op7_toxicity, op8_token_records, op9_embedding_dedup, op10_byte_bpe)}
+    found = (
+        op1_substring_dedup, op2_sharding, op3_ngram_join, op4_exact_dedup, op5_mixing,
+        op6_quality, op7_toxicity, op8_token_records, op9_embedding_dedup, op10_byte_bpe,
+    )
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
