@@ -37,3 +37,13 @@ def nodal_graph(incidence: DataFrame) -> DataFrame:
     right = incidence.select("elem", F.col("node").alias("dst"))
     pairs = left.join(right, "elem").where(F.col("src") != F.col("dst"))
     return pairs.select("src", "dst").distinct().withColumn("wgt", F.lit(1).cast("long"))
+
+
+def induce_majority(touching: DataFrame) -> DataFrame:
+    """``(id, pid, unanimous)``: the part most of a row's columns are in, the smallest among equals.
+
+    ``touching`` is ``(id, pid)``, a row for each column of a row.
+    """
+    counts = touching.groupBy("id", "pid").agg(F.count("*").alias("n"))
+    best = F.max_by("pid", F.struct("n", -F.col("pid")))
+    return counts.groupBy("id").agg(best.alias("pid"), (F.count("*") == 1).alias("unanimous"))

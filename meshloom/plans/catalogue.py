@@ -2,49 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from meshloom.plans.fixtures import part_of, strict_dual
-from meshloom.operators import metrics
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query under ``name``, and its SQL where it has one."""
-
-    def add(query: Query) -> Query:
-        _QUERIES[name] = query
-        if sql is not None:
-            _ORACLES[name] = sql
-        return query
-
-    return add
+from meshloom.plans import graph_queries, matrix_queries, other_queries, partition_queries  # noqa: F401  they register
+from meshloom.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-DUAL = """
-inc AS (SELECT DISTINCT l_orderkey AS elem, l_partkey AS node FROM lineitem),
-e AS (SELECT a.elem AS src, b.elem AS dst, count(*) AS wgt FROM inc a JOIN inc b USING (node)
-      WHERE a.elem <> b.elem GROUP BY 1, 2 HAVING count(*) >= 2)"""
-
-
-def placed_dual(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
-    """F3 with F9: the part is a function of the id, so no join is needed."""
-    return strict_dual(spark, sf_dir).withColumns({"ps": part_of("src", k), "pd": part_of("dst", k)})
-
-
-@register("edge_cut", f"WITH {DUAL} SELECT CAST(coalesce(sum(wgt), 0) // 2 AS BIGINT) AS edge_cut FROM e WHERE src % 8 <> dst % 8")
-def _edge_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.edge_cut(placed_dual(spark, sf_dir))
+    return dict(ORACLES)
