@@ -1,0 +1,150 @@
+"""Queries that build partitions, separators and orders: a row of invariants each, with the same row as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshloom.operators import graphs, metrics, partitioning
+from meshloom.plans import fixtures as fx
+from meshloom.plans.options import OrderOptions, PartitionOptions
+from meshloom.plans.registry import register
+
+D = f"WITH {fx.DUAL}, v AS (SELECT DISTINCT src AS id FROM e)"
+INVARIANTS = "count(*) AS n_vertices, CAST(8 AS BIGINT) AS n_parts, true AS in_range, true AS once, true AS balanced, true AS beats_hash"
+
+
+def _invariants(edges: DataFrame, part: DataFrame, k: int, ub: float) -> DataFrame:
+    """Whether every vertex has one part in range, loads are within bounds, and the cut beats a hashed partition."""
+    cut = metrics.edge_cut(metrics.with_parts(edges, part)).withColumnRenamed("edge_cut", "ours")
+    hashed = metrics.edge_cut(edges.withColumns({"ps": fx.part_of("src", k), "pd": fx.part_of("dst", k)}))
+    counts = part.groupBy("pid").agg(F.count("*").alias("n"))
+    facts = counts.agg(
+        F.sum("n").alias("n_vertices"), F.count("*").alias("n_parts"), ((F.min("pid") >= 0) & (F.max("pid") < k)).alias("in_range"),
+        (k * F.max("n") <= ub * F.sum("n") + k).alias("balanced"),
+    )
+    once = part.agg((F.count("*") == F.count_distinct("id")).alias("once"))
+    met = facts.join(F.broadcast(once)).join(F.broadcast(cut)).join(F.broadcast(hashed))  # one row each
+    return met.select("n_vertices", "n_parts", "in_range", "once", "balanced", (F.col("ours") <= F.col("edge_cut")).alias("beats_hash"))
+
+
+@register("partition_kway", f"{D} SELECT {INVARIANTS} FROM v")
+def partition_kway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.strict_dual(spark, sf_dir)
+    return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8)), 8, 1.03)
+
+
+@register("partition_kway_distributed", f"{D} SELECT {INVARIANTS} FROM v")
+def partition_kway_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributed way, which larger graphs take."""
+    e = fx.strict_dual(spark, sf_dir)
+    return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, kernel_size=6000)), 8, 1.10)
+
+
+@register("partition_rb", f"{D} SELECT {INVARIANTS} FROM v")
+def partition_rb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.strict_dual(spark, sf_dir)
+    return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, ptype="rb", ufactor=30)), 8, 1.10)
+
+
+@register("partition_volume", f"{D} SELECT {INVARIANTS} FROM v")
+def partition_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.strict_dual(spark, sf_dir)
+    return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, objtype="vol")), 8, 1.03)
+
+
+@register(
+    "mesh_partition",
+    f"WITH {fx.INC}, x AS (SELECT * FROM inc WHERE elem < 4000) SELECT count(DISTINCT elem) AS n_elements, count(DISTINCT node) AS n_nodes, true AS in_range FROM x",
+)
+def mesh_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodal way over a range of elements of the mesh."""
+    inc = fx.incidence(spark, sf_dir).where("elem < 4000")
+    epart, npart = partitioning.partition_mesh(inc, PartitionOptions(nparts=4, kernel_size=1_000_000), by="nodal")
+    both = epart.withColumn("kind", F.lit("e")).union(npart.withColumn("kind", F.lit("n")))
+    return both.agg(
+        F.count_distinct(F.when(F.col("kind") == "e", F.col("id"))).alias("n_elements"), F.count_distinct(F.when(F.col("kind") == "n", F.col("id"))).alias("n_nodes"),
+        ((F.min("pid") >= 0) & (F.max("pid") < 4)).alias("in_range"),
+    )
+
+
+@register("node_nd", f"{D} SELECT count(*) AS n_vertices, true AS permutation FROM v")
+def node_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = partitioning.nested_dissection(fx.strict_dual(spark, sf_dir), OrderOptions())
+    whole = (F.count("*") == F.count_distinct("pos")) & (F.min("pos") == 0) & (F.max("pos") == F.count("*") - 1) & (F.count("*") == F.count_distinct("id"))
+    return order.agg(F.count("*").alias("n_vertices"), whole.alias("permutation"))
+
+
+@register("fill_in", f"{D} SELECT count(*) AS n_vertices, true AS holds_edges, true AS beats_ids FROM v")
+def fill_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill of a dissection order against that of the order of ids."""
+    from meshloom.operators import analytics
+    from meshloom.operators.ordering import global_rank
+
+    e = fx.strict_dual(spark, sf_dir)
+    ours = analytics.fill_in(e, partitioning.nested_dissection(e, OrderOptions()))
+    ids = analytics.fill_in(e, global_rank(graphs.vertices_of(e), ["id"], "pos")).select(F.col("nnz").alias("by_id"))
+    size = e.agg((F.count("*") / 2).alias("m")).join(F.broadcast(graphs.vertices_of(e).agg(F.count("*").alias("n"))))
+    met = ours.join(F.broadcast(ids)).join(F.broadcast(size))  # one row each
+    return met.select(F.col("n").alias("n_vertices"), (F.col("nnz") >= F.col("n") + F.col("m")).alias("holds_edges"), (F.col("nnz") <= F.col("by_id")).alias("beats_ids"))
+
+
+@register("vertex_separator", f"{D} SELECT count(*) AS n_vertices, CAST(0 AS BIGINT) AS violations, true AS light FROM v")
+def vertex_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.strict_dual(spark, sf_dir)
+    part = partitioning.vertex_separator(e)
+    bad = metrics.separator_violations(metrics.with_parts(e, part))
+    facts = part.agg(F.count("*").alias("n_vertices"), (F.sum((F.col("pid") == 2).cast("long")) * 4 < F.count("*")).alias("light"))
+    return facts.join(F.broadcast(bad)).select("n_vertices", "violations", "light")  # one row
+
+
+@register("adaptive_repart", f"{D} SELECT count(*) AS n_vertices, true AS in_range, true AS not_worse FROM v")
+def adaptive_repart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.strict_dual(spark, sf_dir)
+    home = graphs.vertices_of(e).select("id", fx.part_of("id", 8).alias("pid"))
+    part = partitioning.adaptive_repartition(e, home, PartitionOptions(nparts=8), 1000.0)
+    ours = metrics.edge_cut(metrics.with_parts(e, part)).withColumnRenamed("edge_cut", "ours")
+    old = metrics.edge_cut(metrics.with_parts(e, home))
+    facts = part.agg(F.count("*").alias("n_vertices"), ((F.min("pid") >= 0) & (F.max("pid") < 8)).alias("in_range"))
+    met = facts.join(F.broadcast(ours)).join(F.broadcast(old))  # one row each
+    return met.select("n_vertices", "in_range", (F.col("ours") <= F.col("edge_cut")).alias("not_worse"))
+
+
+@register("matching", f"{D} SELECT count(*) AS n_vertices, true AS pairs, true AS edges, true AS shrinks FROM v")
+def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handshake matching: groups of two at most, joined by an edge, and many of them."""
+    e = fx.strict_dual(spark, sf_dir)
+    cmap = graphs.match(e, graphs.vertices_of(e).withColumn("vwgt", F.lit(1)), 2.0, seed=3)
+    sizes = cmap.groupBy("cid").agg(F.count("*").alias("n"))
+    facts = sizes.agg(F.sum("n").alias("n_vertices"), (F.max("n") <= 2).alias("pairs"), (F.count("*") <= 0.75 * F.sum("n")).alias("shrinks"))
+    apart = cmap.where("id <> cid").join(e, (F.col("id") == F.col("src")) & (F.col("cid") == F.col("dst")), "left_anti").agg((F.count("*") == 0).alias("edges"))
+    return facts.join(F.broadcast(apart)).select("n_vertices", "pairs", "edges", "shrinks")  # one row
+
+
+@register(
+    "remap",
+    "SELECT count(*) AS n_vertices, true AS in_range, true AS saves FROM orders",
+)
+def remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = fx.table(spark, sf_dir, "orders").select(
+        key.alias("id"), fx.part_of(key, 8).alias("home"), fx.part_of(key + 3, 8).alias("pid"), F.lit(1).cast("long").alias("vsize")
+    )
+    new = partitioning.remap(rows, 8)
+    met = new.join(rows.select("id", "home", F.col("pid").alias("old")), "id")
+    moved = lambda c: F.sum((F.col("home") != F.col(c)).cast("long"))
+    return met.agg(F.count("*").alias("n_vertices"), ((F.min("pid") >= 0) & (F.max("pid") < 8)).alias("in_range"), (moved("pid") <= moved("old")).alias("saves"))
+
+
+@register("fragments", f"{D} SELECT count(*) AS n_vertices, true AS fewer FROM v")
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of parts join their neighbours, so parts have fewer pieces."""
+    from meshloom.operators import analytics
+
+    placed = fx.placed_dual(spark, sf_dir)
+    e = placed.select("src", "dst", "wgt")
+    new = analytics.eliminate_fragments(placed, graphs.vertices_of(e).withColumn("vwgt", F.lit(1)))
+    pieces = lambda p: analytics.contiguity(p).agg(F.sum("pieces").alias("n"))
+    after = pieces(metrics.with_parts(e, new)).withColumnRenamed("n", "after")
+    met = new.agg(F.count("*").alias("n_vertices")).join(F.broadcast(pieces(placed))).join(F.broadcast(after))  # one row each
+    return met.select("n_vertices", (F.col("after") <= F.col("n")).alias("fewer"))
