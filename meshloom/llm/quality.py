@@ -194,7 +194,7 @@ def training_rows(featured: DataFrame, labels: DataFrame, label: str, limit: int
     chosen = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     chosen = featured.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # limit rows of two numbers
     found = featured.join(F.broadcast(chosen), "doc_id").select("x", "y").limit(2 * limit).toPandas()
-    x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), -1)
+    x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), len(FEATURES))
     return x, (found["y"] > 0).to_numpy(dtype=float)
 
 
@@ -206,7 +206,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
     return featured.mapInArrow(work, schema)
