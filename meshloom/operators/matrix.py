@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _OTHER = {"row": "col", "col": "row"}
-VAL = F.col("val")
+
+
+def _val() -> Column:
+    return F.col("val")
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -23,7 +26,7 @@ def sums(m: DataFrame, what: str = "row") -> DataFrame:
 
 
 def squared_norms(m: DataFrame, what: str = "row") -> DataFrame:
-    return m.groupBy(what).agg(F.sum(VAL * VAL).alias("sqnorm"))
+    return m.groupBy(what).agg(F.sum(_val() * _val()).alias("sqnorm"))
 
 
 def _with(m: DataFrame, what: str, **stats: Column) -> DataFrame:
@@ -33,20 +36,23 @@ def _with(m: DataFrame, what: str, **stats: Column) -> DataFrame:
 
 def normalise(m: DataFrame, what: str = "row", norm: int = 2) -> DataFrame:
     """Divide by the 1- or 2-norm of the row or column; those with a sum of zero or less stay."""
-    met = _with(m, what, _s=F.sum(VAL * VAL) if norm == 2 else F.sum("val"))
+    met = _with(m, what, _s=F.sum(_val() * _val()) if norm == 2 else F.sum("val"))
     size = F.sqrt("_s") if norm == 2 else F.col("_s")
-    return met.select("row", "col", F.when(F.col("_s") > 0, VAL / size).otherwise(VAL).alias("val"))
+    return met.select("row", "col", F.when(F.col("_s") > 0, _val() / size).otherwise(_val()).alias("val"))
 
 
 def _power(p: float) -> Column:
-    return F.when(VAL != 0, F.lit(0.1) + F.signum("val") * F.pow(F.abs("val"), F.lit(p))).otherwise(VAL)
+    return F.when(_val() != 0, F.lit(0.1) + F.signum("val") * F.pow(F.abs("val"), F.lit(p))).otherwise(_val())
 
 
-#: Scalings of single entries.
-ENTRY_SCALES = {
-    "sqrt": _power(0.5), "pow25": _power(0.25), "pow65": _power(0.65), "pow75": _power(0.75), "pow85": _power(0.85),
-    "log": F.when(VAL != 0, F.lit(1.0) + F.signum("val") * F.log2(F.abs("val"))).otherwise(VAL),
-}
+def _entry_scale(kind: str) -> Column | None:
+    """Scalings of single entries."""
+    powers = {"sqrt": 0.5, "pow25": 0.25, "pow65": 0.65, "pow75": 0.75, "pow85": 0.85}
+    if kind in powers:
+        return _power(powers[kind])
+    if kind == "log":
+        return F.when(_val() != 0, F.lit(1.0) + F.signum("val") * F.log2(F.abs("val"))).otherwise(_val())
+    return None
 
 
 def scale(m: DataFrame, kind: str, n_rows: int | None = None) -> DataFrame:
@@ -54,22 +60,22 @@ def scale(m: DataFrame, kind: str, n_rows: int | None = None) -> DataFrame:
 
     The inverse document frequencies count ``n_rows`` rows, or those that occur.
     """
-    if kind in ENTRY_SCALES:
-        return m.select("row", "col", ENTRY_SCALES[kind].alias("val"))
+    if (entry := _entry_scale(kind)) is not None:
+        return m.select("row", "col", entry.alias("val"))
     if kind in ("maxtf", "maxtf2"):
         floor, share = (0.5, 0.5) if kind == "maxtf" else (0.1, 0.9)
         met = _with(m, "row", _m=F.max(F.abs("val")))
-        return met.select("row", "col", (F.lit(floor) + share * VAL / F.col("_m")).alias("val"))
+        return met.select("row", "col", (F.lit(floor) + share * _val() / F.col("_m")).alias("val"))
     counts = m.groupBy("col").agg(F.count("*").alias("_df"))
     rows = F.lit(n_rows).cast("long") if n_rows is not None else None
     facts = m.agg(F.count_distinct("row").alias("_rows")) if n_rows is None else m.limit(1).select(rows.alias("_rows"))
     if kind == "idf":
         met = m.join(counts, "col").join(F.broadcast(facts))  # one row
-        return met.select("row", "col", (VAL * F.ln(F.col("_rows") / F.col("_df"))).alias("val"))
+        return met.select("row", "col", (_val() * F.ln(F.col("_rows") / F.col("_df"))).alias("val"))
     if kind == "idf2":
         base = counts.agg(F.greatest(F.lit(10), F.floor(0.5 * F.sum("_df") / F.count("*"))).cast("long").alias("_bg"))
         met = m.join(counts, "col").join(F.broadcast(facts)).join(F.broadcast(base))  # one row each
-        return met.select("row", "col", (VAL * F.ln((F.col("_rows") + 2 * F.col("_bg")) / (F.col("_bg") + F.col("_df")))).alias("val"))
+        return met.select("row", "col", (_val() * F.ln((F.col("_rows") + 2 * F.col("_bg")) / (F.col("_bg") + F.col("_df")))).alias("val"))
     raise ValueError(f"unknown scaling {kind!r}")
 
 
@@ -83,7 +89,7 @@ def low_filter(m: DataFrame, what: str, norm: int, fraction: float) -> DataFrame
 
     Equal values are taken in order of their ids.
     """
-    size = VAL * VAL if norm == 2 else F.abs("val")
+    size = _val() * _val() if norm == 2 else F.abs("val")
     by = Window.partitionBy(what).orderBy(F.desc("_size"), _OTHER[what])
     sized = m.withColumn("_size", size)
     before = F.coalesce(F.sum("_size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -94,12 +100,12 @@ def low_filter(m: DataFrame, what: str, norm: int, fraction: float) -> DataFrame
 def topk_plus(m: DataFrame, what: str, k: int, keep: float) -> DataFrame:
     """Keep each row's (or column's) ``k`` largest entries and any other of at least ``keep``."""
     nth = F.row_number().over(Window.partitionBy(what).orderBy(F.desc("val"), _OTHER[what]))
-    return m.withColumn("_nth", nth).where((F.col("_nth") <= k) | (VAL >= keep)).select("row", "col", "val")
+    return m.withColumn("_nth", nth).where((F.col("_nth") <= k) | (_val() >= keep)).select("row", "col", "val")
 
 
 def zscore_filter(m: DataFrame, z: float) -> DataFrame:
     """Keep entries above ``z`` over the number of entries in their row."""
-    return _with(m, "row", _n=F.count("*")).where(VAL > z / F.col("_n")).select("row", "col", "val")
+    return _with(m, "row", _n=F.count("*")).where(_val() > z / F.col("_n")).select("row", "col", "val")
 
 
 def compact_columns(m: DataFrame) -> DataFrame:
@@ -151,7 +157,7 @@ def shuffle(m: DataFrame, what: str = "both", seed: int = 0, symmetric: bool = F
 
 def similarity(m: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     """``(i, j, sim)`` of ``pairs (i, j)`` of rows: ``cos``, ``jac``, ``min`` or ``amin``, over whole rows."""
-    stats = m.groupBy("row").agg(F.sum("val").alias("s"), F.sum(VAL * VAL).alias("q"))
+    stats = m.groupBy("row").agg(F.sum("val").alias("s"), F.sum(_val() * _val()).alias("q"))
     side = lambda x: stats.select(F.col("row").alias(x), F.col("s").alias(f"s{x}"), F.col("q").alias(f"q{x}"))
     left = pairs.join(m.select(F.col("row").alias("i"), "col", F.col("val").alias("vi")), "i")
     met = left.join(m.select(F.col("row").alias("j"), "col", F.col("val").alias("vj")), ["j", "col"])
@@ -173,9 +179,9 @@ def similar_rows(m: DataFrame, query: DataFrame, kind: str = "cos", top: int = 1
     Queries meet rows through the columns they share; partial sums come before the shuffle.
     """
     q = query.select("qid", "col", F.col("val").alias("qv"))
-    shared = q.join(m, "col").groupBy("qid", "row").agg(F.sum(F.col("qv") * VAL).alias("dot"), F.sum(F.least("qv", "val")).alias("low"))
-    qs = query.groupBy("qid").agg(F.sum("val").alias("qs"), F.sum(VAL * VAL).alias("qq"))
-    rs = m.groupBy("row").agg(F.sum("val").alias("rs"), F.sum(VAL * VAL).alias("rq"))
+    shared = q.join(m, "col").groupBy("qid", "row").agg(F.sum(F.col("qv") * _val()).alias("dot"), F.sum(F.least("qv", "val")).alias("low"))
+    qs = query.groupBy("qid").agg(F.sum("val").alias("qs"), F.sum(_val() * _val()).alias("qq"))
+    rs = m.groupBy("row").agg(F.sum("val").alias("rs"), F.sum(_val() * _val()).alias("rq"))
     met = shared.join(qs, "qid").join(rs, "row")
     value = {
         "cos": F.col("dot") / F.sqrt(F.col("qq") * F.col("rq")),

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CROSSES = F.col("ps") != F.col("pd")
+
+def crosses() -> Column:
+    """Whether an edge is between two parts."""
+    return F.col("ps") != F.col("pd")
 
 
 def with_parts(edges: DataFrame, part: DataFrame) -> DataFrame:
@@ -25,12 +28,12 @@ def _half(total: Column) -> Column:
 
 def edge_cut(placed: DataFrame) -> DataFrame:
     """Total weight of the edges between parts; both directions are there, so half of the sum."""
-    return placed.agg(_half(F.sum(F.when(CROSSES, F.col("wgt")).otherwise(0))).alias("edge_cut"))
+    return placed.agg(_half(F.sum(F.when(crosses(), F.col("wgt")).otherwise(0))).alias("edge_cut"))
 
 
 def part_cuts(placed: DataFrame) -> DataFrame:
     """``(pid, cut)``: the outgoing weight of each part that has any edge."""
-    return placed.groupBy(F.col("ps").alias("pid")).agg(F.sum(F.when(CROSSES, F.col("wgt")).otherwise(0)).alias("cut"))
+    return placed.groupBy(F.col("ps").alias("pid")).agg(F.sum(F.when(crosses(), F.col("wgt")).otherwise(0)).alias("cut"))
 
 
 def max_part_cut(placed: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def max_part_cut(placed: DataFrame) -> DataFrame:
 
 def comm_volume(placed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Sum over vertices of their size (1 without ``sizes (id, vsize)``) times the other parts they touch."""
-    touched = placed.where(CROSSES).groupBy("src").agg(F.count_distinct("pd").alias("n"))
+    touched = placed.where(crosses()).groupBy("src").agg(F.count_distinct("pd").alias("n"))
     if sizes is not None:
         touched = touched.join(sizes.select(F.col("id").alias("src"), "vsize"), "src").select((F.col("n") * F.col("vsize")).alias("n"))
     return touched.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("comm_volume"))
@@ -47,30 +50,30 @@ def comm_volume(placed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 
 def part_volumes(placed: DataFrame) -> DataFrame:
     """``(pid, volume)``: what each part sends."""
-    touched = placed.where(CROSSES).groupBy("src", "ps").agg(F.count_distinct("pd").alias("n"))
+    touched = placed.where(crosses()).groupBy("src", "ps").agg(F.count_distinct("pd").alias("n"))
     return touched.groupBy(F.col("ps").alias("pid")).agg(F.sum("n").alias("volume"))
 
 
 def subdomain_graph(placed: DataFrame) -> DataFrame:
     """``(ps, pd, wgt)``: weights between parts."""
-    return placed.where(CROSSES).groupBy("ps", "pd").agg(F.sum("wgt").alias("wgt"))
+    return placed.where(crosses()).groupBy("ps", "pd").agg(F.sum("wgt").alias("wgt"))
 
 
 def subdomain_laplacian(placed: DataFrame) -> DataFrame:
     """``(row, col, val)``: the number of neighbours on the diagonal, -1 for each neighbour."""
-    pairs = placed.where(CROSSES).select("ps", "pd").distinct()
+    pairs = placed.where(crosses()).select("ps", "pd").distinct()
     off = pairs.select(F.col("ps").alias("row"), F.col("pd").alias("col"), F.lit(-1.0).alias("val"))
     return off.union(pairs.groupBy("ps").agg(F.count("*").cast("double").alias("val")).select("ps", F.col("ps").alias("col"), "val"))
 
 
 def subdomain_degree_stats(placed: DataFrame) -> DataFrame:
-    found = placed.where(CROSSES).groupBy("ps").agg(F.count_distinct("pd").alias("d"))
+    found = placed.where(crosses()).groupBy("ps").agg(F.count_distinct("pd").alias("d"))
     return found.agg(F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), F.round(F.avg("d"), 6).alias("avg_degree"))
 
 
 def interface_stats(placed: DataFrame, k: int) -> DataFrame:
     """By kind (neighbour parts, outgoing weight, interface vertices): least, largest, mean, and largest over mean."""
-    vertices = placed.where(CROSSES).groupBy("ps", "src").agg(F.sum("wgt").alias("cut"), F.collect_set("pd").alias("to"))
+    vertices = placed.where(crosses()).groupBy("ps", "src").agg(F.sum("wgt").alias("cut"), F.collect_set("pd").alias("to"))
     parts = vertices.groupBy("ps").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("to")))).cast("long").alias("neighbours"),
         F.sum("cut").alias("cut"), F.count("*").alias("interface"),
@@ -117,15 +120,15 @@ def imbalance_excess(vertices: DataFrame, targets: DataFrame, ub: list[float]) -
 def kway_degrees(placed: DataFrame) -> DataFrame:
     """``(id, pid, internal, external, parts)``: weight inside and outside a vertex's part, and parts it touches."""
     return placed.groupBy(F.col("src").alias("id"), F.col("ps").alias("pid")).agg(
-        F.sum(F.when(CROSSES, 0).otherwise(F.col("wgt"))).alias("internal"),
-        F.sum(F.when(CROSSES, F.col("wgt")).otherwise(0)).alias("external"),
-        F.count_distinct(F.when(CROSSES, F.col("pd"))).alias("parts"),
+        F.sum(F.when(crosses(), 0).otherwise(F.col("wgt"))).alias("internal"),
+        F.sum(F.when(crosses(), F.col("wgt")).otherwise(0)).alias("external"),
+        F.count_distinct(F.when(crosses(), F.col("pd"))).alias("parts"),
     )
 
 
 def kway_links(placed: DataFrame) -> DataFrame:
     """``(id, pid, to, wgt)``: weight from a vertex to each other part."""
-    return placed.where(CROSSES).groupBy(F.col("src").alias("id"), F.col("ps").alias("pid"), F.col("pd").alias("to")).agg(F.sum("wgt").alias("wgt"))
+    return placed.where(crosses()).groupBy(F.col("src").alias("id"), F.col("ps").alias("pid"), F.col("pd").alias("to")).agg(F.sum("wgt").alias("wgt"))
 
 
 def boundary(placed: DataFrame, mode: str = "refine") -> DataFrame:
@@ -143,7 +146,7 @@ def separator_degrees(placed: DataFrame, weights: DataFrame) -> DataFrame:
 
 def separator_from_cut(placed: DataFrame) -> DataFrame:
     """``(id, pid)``: every vertex with an edge across becomes part 2."""
-    crossing = F.max(CROSSES)
+    crossing = F.max(crosses())
     return placed.groupBy(F.col("src").alias("id"), "ps").agg(crossing.alias("c")).select("id", F.when(F.col("c"), 2).otherwise(F.col("ps")).cast("int").alias("pid"))
 
 
@@ -166,8 +169,8 @@ def volume_gains(placed: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     """
     size = placed.select(F.col("src").alias("id")).distinct().withColumn("vsize", F.lit(1)) if sizes is None else sizes
     per = placed.groupBy("src", "pd").agg(F.count("*").alias("n"))  # neighbours of u by part
-    moves = placed.where(CROSSES).select(F.col("src").alias("id"), F.col("ps").alias("from"), F.col("pd").alias("to")).distinct()
-    inside = placed.groupBy(F.col("src").alias("id")).agg(F.max((~CROSSES).cast("int")).alias("home"))
+    moves = placed.where(crosses()).select(F.col("src").alias("id"), F.col("ps").alias("from"), F.col("pd").alias("to")).distinct()
+    inside = placed.groupBy(F.col("src").alias("id")).agg(F.max((~crosses()).cast("int")).alias("home"))
     own = moves.join(inside, "id").join(size.select("id", "vsize"), "id").select("id", "from", "to", (F.col("vsize") * (1 - F.col("home"))).alias("gain"))
     met = moves.join(placed.select(F.col("src").alias("id"), F.col("dst").alias("u"), F.col("pd").alias("pu")), "id")
     met = met.join(per.select(F.col("src").alias("u"), F.col("pd").alias("from"), F.col("n").alias("n_from")), ["u", "from"])
