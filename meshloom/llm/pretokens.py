@@ -2,9 +2,11 @@
 
 Byte-level BPE never merges over the start of a pre-token, and a space between
 two characters that are no white space always starts one.  So texts are cut at
-such spaces, and a task encodes each distinct piece once.  Texts in which some
-space is followed by white space, or that end in a space, are rare: there a run
-of white space is cut by what follows it, and the text is encoded as one piece.
+such spaces, and a task encodes each distinct piece once; punctuation after a
+letter or digit starts a pre-token too and is cut from pieces that are new.
+Texts in which some space is followed by white space, or that end in a space,
+are rare: there a run of white space is cut by what follows it, and the text is
+encoded as one piece.
 """
 
 from __future__ import annotations
@@ -12,20 +14,31 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Distinct pieces that a task keeps the ids of; then it starts afresh.
+#: Distinct pieces that a task keeps the ids of in a generation; it has two.
 KEPT = 400_000
 #: Longer pieces are not kept.
 LONGEST = 64
 _odd_space = re.compile(r" (?:\s|\Z)").search
+_lines = re.compile(r"\S+(?:\n\S+)+\Z").match
+_tail = ".,;:!?%$&*#|)\"'"
 
 
 class PieceEncoder:
-    """``encode(text)`` joins the encodings of pieces, which ``encode_many`` makes for a list of texts."""
+    """``encode(text)`` joins the encodings of pieces, which ``encode_many`` makes for a list of texts.
+
+    A line feed between characters that are no white space is a pre-token, too, so pieces with some
+    are joined from lines; later lines, like the first piece of a text, have no space before them.
+    Pieces are kept in two generations: a full one becomes the old one, from which pieces that
+    occur again come back.
+    """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], kept: int = KEPT) -> None:
         self.encode_many = encode_many
         self.most = kept
         self.kept: dict[str, bytes] = {}  # of a piece without the space before it
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.bare: dict[str, bytes] = {}  # of a piece with no space before it
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -34,12 +47,68 @@ class PieceEncoder:
             return self.encode_many([text])[0]
         first, *pieces = text.split(" ")
         if len(self.kept) > self.most:
-            self.kept = {}
-        kept = self.kept
-        if new := list(set(pieces).difference(kept)):
-            found = dict(zip(new, self.encode_many([" " + p for p in new]), strict=True))
-            kept |= {p: ids for p, ids in found.items() if len(p) <= LONGEST}
-            if any(len(p) > LONGEST for p in new):
-                kept = kept | found
-        head = self.encode_many([first])[0] if first else b""
-        return head + b"".join(map(kept.__getitem__, pieces))
+            self.old, self.kept = self.kept, {}
+        new = set(pieces).difference(self.kept)
+        if new:
+            self._learn(new)
+        ids = self._first(first) + b"".join(map(self.kept.__getitem__, pieces))
+        if new and len(max(new, key=len)) > LONGEST:
+            for piece in new:
+                if len(piece) > LONGEST:
+                    del self.kept[piece]
+        return ids
+
+    def _first(self, piece: str) -> bytes:
+        if not piece:
+            return b""
+        if _lines(piece):
+            return self._tail("\n").join(map(self._first, piece.split("\n")))
+        if piece not in self.bare:
+            if len(self.bare) > self.most // 4:
+                self.bare = {}
+            core = piece.rstrip(_tail)
+            cut = len(core) < len(piece) and core and core[-1].isalnum()
+            ids = self.encode_many([core])[0] + self._tail(piece[len(core) :]) if cut else self.encode_many([piece])[0]
+            if len(piece) > LONGEST:
+                return ids
+            self.bare[piece] = ids
+        return self.bare[piece]
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > self.most // 4:
+                self.tails = {}
+            self.tails[marks] = self.encode_many([marks])[0]
+        return self.tails[marks]
+
+    def _learn(self, new: set[str]) -> None:
+        """Fill ``kept`` for pieces that it lacks."""
+        kept, old = self.kept, self.old
+        again = {piece for piece in new if piece in old} if old else set()
+        for piece in again:
+            kept[piece] = old[piece]
+        cut: list[tuple[str, str, str]] = []
+        whole: set[str] = set()
+        lines = []
+        for piece in new - again:
+            if "\n" in piece and _lines(piece):
+                lines.append(piece)
+                core = piece[: piece.index("\n")]
+                if core not in kept:
+                    whole.add(core)
+                continue
+            core = piece.rstrip(_tail)
+            if len(core) == len(piece) or not core or not core[-1].isalnum():
+                whole.add(piece)
+            else:
+                cut.append((piece, core, piece[len(core) :]))
+                if core not in kept:
+                    whole.add(core)
+        listed = list(whole)
+        kept.update(zip(listed, self.encode_many([" " + p for p in listed]), strict=True))
+        for piece, core, tail in cut:
+            kept[piece] = kept[core] + self._tail(tail)
+        feed = self._tail("\n") if lines else b""
+        for piece in lines:
+            first, *rest = piece.split("\n")
+            kept[piece] = feed.join([kept[first], *map(self._first, rest)])
