@@ -55,12 +55,25 @@ def repeated_slots(digests: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def flag_suspects(rows: DataFrame, bitmaps: DataFrame, bits: int, flag: str) -> DataFrame:
-    """Pass 2: adds the column ``flag``, true where every table has the row's bit set; needs ``digest``."""
+def member_filter(keys: DataFrame, key: str, max_filter_bits: int = MAX_FILTER_BITS) -> tuple[DataFrame, int]:
+    """Bitmaps and table bits of a filter that lets all of the keys pass, written once."""
+    bits = table_bits(keys.count(), max_filter_bits)
+    slots = keys.select(F.explode(F.array(*(_slot(F.col(key), k, bits) for k in range(HASHES)))).alias("slot"))
+    bitmaps = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    return materialize(bitmaps, "filter"), bits
+
+
+def passing(rows: DataFrame, key: str, held: tuple[DataFrame, int]) -> DataFrame:
+    """Rows whose key may be among the filter's, before they shuffle to a join that decides."""
+    return flag_suspects(rows, held[0], held[1], "_passes", key).where("_passes").drop("_passes")
+
+
+def flag_suspects(rows: DataFrame, bitmaps: DataFrame, bits: int, flag: str, key: str = "digest") -> DataFrame:
+    """Pass 2: adds the column ``flag``, true where every table has the bit of the row's key set."""
     suspect = F.lit(True)
     held = rows
     for k in range(HASHES):
-        slot = _slot(F.col("digest"), k, bits)
+        slot = _slot(F.col(key), k, bits)
         held = held.withColumns({f"_bucket{k}": F.bitmap_bucket_number(slot), f"_bit{k}": F.bitmap_bit_position(slot)})
         side = bitmaps.select(F.col("bucket").alias(f"_bucket{k}"), F.col("bitmap").alias(f"_bitmap{k}"))
         held = held.join(F.broadcast(side), f"_bucket{k}", "left")  # at most max_filter_bits / 8 bytes
@@ -87,7 +100,9 @@ def decide(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame
     flagged = flag_suspects(hashed, repeated_slots(hashed, bits), bits, "suspect")
     suspects = flagged.where("suspect")
     groups = suspects.groupBy("digest").agg(_keeper().alias("keep_id"), F.count("*").alias("group_size"))
-    met = suspects.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest")
+    # Written first, so that both sides of the join are plain shuffles and a large group can be split.
+    groups = materialize(groups.withColumnRenamed("digest", "_of"), "groups")
+    met = suspects.join(groups, F.col("digest") == F.col("_of")).select("doc_id", "keep_id", "group_size", "digest")
     alone = flagged.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     return met.union(alone).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -106,6 +121,7 @@ def drop_copies(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Data
     keepers = (
         flag_suspects(hashed, bitmaps, bits, "suspect").where("suspect").groupBy("digest").agg(_keeper().alias("_keep_id"))
     )
+    keepers = materialize(keepers, "keepers")
     flagged = flag_suspects(rows, bitmaps, bits, "_suspect")
     own = F.col("doc_id").eqNullSafe(F.col("_keep_id"))
     suspects = flagged.where("_suspect")

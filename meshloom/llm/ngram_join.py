@@ -4,8 +4,9 @@ A document's set holds the distinct n-word shingles of its whole text, as
 64-bit hashes.  Two sets link when their Jaccard similarity reaches the
 threshold.  The join finds the connected components of all links exactly:
 
-1. Equal sets are one node.  Shingles are put in one order, frequent ones last;
-   sets that link share one of the first few shingles of each (the prefix).
+1. Equal sets are one node.  Shingles are put in one order, those of rare words
+   first and frequent shingles last; sets that link share one of the first few
+   shingles of each (the prefix).
 2. A first round links each node with the smallest node under a few of its
    least hashes, if they are similar enough.  This is linear in the nodes, and
    its components swallow groups of near copies of any size.
@@ -15,9 +16,11 @@ threshold.  The join finds the connected components of all links exactly:
    overlap from above, and pairs within the bound are verified by intersecting
    their sorted shingle arrays.  Links between components join them.
 
-Pairs within a component are never formed.  What is broadcast is the order of
-the frequent shingles: shingles with more than one document in ``FREQUENT_SHARE``
-of all shingles, so at most ``FREQUENT_SHARE`` of them whatever the input.
+Pairs within a component are never formed.  What is broadcast: the frequent
+shingles, those with more documents than a ``FREQUENT_SHARE``-th of all shingles,
+so at most ``FREQUENT_SHARE`` of them whatever the input; ``FREQUENT_WORDS`` words
+with their counts; and Bloom filters of bounded size, which keep rows that no
+join can want out of shuffles.
 
 Defined cases: a null text or one without words has an empty set, which links
 with nothing; a text of fewer words than ``n`` has one shingle, the whole.  Rows
@@ -28,6 +31,7 @@ nothing and is its own component.  An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshloom.llm.exact_dedup import member_filter, passing
 from meshloom.llm.words import Runs, mixed, word_hashes
 from meshloom.operators.components import connected_components
 from meshloom.plans.scratch import materialize
@@ -42,9 +47,13 @@ from meshloom.plans.scratch import materialize
 N, NUMERATOR, DENOMINATOR = 5, 80, 100
 FREQUENT_SHARE = 1 << 20
 LEAST_FREQUENT = 64
+#: Words whose counts tell how rare a shingle is.
+FREQUENT_WORDS = 1 << 16
+LEAST_WORD = 16
 #: Least hashes under which a first round links nodes.
 ROUNDS = 3
-BITS = 1024
+LEAST_BITS = 1024
+FREQUENT_RANK = 1 << 32
 #: Nodes of a chunk under one shingle; a tile has two chunks.
 CHUNK = 4096
 #: Rows of a side of a tile that meet at once.
@@ -60,6 +69,39 @@ def shingles(data: bytes, n: int = N) -> np.ndarray:
     return np.unique(runs.every(min(n, len(words))))
 
 
+@dataclass
+class Order:
+    """The common order of shingles: ``words`` with ``levels``, rising with counts; ``keys`` with ``places`` come last."""
+
+    words: np.ndarray
+    levels: np.ndarray
+    keys: np.ndarray
+    places: np.ndarray
+
+    def ranked(self, data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct shingles of a text, and their ranks; equal ranks go by hash."""
+        words = data.lower().split()
+        if not words:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        hashes = word_hashes(words)
+        width = min(n, len(words))
+        s, first = np.unique(Runs(hashes).every(width), return_index=True)
+        level = np.concatenate([[0], np.cumsum(_found(self.words, self.levels, hashes, 0))])
+        rank = (level[width:] - level[:-width])[first]
+        late = _found(self.keys, self.places, s, -1)
+        return s, np.where(late >= 0, late + FREQUENT_RANK, rank)
+
+    def prefix(self, s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return s[np.lexsort((s, rank))[: prefix_length(len(s))]]
+
+
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, missing: int) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(asked), missing, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], missing)
+
+
 def similar(a: int, b: int, both: int) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (a + b - both)
 
@@ -74,82 +116,82 @@ def band(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(size) / np.log(DENOMINATOR / NUMERATOR) + 1e-9).astype(np.int64)
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bits that some shingle hashes to; sets differ in at least as many shingles as bitmaps in bits."""
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(mixed(hashes) >> np.uint64(40)).astype(np.int64) % BITS] = 1
-    return np.packbits(bits)
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits that some shingle hashes to, twice as many as shingles at least, a power of two.
+
+    Sets differ in at least as many shingles as their bitmaps in bits, and longer bitmaps fold to shorter ones.
+    """
+    n = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else LEAST_BITS
+    bits = np.zeros(n, dtype=np.uint8)
+    bits[(mixed(s) >> np.uint64(20)).astype(np.int64) % n] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap of so many bytes: position ``i`` of the longer one counts as ``i`` modulo its bits."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, dtype=np.uint8).reshape(-1, size), axis=0)
 
 
 def _texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their places in the common order.
+def common_order(docs: DataFrame, n: int) -> Order:
+    """Count frequent shingles and words over all documents.
 
-    Tasks report shingles that two of their documents have; any order makes the join exact, so rarer
-    ones may be missed.  Shingles below one document in ``FREQUENT_SHARE`` of all are left out.
+    Tasks report shingles that two of their documents have, and words that they have often; any order
+    makes the join exact, so rarer ones may be missed.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, words, total = [], [], 0
         for batch in batches:
-            sets = [shingles(x.as_py(), n) for x in batch.column("data")]
-            if sets:
-                both = np.concatenate(sets)
-                total += len(both)
-                held.append(np.unique(both, return_counts=True))
-            if sum(len(h) for h, _ in held) > 8_000_000:
-                yield _reported(held)
-                held = []
+            for data in batch.column("data"):
+                split = data.as_py().lower().split()
+                if split:
+                    hashes = word_hashes(split)
+                    s = np.unique(Runs(hashes).every(min(n, len(split))))
+                    held.append(s)
+                    words.append(hashes)
+                    total += len(s)
+            if sum(map(len, held)) > 4_000_000:
+                yield from (_reported(held, 2, 0), _reported(words, LEAST_WORD, 1))
+                held, words = [], []
         if held:
-            yield _reported(held)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["shingle", "n"])
-
-    counts = _texts(docs).mapInArrow(work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "frequent-shingles")
-    total = counts.where("shingle is null").first()
-    least = max(LEAST_FREQUENT, (total["n"] if total else 0) // FREQUENT_SHARE)
-    rows = counts.where(F.col("shingle").isNotNull() & (F.col("n") > least)).orderBy("n", "shingle").toPandas()  # FREQUENT_SHARE rows at most
-    keys = rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+            yield from (_reported(held, 2, 0), _reported(words, LEAST_WORD, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["kind", "hash", "n"])
+
+    counts = _texts(docs).mapInArrow(work, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "frequent")
+    row = counts.where("kind = 2").first()
+    least = max(LEAST_FREQUENT, (row["n"] if row else 0) // FREQUENT_SHARE)
+    late = counts.where((F.col("kind") == 0) & (F.col("n") > least)).orderBy("n", "hash").toPandas()  # FREQUENT_SHARE rows at most
+    words = counts.where("kind = 1").orderBy(F.desc("n"), "hash").limit(FREQUENT_WORDS).toPandas()
+    keys = late["hash"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], order.astype(np.int64)
-
+    word = words["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+    by = np.argsort(word)
+    return Order(word[by], np.log2(words["n"].to_numpy(dtype=float)[by]).astype(np.int64), keys[order], order.astype(np.int64))
 
-def _reported(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    keys, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-    some = counts > 1
-    return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], ["shingle", "n"])
 
-
-def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The set's first shingles in the common order: rare ones by hash, then frequent ones by count."""
-    keys, places = often
-    take = prefix_length(len(hashes))
-    if not len(keys):
-        return hashes[:take]
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    common = keys[at] == hashes
-    rare = hashes[~common]
-    if len(rare) >= take:
-        return rare[:take]
-    late = hashes[common]
-    return np.concatenate([rare, late[np.argsort(places[at[common]])][: take - len(rare)]])
+def _reported(held: list[np.ndarray], least: int, kind: int) -> pa.RecordBatch:
+    keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    some = counts >= least
+    kinds = pa.array(np.full(int(some.sum()), kind, dtype=np.int32))
+    return pa.RecordBatch.from_arrays([kinds, pa.array(keys[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["kind", "hash", "n"])
 
 
-def _signatures(n: int, often: Broadcast):
+def _signatures(n: int, order: Broadcast):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, heads, firsts, bits = [], [], [], [], []
             for data in batch.column("data"):
-                s = shingles(data.as_py(), n)
+                s, rank = order.value.ranked(data.as_py(), n)
                 sizes.append(len(s))
                 digests.append(_digest(s))
                 firsts.append(_least(s))
-                heads.append(prefix(s, often.value).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
-                bits.append(bitmap(s).tobytes())
+                heads.append(order.value.prefix(s, rank).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
+                bits.append(bitmap(s))
             longs = pa.list_(pa.int64())
             columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, longs), pa.array(heads, longs), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "size", "digest", "least", "prefix", "bits"])
@@ -191,9 +233,14 @@ def _verify(n: int):
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link; each pair meets its two texts in a join by id."""
-    left = texts.select(F.col("doc_id").alias("_a"), F.col("data").alias("left"))
-    right = texts.select(F.col("doc_id").alias("_b"), F.col("data").alias("right"))
+    """The pairs ``(a, b)`` that link; each pair meets its two texts in a join by id.
+
+    Texts that are in no pair stay out of the shuffle, by a Bloom filter of the ids.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = passing(texts, "doc_id", member_filter(materialize(ids, "ids"), "doc_id"))
+    left = wanted.select(F.col("doc_id").alias("_a"), F.col("data").alias("left"))
+    right = wanted.select(F.col("doc_id").alias("_b"), F.col("data").alias("right"))
     met = pairs.join(right, F.col("b") == F.col("_b")).select("a", "b", "right").join(left, F.col("a") == F.col("_a"))
     return materialize(met.select("a", "b", "left", "right").mapInArrow(_verify(n), "a long, b long"), "links")
 
@@ -229,18 +276,23 @@ def _meet(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not rows.num_rows:
         return
     tile, ids, sizes, parts = (rows.column(c).to_numpy() for c in ("tile", "id", "size", "part"))
-    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
     order = np.lexsort((ids, sizes, tile))
-    tile, ids, sizes, parts, bits = tile[order], ids[order], sizes[order], parts[order], bits[order]
+    tile, ids, sizes, parts = tile[order], ids[order], sizes[order], parts[order]
+    bits = rows.column("bits").take(pa.array(order))
     bands = band(sizes)
-    group = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-    for start, end in zip(group, [*group[1:], len(ids)], strict=True):
-        if end - start < 2:
+    group = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (bands[1:] != bands[:-1])]))
+    ends = [*group[1:].tolist(), len(ids)]
+    for k, (start, end) in enumerate(zip(group.tolist(), ends, strict=True)):
+        near = k + 1 < len(group) and tile[end] == tile[start] and bands[end] == bands[start] + 1
+        reach = ends[k + 1] if near else end
+        if reach - start < 2:
             continue
+        signs = bits[start:reach].to_pylist()
+        width = min(map(len, signs))
+        signs = np.stack([folded(x, width) for x in signs]).view(np.uint64)
         found = []
         for at in range(start, end, TILE):
             stop = min(at + TILE, end)
-            reach = start + int(np.searchsorted(bands[start:end], bands[stop - 1] + 1, side="right"))
             for other in range(at, reach, TILE):
                 to = min(other + TILE, reach)
                 a, b = sizes[at:stop, None], sizes[None, other:to]
@@ -250,20 +302,22 @@ def _meet(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if other == at:
                     good &= np.arange(at, stop)[:, None] < np.arange(other, to)[None, :]
                 i, j = np.nonzero(good)
-                differ = np.bitwise_count(bits[at + i] ^ bits[other + j]).sum(1)
-                near = differ <= room[i, j]
-                found.append(np.column_stack([ids[at + i[near]], ids[other + j[near]]]))
-        pairs = np.concatenate(found)
+                step = max(1, 8_000_000 // width)
+                for c in range(0, len(i), step):
+                    x, y = i[c : c + step], j[c : c + step]
+                    differ = np.bitwise_count(signs[at - start + x] ^ signs[other - start + y]).sum(1)
+                    fits = differ <= room[x, y]
+                    found.append(np.column_stack([ids[at + x[fits]], ids[other + y[fits]]]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
         if len(pairs):
-            low, high = pairs.min(1), pairs.max(1)
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
 
 def _stars(nodes: DataFrame) -> DataFrame:
     """``(a, b)``: each node with the smallest node under each of its least hashes."""
     each = nodes.select("id", F.posexplode("least").alias("k", "h"))
-    centre = materialize(each.groupBy("k", "h").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
-    centre = centre.withColumnsRenamed({"k": "_k", "h": "_h"})
+    centre = each.groupBy("k", "h").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    centre = materialize(centre, "centres").withColumnsRenamed({"k": "_k", "h": "_h"})
     met = each.join(centre, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")))
     return met.where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
@@ -271,34 +325,40 @@ def _stars(nodes: DataFrame) -> DataFrame:
 def components(docs: DataFrame, n: int = N) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs (doc_id, text)``; ids are integers."""
     spark: SparkSession = docs.sparkSession
-    often = spark.sparkContext.broadcast(frequent(docs, n))
-    schema = docs.select(F.col("doc_id").cast("long")).schema.simpleString()[7:-1].replace(":", " ")
-    signed = _texts(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").mapInArrow(
-        _signatures(n, often), f"{schema}, size long, digest binary, least array<long>, prefix array<long>, bits binary"
-    )
+    texts = _texts(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    order = spark.sparkContext.broadcast(common_order(docs, n))
+    signed = texts.mapInArrow(_signatures(n, order), "doc_id long, size long, digest binary, least array<long>, prefix array<long>, bits binary")
     signed = materialize(signed, "signatures")
     sound = F.col("doc_id").isNotNull() & (F.col("size") > 0)
     same = signed.where(sound).groupBy("size", "digest").agg(F.min("doc_id").alias("id"))
     same = materialize(same, "sets").withColumnsRenamed({"size": "_size", "digest": "_digest"})
-    nodes = signed.join(same, (F.col("size") == F.col("_size")) & (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("id")))
-    nodes = materialize(nodes.select("id", "size", "least", "prefix", "bits").dropDuplicates(["id"]), "nodes")
-    texts = _texts(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
-    first = _linked(_stars(nodes), texts, n)
-    part = materialize(connected_components(first, "a", "b"), "parts").withColumnRenamed("id", "_id")
-    placed = nodes.join(part, F.col("id") == F.col("_id"), "left").select(
-        "id", "size", "prefix", "bits", F.coalesce("component", "id").alias("part")
+    chosen = materialize(same.select(F.col("id").alias("_id")), "chosen")
+    own = signed.where(sound).join(chosen, F.col("doc_id") == F.col("_id"))
+    nodes = materialize(own.select(F.col("doc_id").alias("id"), "least").dropDuplicates(["id"]), "nodes")
+    first = _linked(materialize(_stars(nodes), "stars"), texts, n)
+    part = materialize(connected_components(first, "a", "b"), "parts").withColumnsRenamed({"id": "_pid", "component": "part"})
+    placed = own.join(part, F.col("doc_id") == F.col("_pid"), "left").select(
+        F.col("doc_id").alias("id"), "size", F.coalesce("part", "doc_id").alias("part"), "prefix"
     )
     placed = materialize(placed, "placed")
     heads = placed.select("id", "size", "part", F.explode("prefix").alias("shingle"))
-    shared = heads.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    shared = materialize(shared.select(F.col("shingle").alias("_shingle"), chunks.alias("chunks")), "shared-shingles")
-    meet = materialize(heads.join(shared, F.col("shingle") == F.col("_shingle")).drop("_shingle"), "meeting")
-    meet = meet.join(placed.select(F.col("id").alias("_id"), "bits"), F.col("id") == F.col("_id"))
+    often = materialize(heads.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")
+    shared = often.select(F.col("shingle").alias("_shingle"), chunks)
+    meet = passing(heads, "shingle", member_filter(often, "shingle")).join(shared, F.col("shingle") == F.col("_shingle")).drop("_shingle")
+    meet = materialize(meet, "meeting")
+    # Shingles that one component alone has add nothing.
+    spread = meet.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    spread = materialize(spread.select(F.col("shingle").alias("_shingle")), "spread-shingles")
+    meet = meet.join(spread, F.col("shingle") == F.col("_shingle")).drop("_shingle")
+    bits = signed.select(F.col("doc_id").alias("_id"), "bits")
+    meet = materialize(meet, "meeting")
+    bits = passing(bits, "_id", member_filter(materialize(meet.select("id").distinct(), "ids"), "id"))
+    meet = meet.join(bits, F.col("id") == F.col("_id"))
     # A shingle with many nodes is cut into chunks, and each two chunks meet in a tile.  Tiles whose
     # hashes agree merge, which adds pairs to verify and loses none.
-    own, other = F.pmod(F.xxhash64("id"), F.col("chunks")), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    meet = meet.select("shingle", "id", "size", "part", "bits", "chunks", own.alias("own"), other.alias("other"))
+    own_chunk, other = F.pmod(F.xxhash64("id"), F.col("chunks")), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    meet = meet.select("shingle", "id", "size", "part", "bits", "chunks", own_chunk.alias("own"), other.alias("other"))
     tile = F.when(F.col("chunks") == 1, F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")))
     dealt = meet.select(tile.alias("tile"), "id", "size", "part", "bits").repartition("tile").sortWithinPartitions("tile", "size")
     pairs = materialize(dealt.mapInArrow(_tiles(), "a long, b long").distinct(), "pairs")
