@@ -58,9 +58,8 @@ def partition_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {fx.INC}, x AS (SELECT * FROM inc WHERE elem < 4000) SELECT count(DISTINCT elem) AS n_elements, count(DISTINCT node) AS n_nodes, true AS in_range FROM x",
 )
 def mesh_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodal way over a range of elements of the mesh."""
-    inc = fx.incidence(spark, sf_dir).where("elem < 4000")
-    epart, npart = partitioning.partition_mesh(inc, PartitionOptions(nparts=4, kernel_size=1_000_000), by="nodal")
+    """The nodal way over the whole mesh."""
+    epart, npart = partitioning.partition_mesh(fx.incidence(spark, sf_dir), PartitionOptions(nparts=4), by="nodal")
     both = epart.withColumn("kind", F.lit("e")).union(npart.withColumn("kind", F.lit("n")))
     return both.agg(
         F.count_distinct(F.when(F.col("kind") == "e", F.col("id"))).alias("n_elements"), F.count_distinct(F.when(F.col("kind") == "n", F.col("id"))).alias("n_nodes"),
