@@ -561,9 +561,7 @@ def centroid_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT array_to_string(items, ',') AS items, support FROM s WHERE support >= 3 AND (len(items) = 1 OR support >= 3)""",
 )
 def itemsets_1_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.transactions(spark, sf_dir)
-    popular = rows.groupBy("item").agg(F.count("*").alias("n")).where("n >= 12").select("item")
-    found = analytics.itemsets(rows.join(popular, "item", "left_semi"), least=3, max_len=3)
+    found = analytics.itemsets(fx.transactions(spark, sf_dir), least=3, max_len=3)
     return found.select(F.array_join("items", ",").alias("items"), "support")
 
 

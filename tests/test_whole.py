@@ -1,5 +1,8 @@
 """Queries and operators do the whole job, where the smallest tables cannot show it."""
 
+from collections import Counter
+from itertools import combinations
+
 import pandas as pd
 
 from meshloom.plans import catalogue
@@ -15,3 +18,11 @@ def test_mesh_partition_takes_every_element(spark, tmp_path):
     pairs = [(e, (e + i) % 60) for e in [*range(40), *range(3980, 4040)] for i in range(3)]
     row = catalogue.queries()["mesh_partition"](spark, lines(tmp_path, pairs)).first()
     assert (row["n_elements"], row["n_nodes"], row["in_range"]) == (100, 60, True)
+
+
+def test_itemsets_keeps_items_of_small_support(spark, tmp_path):
+    """Items 1 to 4 have supports of 3 to 11; all sets are counted by brute force."""
+    baskets = [{1, 2, 3} if t < 3 else {2, 3, 4} if t < 7 else {4, 5 + t % 2} if t < 11 else {5, 6, 7 + t % 9} for t in range(40)]
+    want = Counter(",".join(map(str, c)) for b in baskets for n in (1, 2, 3) for c in combinations(sorted(b), n))
+    found = catalogue.queries()["itemsets_1_2_3"](spark, lines(tmp_path, [(t, i) for t, b in enumerate(baskets) for i in b]))
+    assert {r["items"]: r["support"] for r in found.collect()} == {s: n for s, n in want.items() if n >= 3}
