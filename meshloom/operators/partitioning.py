@@ -8,6 +8,8 @@ coarsest graph, and distributed rounds of batch moves refine it on the way back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,39 +100,189 @@ def coarsen(edges: DataFrame, vertices: DataFrame, target: int, seed: int, most:
     return [*levels, (edges, vertices, None)]
 
 
+def _loads(vertices: DataFrame, part: DataFrame, options: PartitionOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loads, shares of the total and allowed loads, a row a part and a column a constraint."""
+    k, ncon = options.nparts, len(options.ubvec)
+    load = np.zeros((k, ncon))
+    weights = [F.sum(F.coalesce(F.get("vwgt", F.lit(c)), F.lit(0))).alias(f"w{c}") for c in range(ncon)]
+    for r in part.join(vertices.select("id", "vwgt"), "id").groupBy("pid").agg(*weights).collect():  # k rows
+        load[r["pid"]] = [r[f"w{c}"] for c in range(ncon)]
+    fair = np.maximum(np.array(options.tpwgts) * load.sum(0), 1e-9)
+    return load, fair, fair * np.array(options.ubvec)
+
+
+def _rooms(edges: DataFrame, load: np.ndarray, fair: np.ndarray, most: np.ndarray) -> DataFrame:
+    """``(to, full, room0 ...)``: how full each part is, and what it still takes of each constraint."""
+    rows = [(p, float((load[p] / fair[p]).max()), *map(float, most[p] - load[p])) for p in range(len(load))]
+    return F.broadcast(edges.sparkSession.createDataFrame(rows, "to int, full double, " + ", ".join(f"room{c} double" for c in range(load.shape[1]))))
+
+
+def _weights(vertices: DataFrame, ncon: int) -> DataFrame:
+    return vertices.select("id", *(F.coalesce(F.get("vwgt", F.lit(c)), F.lit(0)).alias(f"w{c}") for c in range(ncon)))
+
+
+def _every(conditions: list):
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _admitted(moves: DataFrame, ncon: int, turn: int, chunks: int) -> DataFrame:
+    """The moves ``(id, to, gain, relieves, w0 ..., room0 ...)`` that a part has room for, by falling gain.
+
+    Candidates are dealt by part and hashed chunk, each with an equal share of the room of every
+    constraint.  ``relieves``: one that may enter without room, if it is the first.
+    """
+    by = Window.partitionBy("to", "_chunk").orderBy(F.desc("gain"), "id")
+    upto = moves.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    upto = upto.withColumns({f"upto{c}": F.sum(f"w{c}").over(by) for c in range(ncon)} | {"nth": F.row_number().over(by)})
+    # A constraint of which a vertex has nothing does not keep it out.
+    fits = _every([(F.col(f"w{c}") == 0) | (F.col(f"upto{c}") <= F.col(f"room{c}") / chunks) for c in range(ncon)])
+    # A chunk's share of the room may be below one vertex; the first vertex of one chunk may use half of the whole.
+    first = (F.col("_chunk") == turn % chunks) & (F.col("nth") == 1)
+    alone = first & _every([(F.col(f"w{c}") == 0) | (F.col(f"w{c}") <= F.col(f"room{c}") / 2) for c in range(ncon)])
+    return upto.where(fits | alone | (first & F.col("relieves"))).select("id", F.col("to").alias("_to"))
+
+
+def _moved(part: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The partition after the moves; the same object where there are none."""
+    chosen = materialize(chosen, "moves")
+    if chosen.isEmpty():
+        return part
+    return materialize(part.join(chosen, "id", "left").select("id", F.coalesce("_to", "pid").alias("pid")), "refined")
+
+
+def _chunks(vertices: DataFrame) -> int:
+    return 64 if vertices.count() > 100_000 else 1
+
+
 def refine_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions, turn: int) -> DataFrame:
     """One round of batch moves: a vertex moves where it has more weight, within the room of the part.
 
-    A round admits one direction between two parts only, so that neighbours do not swap.  Candidates
-    enter a part by falling gain while the running sum of their first weights fits its room; candidates
-    are dealt by part and hashed chunk, each with an equal share of the room.
+    A round admits one direction between two parts only, so that neighbours do not swap.  Vertices of
+    parts above their bound, in any constraint, leave for parts below it whatever the gain, as
+    many as the excess asks for.  The same object is returned when nothing moves.
     """
-    k = options.nparts
+    k, ncon = options.nparts, len(options.ubvec)
+    if k == 1:
+        return part
+    load, fair, most = _loads(vertices, part, options)
+    rooms, weight, chunks = _rooms(edges, load, fair, most), _weights(vertices, ncon), _chunks(vertices)
+    heavy = [p for p in range(k) if (load[p] > most[p]).any()]
     placed = metrics.with_parts(edges, part)
     links = placed.groupBy("src", "ps", "pd").agg(F.sum("wgt").alias("w"))
     own = links.where("ps = pd").select(F.col("src").alias("id"), F.col("w").alias("home"))
     side = lambda c: F.pmod(F.xxhash64(c, F.lit(options.seed + turn // 2)), F.lit(1 << 30))
     forward = (side("ps") < side("pd")) if turn % 2 == 0 else (side("ps") > side("pd"))
-    offers = links.where((F.col("ps") != F.col("pd")) & forward).join(own, links["src"] == own["id"], "left").select(
-        links["src"].alias("vid"), "ps", "pd", (F.col("w") - F.coalesce("home", F.lit(0))).alias("gain")
+    offers = links.where((F.col("ps") != F.col("pd")) & forward & ~F.col("ps").isin(heavy)).join(own, links["src"] == own["id"], "left").select(
+        links["src"].alias("vid"), "pd", (F.col("w") - F.coalesce("home", F.lit(0))).alias("gain")
     )
-    best = offers.where("gain > 0").groupBy("vid", "ps").agg(F.max(F.struct("gain", -F.col("pd"))).alias("b"))
+    best = offers.where("gain > 0").groupBy("vid").agg(F.max(F.struct("gain", -F.col("pd"))).alias("b"))
     best = best.select(F.col("vid").alias("id"), (-F.col("b.col2")).cast("int").alias("to"), F.col("b.gain").alias("gain"))
-    weight = vertices.select("id", _first().alias("w"))
-    loads = part.join(weight, "id").groupBy("pid").agg(F.sum("w").alias("load"))
-    total = weight.agg(F.sum("w")).first()[0] or 1
-    most = F.element_at(F.array(*(F.lit(float(s[0] * total * options.ubvec[0])) for s in options.tpwgts)), F.col("to") + 1)
-    room = loads.select(F.col("pid").alias("_p"), "load")
-    moves = best.join(weight, "id").join(F.broadcast(room), F.col("to") == F.col("_p"), "left")  # k rows
-    chunk = F.pmod(F.xxhash64("id"), F.lit(64))
-    by = Window.partitionBy("to", "chunk").orderBy(F.desc("gain"), "id")
-    upto = moves.withColumn("chunk", chunk).withColumns({"upto": F.sum("w").over(by), "room": (most - F.coalesce("load", F.lit(0))) / 64})
-    # A chunk's share of the room may be below one vertex; the first vertex of chunk 0 may use the whole.
-    fits = (F.col("upto") <= F.col("room")) | ((F.col("chunk") == turn % 64) & (F.col("upto") == F.col("w")) & (F.col("w") <= F.col("room") * 32))
-    chosen = upto.where(fits).select("id", F.col("to").alias("_to"))
-    if k == 1:
-        return part
-    return materialize(part.join(chosen, "id", "left").select("id", F.coalesce("_to", "pid").alias("pid")), "refined")
+    moves = best.join(weight, "id").join(rooms, "to").withColumn("relieves", F.lit(False))
+    if heavy:
+        moves = moves.unionByName(_relief(links, own, weight, part, rooms, heavy, load, fair, most, chunks))
+    return _moved(part, _admitted(moves, ncon, turn, chunks))
+
+
+def _relief(links: DataFrame, own: DataFrame, weight: DataFrame, part: DataFrame, rooms: DataFrame, heavy: list[int], load, fair, most, chunks: int) -> DataFrame:
+    """Moves out of the parts ``heavy``: each vertex to its best part that can take it, until the excess is gone."""
+    ncon = load.shape[1]
+    rows = [(p, float((load[p] / fair[p]).max()), *map(float, load[p] - most[p])) for p in heavy]
+    over = part.sparkSession.createDataFrame(rows, "pid int, _full double, " + ", ".join(f"over{c} double" for c in range(ncon)))
+    held = part.join(F.broadcast(over), "pid").join(weight, "id").join(own, "id", "left")
+    useful = reduce(lambda a, b: a | b, [(F.col(f"over{c}") > 0) & (F.col(f"w{c}") > 0) for c in range(ncon)])
+    near = links.select(F.col("src").alias("id"), F.col("pd").alias("to"), "w")
+    pairs = held.where(useful).crossJoin(rooms).where("pid <> to").join(near, ["id", "to"], "left")  # k rows for a vertex
+    fits = _every([(F.col(f"w{c}") == 0) | (F.col(f"w{c}") <= F.col(f"room{c}")) for c in range(ncon)])
+    fulls = [
+        (F.element_at(F.array(*(F.lit(float(x)) for x in load[:, c])), F.col("to") + 1) + F.col(f"w{c}")) / F.element_at(F.array(*(F.lit(float(x)) for x in fair[:, c])), F.col("to") + 1)
+        for c in range(ncon)
+    ]
+    lighter = F.greatest(F.lit(0.0), *fulls) < F.col("_full")
+    pairs = pairs.withColumns({"gain": F.coalesce("w", F.lit(0)) - F.coalesce("home", F.lit(0)), "relieves": lighter}).where(fits | lighter)
+    names = ["pid", "to", "gain", "relieves", *(f"{n}{c}" for c in range(ncon) for n in ("w", "room", "over")), "full"]
+    best = pairs.groupBy("id").agg(F.max_by(F.struct(*names), F.struct(fits, "gain", -F.col("full"), -F.col("to"))).alias("b")).select("id", "b.*")
+    by = Window.partitionBy("pid", "_chunk").orderBy(F.desc("gain"), "id")
+    upto = best.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumns({f"out{c}": F.sum(f"w{c}").over(by) - F.col(f"w{c}") for c in range(ncon)})
+    asked = reduce(lambda a, b: a | b, [(F.col(f"w{c}") > 0) & (F.col(f"out{c}") < F.col(f"over{c}") / chunks) for c in range(ncon)])
+    return upto.where(asked).select("id", "to", "gain", *(f"w{c}" for c in range(ncon)), "full", *(f"room{c}" for c in range(ncon)), "relieves")
+
+
+def volume_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions, turn: int) -> DataFrame:
+    """One round of moves that lower the communication volume, within the room of the parts.
+
+    Movers are more than two edges apart, so that their gains add up: of those that are nearer the
+    one of the largest gain stays.  The same object is returned when nothing moves.
+    """
+    ncon = len(options.ubvec)
+    load, fair, most = _loads(vertices, part, options)
+    edges = edges.where("src <> dst")
+    gains = metrics.volume_gains(metrics.with_parts(edges, part)).where("gain > 0").withColumn("to", F.col("to").cast("int"))
+    fits = _every([(F.col(f"w{c}") == 0) | (F.col(f"w{c}") <= F.col(f"room{c}")) for c in range(ncon)])
+    open_ = gains.join(_weights(vertices, ncon), "id").join(_rooms(edges, load, fair, most), "to").where(fits)
+    rank = F.struct("gain", F.xxhash64("id", F.lit(options.seed + turn)).alias("h"), "id")
+    names = ["to", "gain", *(f"{n}{c}" for c in range(ncon) for n in ("w", "room"))]
+    best = open_.withColumn("rank", rank).groupBy("id").agg(F.max_by(F.struct(*names, "rank"), F.struct("gain", -F.col("to"))).alias("b")).select("id", "b.*")
+    best = materialize(best, "volume-moves")
+    reach = best.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("u")), "id").select("id", "u", "rank").union(best.select("id", F.col("id").alias("u"), "rank"))
+    first = reach.groupBy("u").agg(F.max("rank").alias("top"))
+    apart = reach.join(first, "u").groupBy("id").agg(F.min(F.col("rank") == F.col("top")).alias("ok")).where("ok").select("id")
+    moves = best.join(apart, "id", "left_semi").withColumn("relieves", F.lit(False))
+    return _moved(part, _admitted(moves, ncon, turn, 1))
+
+
+def _rounds(step, edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions) -> DataFrame:
+    """Twice ``niter`` rounds at most, as a round is one direction; ends when both directions move nothing."""
+    still = 0
+    for turn in range(2 * options.niter):
+        new = step(edges, vertices, part, options, turn)
+        still = still + 1 if new is part else 0
+        part = new
+        if still == 2:
+            break
+    return part
+
+
+def less_connected(edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions) -> DataFrame:
+    """Give up weak links between parts while the largest number of neighbour parts is 1.4 times the mean."""
+    k, ncon = options.nparts, len(options.ubvec)
+    for _ in range(4 * k):
+        placed = metrics.with_parts(edges, part)
+        link = np.zeros((k, k))
+        for r in metrics.subdomain_graph(placed).collect():  # k * k rows
+            link[r["ps"], r["pd"]] = r["wgt"]
+        degree = (link > 0).sum(1)
+        if degree.max(initial=0) < 1.4 * max(degree.mean(), 1e-9):
+            break
+        a = int(np.argmax(degree))
+        b = min(np.flatnonzero(link[a]).tolist(), key=lambda p: (link[a, p], p))
+        allowed = [p for p in np.flatnonzero(link[b]).tolist() if p not in (a, b)]
+        rim = placed.where((F.col("ps") == a) & (F.col("pd") == b)).select("src").distinct()
+        to = placed.join(rim, "src", "left_semi").where(F.col("pd").isin(allowed)).groupBy("src", "pd").agg(F.sum("wgt").alias("w"))
+        to = to.groupBy("src").agg(F.max_by("pd", F.struct("w", -F.col("pd"))).alias("_to"))
+        plan = materialize(rim.join(to, "src", "left").select(F.col("src").alias("id"), "_to"), "unlinked")
+        if not plan.where("_to is null").isEmpty():
+            break
+        new = _moved(part, plan)
+        load, _, most = _loads(vertices, new, options)
+        before = _loads(vertices, part, options)[0]
+        if ((load > most) & (load > before)).any():
+            break
+        part = new
+    return part
+
+
+def whole_parts(edges: DataFrame, vertices: DataFrame, part: DataFrame, most: int = 32) -> DataFrame:
+    """Fragments of parts join their neighbours, one direction between parts a turn, until none is left that can."""
+    still = 0
+    for turn in range(most):
+        new = analytics.eliminate_fragments(metrics.with_parts(edges, part), vertices.select("id", _first().alias("vwgt")))
+        met = new.select("id", F.col("pid").alias("_to")).join(part, "id").where("_to < pid" if turn % 2 else "_to > pid").select("id", "_to")
+        found = _moved(part, met)
+        still = still + 1 if found is part else 0
+        part = found
+        if still == 2:
+            break
+    return part
 
 
 def partition(edges: DataFrame, options: PartitionOptions, vertices: DataFrame | None = None) -> DataFrame:
@@ -149,8 +301,13 @@ def partition(edges: DataFrame, options: PartitionOptions, vertices: DataFrame |
     part = materialize(_in_kernel(coarse_edges, coarse_vertices, _kernel_partition(options), "id long, pid int"), "partition")
     for fine_edges, fine_vertices, cmap in reversed(levels[:-1]):
         part = materialize(graphs.project(cmap, part), "projected")
-        for turn in range(2 * min(options.niter, 4)):
-            part = refine_round(fine_edges, fine_vertices, part, options, turn)
+        part = _rounds(refine_round, fine_edges, fine_vertices, part, options)
+    if options.objtype == "vol":
+        part = _rounds(volume_round, edges, vertices, part, options)
+    if options.minconn:
+        part = less_connected(edges, vertices, part, options)
+    if options.contig:
+        part = whole_parts(edges, vertices, part)
     return part
 
 
@@ -287,12 +444,11 @@ def adaptive_repartition(edges: DataFrame, home: DataFrame, options: PartitionOp
     ``home`` is ``(id, pid)``; weights are also the sizes that move.
     """
     vertices = materialize(with_weights(edges, vertices), "vertices")
-    options = options.checked(1)
+    options = options.checked(vertices.agg(F.max(F.size("vwgt"))).first()[0] or 1)
     edges = materialize(edges, "edges")
     weight = vertices.select("id", _first().alias("vsize"))
     refined = materialize(home.select("id", F.col("pid").cast("int").alias("pid")), "home")
-    for turn in range(2 * min(options.niter, 4)):
-        refined = refine_round(edges, vertices, refined, options, turn)
+    refined = _rounds(refine_round, edges, vertices, refined, options)
     fresh = partition(edges, options, vertices)
     joined = fresh.join(home.select("id", F.col("pid").alias("home")), "id").join(weight, "id")
     fresh = materialize(remap(joined, options.nparts), "remapped")
@@ -301,8 +457,8 @@ def adaptive_repartition(edges: DataFrame, home: DataFrame, options: PartitionOp
         cut = metrics.edge_cut(metrics.with_parts(edges, part)).first()[0]
         both = part.join(home.select("id", F.col("pid").alias("home")), "id").join(weight, "id")
         moved = both.where("home <> pid").agg(F.coalesce(F.sum("vsize"), F.lit(0))).first()[0]
-        over = metrics.balance(part.join(vertices, "id"), options.nparts).where("con = 0").first()["balance"]
-        return over > options.ubvec[0] + 1e-4, ipc * cut + moved
+        load, fair, _ = _loads(vertices, part, options)
+        return bool((load / fair > np.array(options.ubvec) + 1e-4).any()), ipc * cut + moved
 
     return min((refined, fresh), key=cost)
 
@@ -310,11 +466,8 @@ def adaptive_repartition(edges: DataFrame, home: DataFrame, options: PartitionOp
 def refine_partition(edges: DataFrame, part: DataFrame, options: PartitionOptions, vertices: DataFrame | None = None) -> DataFrame:
     """Local refinement alone."""
     vertices = materialize(with_weights(edges, vertices), "vertices")
-    options, edges = options.checked(1), materialize(edges, "edges")
-    part = part.select("id", F.col("pid").cast("int").alias("pid"))
-    for turn in range(2 * options.niter):
-        part = refine_round(edges, vertices, part, options, turn)
-    return part
+    options, edges = options.checked(vertices.agg(F.max(F.size("vwgt"))).first()[0] or 1), materialize(edges, "edges")
+    return _rounds(refine_round, edges, vertices, part.select("id", F.col("pid").cast("int").alias("pid")), options)
 
 
 def geometric_kway(edges: DataFrame, points: DataFrame, options: PartitionOptions, dims: int = 3) -> DataFrame:
