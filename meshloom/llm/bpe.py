@@ -5,8 +5,8 @@ become pieces of a BPE model: score minus the rank, identity normalisation, no
 added prefix, no white-space escapes.  Merging by best score is then merging by
 lowest rank, and piece ids are ranks.  Texts are cut by the pattern first, and
 each match is encoded by itself: a match that is an entry becomes that entry,
-others go through the model.  Distinct matches are encoded once a task and
-kept, up to ``KEPT`` of them.  Decoding maps ids to bytes.
+others go through the model.  Distinct matches are encoded once a worker and
+kept, about ``KEPT_BYTES`` of them and those of one text.  Decoding maps ids to bytes.
 
 Defined cases: a null text counts as empty and has no ids.  Texts are taken
 whole.  Rows stay as they are, repeated ones too; an empty table gives an empty
@@ -28,8 +28,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens that a task keeps the ids of.
-KEPT = 300_000
+#: Bytes of distinct pre-tokens and their ids that a worker keeps, about.
+KEPT_BYTES = 56 << 20
+#: Bytes that one takes besides its characters and ids, about: two objects and a place in a table.
+OVERHEAD = 170
 
 
 def byte_characters() -> list[str]:
@@ -89,6 +91,7 @@ class Codec:
         shown = byte_characters()
         self.table = {b: shown[b] for b in range(256)}
         self.kept: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode_new(self, tokens: list[str]) -> None:
         """Fill ``kept`` for tokens that it lacks."""
@@ -105,10 +108,11 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         tokens = self.cut(text)
-        if len(self.kept) > KEPT:
-            self.kept = {}
+        if self.held > KEPT_BYTES:
+            self.kept, self.held = {}, 0
         if new := set(tokens).difference(self.kept):
             self._encode_new(list(new))
+            self.held += sum(OVERHEAD + len(t) + len(self.kept[t]) for t in new)
         return b"".join(map(self.kept.__getitem__, tokens))
 
     def decode(self, ids: bytes) -> bytes:

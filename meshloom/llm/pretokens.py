@@ -14,10 +14,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Distinct pieces that a task keeps the ids of in a generation; it has two.
-KEPT = 400_000
-#: Longer pieces are not kept.
+#: Longer pieces are not kept, so that a piece and its ids take 200 bytes, and 850 at most.
 LONGEST = 64
+#: Distinct pieces that a worker keeps the ids of in a generation; it has two.
+KEPT = 180_000
 _odd_space = re.compile(r" (?:\s|\Z)").search
 _lines = re.compile(r"\S+(?:\n\S+)+\Z").match
 _tail = ".,;:!?%$&*#|)\"'"
@@ -29,12 +29,13 @@ class PieceEncoder:
     A line feed between characters that are no white space is a pre-token, too, so pieces with some
     are joined from lines; later lines, like the first piece of a text, have no space before them.
     Pieces are kept in two generations: a full one becomes the old one, from which pieces that
-    occur again come back.
+    occur again come back.  A generation is full at ``most`` pieces; first pieces and ends have an
+    eighth of that each.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], kept: int = KEPT) -> None:
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = KEPT) -> None:
         self.encode_many = encode_many
-        self.most = kept
+        self.most = most
         self.kept: dict[str, bytes] = {}  # of a piece without the space before it
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -64,7 +65,7 @@ class PieceEncoder:
         if _lines(piece):
             return self._tail("\n").join(map(self._first, piece.split("\n")))
         if piece not in self.bare:
-            if len(self.bare) > self.most // 4:
+            if len(self.bare) > self.most // 8:
                 self.bare = {}
             core = piece.rstrip(_tail)
             cut = len(core) < len(piece) and core and core[-1].isalnum()
@@ -76,9 +77,12 @@ class PieceEncoder:
 
     def _tail(self, marks: str) -> bytes:
         if marks not in self.tails:
-            if len(self.tails) > self.most // 4:
-                self.tails = {}
-            self.tails[marks] = self.encode_many([marks])[0]
+            ids = self.encode_many([marks])[0]
+            if len(marks) > LONGEST:
+                return ids
+            if len(self.tails) > self.most // 8:
+                self.tails = {"": b""}
+            self.tails[marks] = ids
         return self.tails[marks]
 
     def _learn(self, new: set[str]) -> None:

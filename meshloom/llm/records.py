@@ -5,11 +5,19 @@ of those 8 bytes (4), the payload, its masked CRC-32 (4), and a line feed.  A
 payload is: whether it has a document id (1 byte), the id (8), the width of a
 token id (1: 2 or 4 bytes), the number of token ids (4), and the token ids.
 
-Documents are dealt by ranges of ids and sorted in each, so files in order of
-their names hold ascending ids.  Spark's own writer commits the files, in any
-store it can write to; a task that is lost runs again.  The index has, for each
-record, its file, offset and length, the document id, the number of token ids
-and how many come before it in its file; a shuffled read seeks by it.
+Documents are dealt by ranges of ids, ``RANGE_BYTES`` of text to a range about, and
+sorted in each.  A range starts another file, in the folder of the next chunk,
+after ``CHUNK_BYTES``, so that no file grows with the input; files in order of
+range and chunk hold ascending ids.  Spark's own writer commits the files, in
+any store it can write to; a task that is lost runs again.  The text writer is
+that writer: it puts a record's bytes down as they are and a line feed after
+them.  The index has, for each record, its file, offset and length, the
+document id, the number of token ids and how many come before it in its file; a
+shuffled read seeks by it.
+
+Texts are encoded as the tokenizers library does by default: the content of an
+added token in a text becomes that token.  With ``special_as_text`` it is text
+like any other.
 
 Defined cases: a null text counts as empty, and its record holds the end id
 only.  A null document id sorts first.  Repeated rows get a record each.  An
@@ -37,7 +45,9 @@ from meshloom.llm.pretokens import PieceEncoder
 
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<BqBI")
-INDEX = "file string, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long"
+INDEX = "part long, chunk long, file string, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long"
+#: Text of a range of documents, about, and records of a file at most, but for the last one.
+RANGE_BYTES, CHUNK_BYTES = 32 << 20, 64 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -83,15 +93,23 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 class _Encoder(PieceEncoder):
     """A piece of letters alone is one pre-token and goes to the library's merges directly, which costs half as much."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = special_as_text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = () if special_as_text else tuple(added)
         self.merge = self.library.model.tokenize
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         self.shown = dict(enumerate(byte_characters()))
         super().__init__(self._many)
 
+    def encode(self, text: str) -> bytes:
+        """The ids of a text; the library itself looks for added tokens in texts that hold the content of one."""
+        if any(content in text for content in self.added):
+            return self._little(self.library.encode(text, add_special_tokens=False).ids)
+        return super().encode(text)
+
     def _little(self, ids: list[int]) -> bytes:
         made = array(self.kind, ids)
         if sys.byteorder == "big":
@@ -111,48 +129,61 @@ class _Encoder(PieceEncoder):
         return text.encode().decode("latin-1").translate(self.shown)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> _Encoder:
-    """One encoder for each tokenizer file and worker process."""
-    return _Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, special_as_text: bool = False) -> _Encoder:
+    """One encoder for each worker process."""
+    return _Encoder(path, special_as_text)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
-    """Encode ``docs (doc_id, text)`` and write the records under ``path/data``."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_as_text: bool = False) -> None:
+    """Encode ``docs (doc_id, text)`` and write the records under ``path/data/chunk=K``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, special_as_text)
+        nth = total = 0
         for batch in batches:
-            made = []
+            made, chunks, first = [], [], nth
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.frombuffer(own.encode(text.as_py() or ""), dtype=f"<u{own.width}")
-                made.append(frame(pack(doc_id, np.append(ids, end_id), own.width)))
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    # The text writer puts a line feed after each value: the last byte of a record.
-    records = rows.mapInArrow(work, "record binary").select(F.expr("cast(substring(record, 1, length(record) - 1) as string)").alias("value"))
-    records.write.option("lineSep", "\n").text(f"{path}/data")
+                record = frame(pack(doc_id, np.append(ids, end_id), own.width))
+                made.append(record[:-1])  # the writer adds the line feed
+                chunks.append(total // CHUNK_BYTES)
+                total += len(record)
+                nth += 1
+            columns = [pa.array(chunks, pa.int64()), pa.array(range(first, nth), pa.int64()), pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "nth", "record"])
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Repeated ids are one key, so the row's number deals them to several ranges.
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(max(1, -(-size // RANGE_BYTES)), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    records = rows.select("doc_id", "text").mapInArrow(work, "chunk long, nth long, record binary")
+    records = records.sortWithinPartitions("chunk", "nth").select("chunk", F.col("record").cast("string").alias("value"))
+    records.write.partitionBy("chunk").option("lineSep", "\n").text(f"{path}/data")
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in INDEX.split(", ")]
-    kinds = [pa.string()] + [pa.int64()] * 6
+    kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.int64()] * 6
     for batch in batches:
-        for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+        for part, chunk, file, content in zip(*(batch.column(c).to_pylist() for c in names[:3]), batch.column("content"), strict=True):
             rows, before = [], 0
             for at, payload in frames(content.as_py()):
                 doc_id, ids = unpack(payload)
-                rows.append((file, at, len(payload) + HEAD.size + 5, doc_id, len(ids), before, zlib.crc32(ids.tobytes())))
+                rows.append((part, chunk, file, at, len(payload) + HEAD.size + 5, doc_id, len(ids), before, zlib.crc32(ids.tobytes())))
                 before += len(ids)
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    """``(part, chunk, file, content)``: the range's number, the chunk's, and the path under ``data``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/data")
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    return files.select(
+        number("/part-(\\d+)[^/]*$").alias("part"), number("/chunk=(\\d+)/[^/]*$").alias("chunk"), F.regexp_extract("path", "(chunk=\\d+/[^/]*)$", 1).alias("file"), "content"
+    )
 
 
 def write_index(spark: SparkSession, path: str) -> DataFrame:
@@ -164,7 +195,7 @@ def write_index(spark: SparkSession, path: str) -> DataFrame:
 def starts(index: DataFrame) -> DataFrame:
     """The index with ``start``: the token ids of all documents before, in ascending order of ids."""
     spark = index.sparkSession
-    counts = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).orderBy("file").collect()  # a row a file
+    counts = index.groupBy("part", "chunk", "file").agg(F.sum("n_tokens").alias("n")).orderBy("part", "chunk").collect()  # a row a file
     base, rows = 0, []
     for r in counts:
         rows.append((r["file"], base))

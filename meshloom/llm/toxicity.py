@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.pretokens import KEPT
+from meshloom.llm.bpe import KEPT_BYTES, OVERHEAD
 from meshloom.plans.scratch import materialize
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed ids.
@@ -111,6 +111,7 @@ class Model:
         self.longest = max(map(len, spelled), default=0)
         self.stems = any(e.startswith("^") for e in self.entries)
         self.kept: dict[str, float] = {}
+        self.held = 0
 
     def weight(self, word: str) -> float:
         """The largest weight of the entries that a plain word matches."""
@@ -185,11 +186,12 @@ class Model:
     def hits(self, text: str) -> tuple[int, float]:
         """How many tokens match, and the sum of the distinct ones' weights."""
         tokens = text.lower().split()
-        if len(self.kept) > KEPT:
-            self.kept = {}
+        if self.held > KEPT_BYTES:
+            self.kept, self.held = {}, 0
         kept, found = self.kept, set(tokens)
         for new in found.difference(kept):
             kept[new] = self.token(new)
+            self.held += OVERHEAD + len(new)
         some = {t for t in found if kept[t]}
         n = sum(t in some for t in tokens) if some else 0
         total = sum(kept[t] for t in some)

@@ -280,13 +280,14 @@ def test_byte_bpe(awkward, small):
     assert sorted(bytes(r["data"]) for r in data) == sorted((t or "").encode() for _, t in texts(awkward))
 
 
-def library_ids(text):
+def library_ids(text, special_as_text=False):
     from tokenizers import Tokenizer
 
     if not hasattr(library_ids, "own"):
         library_ids.own = Tokenizer.from_file(TOKENIZER)
-        library_ids.own.encode_special_tokens = True
-    return library_ids.own.encode(text, add_special_tokens=False).ids
+        library_ids.plain = Tokenizer.from_file(TOKENIZER)
+        library_ids.plain.encode_special_tokens = True
+    return (library_ids.plain if special_as_text else library_ids.own).encode(text, add_special_tokens=False).ids
 
 
 def test_records(spark, awkward, small, tmp_path):
@@ -303,6 +304,64 @@ def test_records(spark, awkward, small, tmp_path):
         assert Counter((r["doc_id"], tuple(r["ids"])) for r in records.read(spark, path).collect()) == Counter((i, (*library_ids(t or ""), 0)) for i, t in want)
 
 
+def test_records_of_added_tokens(spark, tmp_path):
+    """An added token's content becomes that token, as the library has it, or stays text if that is asked for."""
+    found = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "a<|endoftext", "<|endoftext|>  b "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "doc_id long, text string")
+    for special_as_text in (False, True):
+        path = f"file://{tmp_path}/{special_as_text}"
+        records.write(df, path, TOKENIZER, special_as_text=special_as_text)
+        got = {r["doc_id"]: list(r["ids"]) for r in records.read(spark, path).collect()}
+        assert got == {i: [*library_ids(t, special_as_text), 0] for i, t in enumerate(found)}
+    assert library_ids(found[0]) == [87, 220, 50256, 331]
+
+
+def test_records_in_chunks(spark, small, tmp_path, monkeypatch):
+    """Files end at their bound; order, starts and checksums hold over files of a range, and repeated ids are dealt over ranges."""
+    import zlib
+
+    monkeypatch.setattr(records, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(records, "RANGE_BYTES", 60_000)
+    same = small.select("doc_id", "text").union(small.selectExpr("7L as doc_id", "concat('again ', text) as text"))
+    path = f"file://{tmp_path}/chunks"
+    records.write(same, path, TOKENIZER)
+    index = records.starts(records.write_index(spark, path)).orderBy("part", "chunk", "offset").collect()
+    assert len({r["chunk"] for r in index}) > 3 and len({r["part"] for r in index if r["doc_id"] == 7}) > 1
+    assert [r["doc_id"] for r in index] == sorted(r["doc_id"] for r in same.collect())
+    start = 0
+    for r in index:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    want = Counter((i, zlib.crc32(np.array([*library_ids(t or ""), 0], dtype="<u4").tobytes())) for i, t in texts(same))
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in index) == want
+
+
+def test_op8_query(spark):
+    """Every column of the query against the library."""
+    import zlib
+
+    from meshloom.llm import queries
+
+    got = {r["doc_id"]: r.asDict() for r in queries.op8_token_records(spark, SMALL).collect()}
+    start = 0
+    for i, t in sorted(texts(spark.read.parquet(f"{SMALL}/documents.parquet"))):
+        ids = np.array([*library_ids(t or ""), 0], dtype="<u4")
+        assert got[i] == {"doc_id": i, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes())}
+        start += len(ids)
+
+
+def test_piece_encoder_forgets():
+    """Small generations change nothing but the time."""
+    from meshloom.llm.pretokens import PieceEncoder
+
+    made = PieceEncoder(lambda texts: [t.encode() for t in texts], most=100)
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        text = " ".join(f"w{int(x)}{'.' * int(x % 3)}" for x in rng.integers(0, 300, 20))
+        assert made.encode(text) == text.encode()
+        assert len(made.kept) <= 100 + 40 and len(made.old) <= 140 and len(made.bare) <= 14 and len(made.tails) <= 14
+
+
 def test_piece_encoder_agrees_with_the_library():
     own = records.encoder(TOKENIZER)
     rng = np.random.default_rng(5)
