@@ -17,7 +17,7 @@ from collections.abc import Callable
 #: Longer pieces are not kept, so that a piece and its ids take 200 bytes, and 850 at most.
 LONGEST = 64
 #: Distinct pieces that a worker keeps the ids of in a generation; it has two.
-KEPT = 180_000
+KEPT = 260_000
 _odd_space = re.compile(r" (?:\s|\Z)").search
 _lines = re.compile(r"\S+(?:\n\S+)+\Z").match
 _tail = ".,;:!?%$&*#|)\"'"
@@ -88,28 +88,30 @@ class PieceEncoder:
     def _learn(self, new: set[str]) -> None:
         """Fill ``kept`` for pieces that it lacks."""
         kept, old = self.kept, self.old
-        again = {piece for piece in new if piece in old} if old else set()
-        for piece in again:
-            kept[piece] = old[piece]
+        if old and (again := new & old.keys()):
+            for piece in again:
+                kept[piece] = old[piece]
+            new = new - again
         cut: list[tuple[str, str, str]] = []
-        whole: set[str] = set()
-        lines = []
-        for piece in new - again:
+        whole, lines = [], []
+        for piece in new:
+            core = piece.rstrip(_tail)
             if "\n" in piece and _lines(piece):
                 lines.append(piece)
                 core = piece[: piece.index("\n")]
-                if core not in kept:
-                    whole.add(core)
+            elif len(core) == len(piece) or not core or not core[-1].isalnum():
+                whole.append(piece)
                 continue
-            core = piece.rstrip(_tail)
-            if len(core) == len(piece) or not core or not core[-1].isalnum():
-                whole.add(piece)
             else:
                 cut.append((piece, core, piece[len(core) :]))
-                if core not in kept:
-                    whole.add(core)
-        listed = list(whole)
-        kept.update(zip(listed, self.encode_many([" " + p for p in listed]), strict=True))
+            if core not in kept and core not in new:
+                if core in old:
+                    kept[core] = old[core]
+                else:
+                    kept[core] = b""
+                    whole.append(core)
+        if whole:
+            kept.update(zip(whole, self.encode_many([" " + p for p in whole]), strict=True))
         for piece, core, tail in cut:
             kept[piece] = kept[core] + self._tail(tail)
         feed = self._tail("\n") if lines else b""

@@ -101,7 +101,9 @@ class _Encoder(PieceEncoder):
         self.merge = self.library.model.tokenize
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
-        self.shown = dict(enumerate(byte_characters()))
+        self.shown = dict(enumerate(byte_characters()))  # the characters that the vocabulary shows bytes by
+        self.space = self.shown[ord(" ")]
+        self.one = [k.to_bytes(self.width, "little") for k in range(self.library.get_vocab_size())]
         super().__init__(self._many)
 
     def encode(self, text: str) -> bytes:
@@ -117,16 +119,25 @@ class _Encoder(PieceEncoder):
         return made.tobytes()
 
     def _many(self, texts: list[str]) -> list[bytes]:
-        rest = [t for t in texts if not t.removeprefix(" ").isalpha()]
-        found = {}
+        merge, one, join = self.merge, self.one, b"".join
+        found: list[bytes] = []
+        rest = []
+        for text in texts:
+            core = text[1:] if text[0] == " " else text
+            if not core.isalpha():
+                rest.append((len(found), text))
+                found.append(b"")
+                continue
+            if not text.isascii():
+                shown = text.encode().decode("latin-1").translate(self.shown)
+            else:
+                shown = text if core is text else self.space + core
+            found.append(join([one[x.id] for x in merge(shown)]))
         if rest:
-            made = self.library.encode_batch_fast(rest, add_special_tokens=False)
-            found = {t: self._little(x.ids) for t, x in zip(rest, made, strict=True)}
-        return [found[t] if t in found else self._little([x.id for x in self.merge(self._bytes(t))]) for t in texts]
-
-    def _bytes(self, text: str) -> str:
-        """The text's bytes as the characters that the vocabulary shows them by."""
-        return text.encode().decode("latin-1").translate(self.shown)
+            made = self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+            for (at, _), x in zip(rest, made, strict=True):
+                found[at] = self._little(x.ids)
+        return found
 
 
 @lru_cache(maxsize=1)
