@@ -399,3 +399,47 @@ def test_empty_records(spark, empty, tmp_path):
     path = f"file://{tmp_path}/none"
     records.write(empty, path, TOKENIZER)
     assert records.starts(records.write_index(spark, path)).count() == 0
+
+
+# -- n-gram join: rows that meet oddly ----------------------------------------
+
+
+def test_ngram_rows_of_one_id_and_clashing_names(spark):
+    """Rows of one id are one document; repeated rows, null ids and columns with the operator's own names keep their place."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b + " end"), (7, c), (7, c), (None, c), (8, None), (6, c.upper())]
+    df = spark.createDataFrame([(i, t, k, "x", "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id int, _row string, component string")
+    found = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.components(df).collect())
+    assert found == Counter([(3, 3), (5, 3), (5, 3), (9, 3), (7, 6), (7, 6), (None, None), (8, 8), (6, 6)])
+    kept = ngram_join.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, a), (None, c), (8, None), (6, c.upper())])
+
+
+def test_ngram_long_document_and_hot_shingle(spark, monkeypatch):
+    """A very long text links with its near copy; a shingle of many nodes is cut into chunks and loses no pair."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    rng = np.random.default_rng(3)
+    long = [f"w{x}" for x in rng.integers(0, 1 << 40, 1_000_000)]
+    rows = [(0, " ".join(long)), (1, " ".join(long[:900_000] + ["new"] * 5 + long[900_000:]))]
+    base = [f"b{x}" for x in range(60)]
+    for k in range(2, 62):
+        own = list(base)
+        for at in rng.choice(60, 1 + k % 3, replace=False):
+            own[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    assert got == {i: root(i) for i in sets}
