@@ -59,8 +59,8 @@ LEAST_WORD = 16
 #: Least hashes under which a first round links nodes.
 ROUNDS = 3
 LEAST_BITS = 1024
-#: Bytes of the folded bitmaps that rows of tiles carry: as many bits as shingles, within these bounds.
-SHORTEST, SHORT = 32, 128
+#: Bytes of the folded bitmaps that rows of tiles carry, at most.
+SHORT = 256
 #: Hashes of each kind that a task counts at once for the common order.
 HELD = 1 << 20
 FREQUENT_RANK = 1 << 32
@@ -214,8 +214,7 @@ def _signatures(n: int, order: Broadcast):
                 firsts.append(_least(s))
                 heads.append(order.value.prefix(s, rank).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
                 bits.append(bitmap(s))
-                width = min(SHORT, max(SHORTEST, 1 << max(0, len(s) - 1).bit_length() >> 3))
-                short.append(folded(bits[-1], width).tobytes())
+                short.append(folded(bits[-1], min(SHORT, len(bits[-1]))).tobytes())
             longs = pa.list_(pa.int64())
             columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, longs), pa.array(heads, longs)]
             columns += [pa.array(bits, pa.binary()), pa.array(short, pa.binary())]
