@@ -64,15 +64,18 @@ def eliminate_fragments(placed: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def bfs_levels(edges: DataFrame, root: DataFrame) -> DataFrame:
-    """``(id, level)`` of the vertices reachable from ``root (id)``: a frontier join a level, written each round."""
+    """``(id, level)`` of the vertices reachable from ``root (id)``: a frontier join a level, written each round.
+
+    Edges go both ways, so neighbours of a level are in it or in one beside it, and two fronts tell what is new.
+    """
     links = materialize(edges.select("src", "dst").distinct(), "links")
-    level = 0
     front = materialize(root.select("id").distinct().withColumn("level", F.lit(0)), "front")
-    done = front
+    done, before, level = front, front, 0
     while not front.isEmpty():
         level += 1
         reached = front.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        front = materialize(reached.join(done.select("id"), "id", "left_anti").withColumn("level", F.lit(level)), "front")
+        new = reached.join(front.union(before).select("id"), "id", "left_anti")
+        front, before = materialize(new.withColumn("level", F.lit(level)), "front"), front
         done = done.union(front)
         if level % 16 == 0:
             done = materialize(done, "levels")

@@ -164,11 +164,26 @@ def closed_neighbourhoods(edges: DataFrame) -> DataFrame:
     return found.select("id", F.array_sort(F.array_union("_d", F.array("id"))).alias("around"))
 
 
+def _hoods(edges: DataFrame) -> DataFrame:
+    """``(id, degree, f, g)``: the number of a vertex's neighbours and 128 bits of their set, whatever its size.
+
+    ``edges`` have no duplicates.  Partial sums come before the shuffle, so a hub is no task's work.
+    """
+    one, two = (F.bit_xor(F.xxhash64("dst", F.lit(seed))) for seed in (1, 2))
+    return edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), one.alias("f"), two.alias("g"))
+
+
 def compress_identical(edges: DataFrame) -> DataFrame:
-    """``(id, cid)``: vertices with equal closed neighbourhoods share the smallest id of them."""
-    around = closed_neighbourhoods(edges)
-    same = around.groupBy("around").agg(F.min("id").alias("cid"))
-    return around.join(same, "around").select("id", "cid")
+    """``(id, cid)``: vertices with equal closed neighbourhoods share the smallest id of them.
+
+    Neighbourhoods are compared by their size and a 128-bit fingerprint.
+    """
+    from meshloom.plans.scratch import materialize
+
+    with_own = {c: F.col(c).bitwiseXOR(F.xxhash64("id", F.lit(seed))) for c, seed in (("f", 1), ("g", 2))}
+    around = materialize(_hoods(edges).withColumns(with_own), "hoods")
+    same = around.groupBy("degree", "f", "g").agg(F.min("id").alias("cid"))
+    return around.join(same, ["degree", "f", "g"]).select("id", "cid")
 
 
 def worth_compressing(mapping: DataFrame, fraction: float = 0.85) -> bool:
@@ -179,8 +194,7 @@ def worth_compressing(mapping: DataFrame, fraction: float = 0.85) -> bool:
 
 def twins(edges: DataFrame, most: int = 64) -> DataFrame:
     """``(id, mate)``: vertices of the same open neighbourhood, at most ``most`` neighbours, paired in order of ids."""
-    hoods = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("hood")).where(F.size("hood") <= most)
-    return _pairs(hoods, "hood")
+    return _pairs(_hoods(edges).where(F.col("degree") <= most), "degree", "f", "g")
 
 
 def leaves(edges: DataFrame) -> DataFrame:
@@ -189,13 +203,13 @@ def leaves(edges: DataFrame) -> DataFrame:
     return _pairs(single, "hub")
 
 
-def _pairs(rows: DataFrame, key: str) -> DataFrame:
+def _pairs(rows: DataFrame, *key: str) -> DataFrame:
     """Pair the first with the second of each key, the third with the fourth, and so on."""
     from meshloom.operators.ordering import rank_within
 
-    ranked = rank_within(rows.select("id", F.xxhash64(key).alias("_k"), F.col(key).alias("_key")), "_k", "id", "_rank")
+    ranked = rank_within(rows.select("id", F.xxhash64(*key).alias("_k"), *key), "_k", "id", "_rank")
     half = (F.col("_rank") / 2).cast("long")
-    both = ranked.groupBy("_k", "_key", half.alias("_half")).agg(F.min("id").alias("id"), F.max("id").alias("mate"), F.count("*").alias("n"))
+    both = ranked.groupBy("_k", *key, half.alias("_half")).agg(F.min("id").alias("id"), F.max("id").alias("mate"), F.count("*").alias("n"))
     return both.where("n = 2").select("id", "mate")
 
 

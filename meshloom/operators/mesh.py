@@ -6,37 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Members of a key that meet in one task at most; a key with more is split.
+HOT = 4096
+
+
+def _pairs(incidence: DataFrame, key: str, member: str) -> DataFrame:
+    """``(lo, hi)``: members of a key, two by two, the smaller first; a row for each key that both have.
+
+    Members of a key with many go to as many groups as it takes, and the others meet each group, so no
+    task has more than ``HOT`` rows of a key to pair.
+    """
+    rows = incidence.select(F.col(key).alias("_key"), F.col(member).alias("_m"))
+    hot = rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT)
+    rows = rows.join(hot.select(F.col("_key"), F.ceil(F.col("_n") / HOT).cast("int").alias("_groups")), "_key", "left")
+    groups = F.coalesce("_groups", F.lit(1))
+    left = rows.select("_key", F.pmod(F.xxhash64("_m"), groups).cast("int").alias("_salt"), F.col("_m").alias("lo"))
+    right = rows.select("_key", F.explode(F.sequence(F.lit(0), groups - 1)).alias("_salt"), F.col("_m").alias("hi"))
+    return left.join(right, ["_key", "_salt"]).where("lo < hi").select("lo", "hi")
+
+
+def _both_ways(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Edges in both directions of ``pairs (lo, hi, ...)``."""
+    ends = F.array(F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")), F.struct(F.col("hi").alias("src"), F.col("lo").alias("dst")))
+    return pairs.select(F.explode(ends).alias("_e"), *columns).select("_e.src", "_e.dst", *columns)
+
+
 def dual_graph(incidence: DataFrame, ncommon: int = 1, relaxed: bool = True) -> DataFrame:
     """Elements are adjacent when they share enough nodes; ``wgt`` counts the shared ones.
 
     Strict: at least ``ncommon`` of them.  Relaxed: all but one node of either
     element will do as well, so a one-node element stays adjacent to itself.
-    The pairs meet node by node; map-side sums shrink them before the shuffle.
+    Each pair meets node by node once, map-side sums shrink them before the
+    shuffle, and pairs that stay are mirrored.
     """
     ncommon = max(1, ncommon)
-    left = incidence.select(F.col("elem").alias("src"), "node")
-    right = incidence.select(F.col("elem").alias("dst"), "node")
-    shared = left.join(right, "node").groupBy("src", "dst").agg(F.count("*").alias("wgt"))
-    distinct = F.col("src") != F.col("dst")
+    shared = _pairs(incidence, "node", "elem").groupBy("lo", "hi").agg(F.count("*").alias("wgt"))
     if not relaxed:
-        return shared.where(distinct & (F.col("wgt") >= ncommon))
+        return _both_ways(shared.where(F.col("wgt") >= ncommon), "wgt")
     sizes = incidence.groupBy("elem").agg(F.count("*").alias("n"))
-    both = shared.join(sizes.select(F.col("elem").alias("src"), F.col("n").alias("n_src")), "src").join(
-        sizes.select(F.col("elem").alias("dst"), F.col("n").alias("n_dst")), "dst"
-    )
-    near = F.col("wgt") >= F.least(F.lit(ncommon), F.col("n_src") - 1, F.col("n_dst") - 1)
-    single = ~distinct & (F.col("n_src") == 1)
-    return both.where((distinct & near) | single).select(
-        "src", "dst", F.when(single, 0).otherwise(F.col("wgt")).cast("long").alias("wgt")
+    both = shared.join(sizes.select(F.col("elem").alias("lo"), F.col("n").alias("n_lo")), "lo").join(
+        sizes.select(F.col("elem").alias("hi"), F.col("n").alias("n_hi")), "hi"
     )
+    near = F.col("wgt") >= F.least(F.lit(ncommon), F.col("n_lo") - 1, F.col("n_hi") - 1)
+    single = sizes.where("n = 1").select(F.col("elem").alias("src"), F.col("elem").alias("dst"), F.lit(0).cast("long").alias("wgt"))
+    return _both_ways(both.where(near), "wgt").union(single)
 
 
 def nodal_graph(incidence: DataFrame) -> DataFrame:
     """Nodes are adjacent when some element holds both; ``wgt`` is 1."""
-    left = incidence.select("elem", F.col("node").alias("src"))
-    right = incidence.select("elem", F.col("node").alias("dst"))
-    pairs = left.join(right, "elem").where(F.col("src") != F.col("dst"))
-    return pairs.select("src", "dst").distinct().withColumn("wgt", F.lit(1).cast("long"))
+    pairs = _pairs(incidence, "elem", "node").distinct()
+    return _both_ways(pairs).withColumn("wgt", F.lit(1).cast("long"))
 
 
 def induce_majority(touching: DataFrame) -> DataFrame:

@@ -72,12 +72,13 @@ def subdomain_degree_stats(placed: DataFrame) -> DataFrame:
 
 
 def interface_stats(placed: DataFrame, k: int) -> DataFrame:
-    """By kind (neighbour parts, outgoing weight, interface vertices): least, largest, mean, and largest over mean."""
-    vertices = placed.where(crosses()).groupBy("ps", "src").agg(F.sum("wgt").alias("cut"), F.collect_set("pd").alias("to"))
-    parts = vertices.groupBy("ps").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("to")))).cast("long").alias("neighbours"),
-        F.sum("cut").alias("cut"), F.count("*").alias("interface"),
-    )
+    """By kind (neighbour parts, outgoing weight, interface vertices): least, largest, mean, and largest over mean.
+
+    A vertex is an interface vertex once for each foreign part that it touches.
+    """
+    touching = placed.where(crosses()).groupBy("ps", "src", "pd").agg(F.sum("wgt").alias("cut"))
+    pairs = touching.groupBy("ps", "pd").agg(F.sum("cut").alias("cut"), F.count("*").alias("n"))
+    parts = pairs.groupBy("ps").agg(F.count("*").alias("neighbours"), F.sum("cut").alias("cut"), F.sum("n").alias("interface"))
     kinds = parts.unpivot("ps", ["neighbours", "cut", "interface"], "kind", "v")
     mean = F.sum("v") / k
     least = F.when(F.count("*") < k, 0).otherwise(F.min("v")).alias("least")

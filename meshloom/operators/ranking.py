@@ -22,25 +22,23 @@ def _totals(ranked: DataFrame) -> DataFrame:
 
 
 def max_accuracy(ranked: DataFrame) -> DataFrame:
-    """The best share of right answers over all cuts of the list, the empty one too."""
+    """The best percentage of right answers over the cuts of the list after one row or more."""
     met = _ordered(ranked).join(F.broadcast(_totals(ranked)))  # one row
-    right = F.greatest(F.max(F.col("tp") + F.col("n") - F.col("fp")), F.max("n"))
-    return met.agg(F.round(right / F.max(F.col("n") + F.col("p")), 6).alias("max_accuracy"))
+    return met.agg(F.round(100 * F.max(F.col("tp") + F.col("n") - F.col("fp")) / F.max(F.col("n") + F.col("p")), 6).alias("max_accuracy"))
 
 
 def roc_n(ranked: DataFrame, most: int, compat: bool = False) -> DataFrame:
-    """The area under the curve up to ``most`` false positives, over ``most`` times the positives.
+    """The area under the curve down to the ``most``-th false positive, over all positives times the false positives seen.
 
-    Equal scores are one step, a trapezoid.  ``compat`` halves whole numbers, dropping remainders.
+    The list ends with that row, inside equal scores too.  Equal scores are one step, a trapezoid.
+    ``compat`` halves whole numbers, dropping remainders.  Without true or false positives: 0.
     """
-    ends = _ordered(ranked).groupBy("score").agg(F.max("tp").alias("tp"), F.max("fp").alias("fp"))
-    by = Window.orderBy(F.desc("score"))  # distinct scores
-    steps = ends.withColumns({"tp0": F.coalesce(F.lag("tp").over(by), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(by), F.lit(0))})
-    inside = steps.where(F.col("fp0") < most)
+    seen = _ordered(ranked).withColumns({"tp0": F.col("tp") - F.col("pos"), "fp0": F.col("fp") - (1 - F.col("pos"))}).where(F.col("fp0") < most)
+    steps = seen.groupBy("score").agg(*(fold(c).alias(c) for c, fold in (("tp", F.max), ("fp", F.max), ("tp0", F.min), ("fp0", F.min))))
     twice = (F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0"))
     area = F.sum(F.floor(twice / 2) if compat else twice / 2)
-    met = inside.agg(area.alias("area"), F.max("fp").alias("fp"), F.max("tp").alias("tp")).join(F.broadcast(_totals(ranked)))
-    value = F.when(F.col("tp") * F.col("fp") > 0, F.col("area") / (F.col("tp") * F.col("fp"))).otherwise(0.0)
+    met = steps.agg(area.alias("area"), F.max("fp").alias("fp"), F.max("tp").alias("tp")).join(F.broadcast(_totals(ranked)))  # one row
+    value = F.when(F.col("tp") * F.col("fp") > 0, F.col("area") / (F.col("p") * F.col("fp"))).otherwise(0.0)
     return met.select(F.round(value, 6).alias("roc_n"))
 
 
@@ -62,7 +60,12 @@ def geometric_mean(rows: DataFrame, column: str) -> DataFrame:
 
 
 def median(rows: DataFrame, column: str) -> DataFrame:
-    return rows.agg(F.round(F.percentile(column, F.lit(0.5)), 4).alias("median"))
+    """The middle value, or the mean of both middle ones; nulls are left out.  No task holds all values."""
+    known = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n = known.agg(F.count("*").alias("_n"))
+    placed = global_rank(known, ["v"], "nth").join(F.broadcast(n))  # one row
+    middle = placed.where((F.col("nth") == F.floor((F.col("_n") - 1) / 2)) | (F.col("nth") == F.floor(F.col("_n") / 2)))
+    return middle.agg(F.round(F.avg("v"), 4).alias("median"))
 
 
 def arg_extremes(rows: DataFrame, column: str, key: str, k: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshloom.operators import mesh
+from meshloom.plans.scratch import materialize
 
 CUSTOMER_SHIFT = 0
 SUPPLIER_SHIFT = 1_000_000_000
@@ -32,14 +33,20 @@ def strict_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.dual_graph(incidence(spark, sf_dir), ncommon=2, relaxed=False)
 
 
+def kept_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 written once, for queries that read it several times."""
+    return materialize(strict_dual(spark, sf_dir), "dual")
+
+
 def part_of(vertex: str | Column, k: int) -> Column:
     """the deterministic part of a vertex."""
     return F.pmod(F.col(vertex) if isinstance(vertex, str) else vertex, F.lit(k)).cast("int")
 
 
-def placed_dual(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
-    """F3 with F9: the part is a function of the id, so no join is needed."""
-    return strict_dual(spark, sf_dir).withColumns({"ps": part_of("src", k), "pd": part_of("dst", k)})
+def placed_dual(spark: SparkSession, sf_dir: str, k: int = 8, keep: bool = False) -> DataFrame:
+    """F3 with F9: the part is a function of the id, so no join is needed.  With ``keep``, F3 is written once."""
+    edges = kept_dual(spark, sf_dir) if keep else strict_dual(spark, sf_dir)
+    return edges.withColumns({"ps": part_of("src", k), "pd": part_of("dst", k)})
 
 
 def bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:

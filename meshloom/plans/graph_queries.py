@@ -14,7 +14,7 @@ P, H, D = f"WITH {fx.PLACED}", f"WITH {fx.HALVES}", f"WITH {fx.DUAL}"
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.placed_dual(spark, sf_dir, 2)
+    return fx.placed_dual(spark, sf_dir, 2, keep=True)
 
 
 # -- partition measures -----------------------------------------------------
@@ -70,7 +70,7 @@ def subdomain_degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "interface_stats",
-    f"""{P}, k AS (SELECT ps, count(DISTINCT pd) AS neighbours, sum(wgt) AS cut, count(DISTINCT src) AS interface FROM p WHERE ps <> pd GROUP BY 1),
+    f"""{P}, k AS (SELECT ps, count(DISTINCT pd) AS neighbours, sum(wgt) AS cut, count(DISTINCT (src, pd)) AS interface FROM p WHERE ps <> pd GROUP BY 1),
     u AS (SELECT ps, 'neighbours' AS kind, neighbours AS v FROM k UNION ALL SELECT ps, 'cut', cut FROM k UNION ALL SELECT ps, 'interface', interface FROM k)
     SELECT kind, CAST(CASE WHEN count(*) < 8 THEN 0 ELSE min(v) END AS BIGINT) AS least, CAST(max(v) AS BIGINT) AS largest,
            round(sum(v) / 8.0, 6) AS mean, round(max(v) / (sum(v) / 8.0), 6) AS balance FROM u GROUP BY 1""",
@@ -156,7 +156,7 @@ def boundary_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, b AS "to", CAST(sum(gain) AS BIGINT) AS gain FROM (SELECT * FROM own UNION ALL SELECT * FROM near) GROUP BY 1, 2""",
 )
 def volume_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.volume_gains(fx.placed_dual(spark, sf_dir))
+    return metrics.volume_gains(fx.placed_dual(spark, sf_dir, keep=True))
 
 
 MOVES = "m AS (SELECT o_orderkey AS id, CAST(o_orderkey % 8 AS INT) AS home, CAST((o_orderkey // 8) % 8 AS INT) AS pid, 1 + o_custkey % 3 AS vsize FROM orders)"
@@ -198,7 +198,7 @@ def remap_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
            (SELECT min(d) FROM d) AS min_degree, (SELECT max(d) FROM d) AS max_degree, (SELECT round(avg(d), 6) FROM d) AS avg_degree""",
 )
 def partition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.report(fx.placed_dual(spark, sf_dir), fx.weighted_orders(spark, sf_dir), 8)
+    return metrics.report(fx.placed_dual(spark, sf_dir, keep=True), fx.weighted_orders(spark, sf_dir), 8)
 
 
 @register("graph_memory", f"{D} SELECT CAST(count(*) * 16 + ((SELECT count(*) FROM orders) + 1) * 8 + (SELECT count(*) FROM orders) * 8 AS BIGINT) AS bytes FROM e")
@@ -214,7 +214,7 @@ BROKEN = """x AS (SELECT src, dst, wgt FROM e WHERE (src + dst) % 7 <> 0 OR src
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 with missing reverses, self loops, and second copies of edges with another weight."""
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     one_way = e.where("(src + dst) % 7 <> 0 or src < dst")
     loops = e.where("src % 50 = 0").select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(1).cast("long").alias("wgt"))
     again = e.where("src % 20 = 0 and src < dst and (src + dst) % 7 <> 0").select("src", "dst", (F.col("wgt") + 1).alias("wgt"))
@@ -312,33 +312,44 @@ def boundary_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{D} SELECT src // 2 AS src, dst // 2 AS dst, CAST(sum(wgt) AS BIGINT) AS wgt FROM e WHERE src // 2 <> dst // 2 GROUP BY 1, 2",
 )
 def contract_by_cmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     cmap = graphs.vertices_of(e).select("id", F.floor(F.col("id") / 2).alias("cid"))
     return graphs.contract(e, cmap)
 
 
 @register("project_partition", f"{D} SELECT DISTINCT src AS id, CAST((src // 2) % 8 AS INT) AS pid FROM e")
 def project_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cmap = graphs.vertices_of(fx.strict_dual(spark, sf_dir)).select("id", F.floor(F.col("id") / 2).alias("cid"))
+    cmap = graphs.vertices_of(fx.kept_dual(spark, sf_dir)).select("id", F.floor(F.col("id") / 2).alias("cid"))
     coarse = cmap.select(F.col("cid").alias("id")).distinct().withColumn("pid", fx.part_of("id", 8))
     return graphs.project(cmap, coarse)
 
 
 HOODS = "h AS (SELECT src AS id, list_sort(list_distinct(list(dst) || [src])) AS around, list_sort(list(DISTINCT dst)) AS hood FROM e GROUP BY 1)"
+BIP = f"WITH {fx.BIPARTITE}, {HOODS}"
 
 
-@register("compress_identical", f"WITH {fx.DUAL}, {HOODS} SELECT id, min(id) OVER (PARTITION BY around) AS cid FROM h")
+@register("compress_identical", f"{BIP} SELECT id, min(id) OVER (PARTITION BY around) AS cid FROM h")
 def compress_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.compress_identical(fx.strict_dual(spark, sf_dir))
+    return graphs.compress_identical(fx.bipartite(spark, sf_dir))
 
 
-@register(
-    "twin_pairs",
-    f"""WITH {fx.DUAL}, {HOODS}, r AS (SELECT id, hood, row_number() OVER (PARTITION BY hood ORDER BY id) - 1 AS nth FROM h WHERE len(hood) <= 64)
-    SELECT a.id, b.id AS mate FROM r a JOIN r b ON a.hood = b.hood AND a.nth % 2 = 0 AND b.nth = a.nth + 1""",
-)
+@register("compress_identical_dual", f"WITH {fx.DUAL}, {HOODS} SELECT id, min(id) OVER (PARTITION BY around) AS cid FROM h")
+def compress_identical_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.compress_identical(fx.kept_dual(spark, sf_dir))
+
+
+_TWINS = """, n AS (SELECT id, row_number() OVER w - 1 AS nth, lead(id) OVER w AS mate FROM h WHERE len(hood) <= 64 WINDOW w AS (PARTITION BY hood ORDER BY id))
+    SELECT id, mate FROM n WHERE nth % 2 = 0 AND mate IS NOT NULL"""
+
+
+@register("twin_pairs", BIP + _TWINS)
 def twin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.twins(fx.strict_dual(spark, sf_dir))
+    return graphs.twins(fx.bipartite(spark, sf_dir))
+
+
+@register("twin_pairs_dual", f"WITH {fx.DUAL}, {HOODS}" + _TWINS)
+def twin_pairs_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.twins(fx.kept_dual(spark, sf_dir))
 
 
 @register(
@@ -352,7 +363,7 @@ def leaf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("prune_dense", f"{D}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY 1) SELECT id, degree, degree >= 1.5 * (SELECT avg(degree) FROM d) AS dense FROM d")
 def prune_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.prune_dense(fx.strict_dual(spark, sf_dir), 1.5)
+    return graphs.prune_dense(fx.kept_dual(spark, sf_dir), 1.5)
 
 
 @register("islands", f"{D} SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT src FROM e)")
@@ -370,7 +381,7 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{D}, a AS (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INT) AS pos FROM e) SELECT a.src, a.dst, a.pos, b.pos AS back FROM a JOIN a b ON a.src = b.dst AND a.dst = b.src",
 )
 def reverse_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.reverse_positions(fx.strict_dual(spark, sf_dir))
+    return graphs.reverse_positions(fx.kept_dual(spark, sf_dir))
 
 
 @register("interface_vertices", f"{P} SELECT src AS id, bool_or(ps <> pd) AS interface FROM p GROUP BY 1")
@@ -392,7 +403,7 @@ def _reversed(e: DataFrame) -> DataFrame:
 
 @register("reorder", f"WITH {fx.DUAL}, {PERM} SELECT a.pos AS src, b.pos AS dst, wgt FROM e JOIN q a ON src = a.id JOIN q b ON dst = b.id")
 def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return graphs.reorder(e, _reversed(e))
 
 
@@ -472,7 +483,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, pid, min(root) AS component FROM r GROUP BY 1, 2""",
 )
 def components_in_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.components_in_parts(fx.placed_dual(spark, sf_dir))
+    return analytics.components_in_parts(fx.placed_dual(spark, sf_dir, keep=True))
 
 
 @register(
@@ -495,21 +506,25 @@ def _root(e: DataFrame) -> DataFrame:
 
 @register(
     "bfs_levels",
-    f"""WITH RECURSIVE {fx.DUAL}, {ROOT}, r AS (SELECT id, 0 AS level FROM root UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE r.level < 60)
-    SELECT id, CAST(min(level) AS INT) AS level FROM r GROUP BY 1""",
+    f"""WITH RECURSIVE {fx.DUAL}, {ROOT}, r(id, level) USING KEY (id) AS (SELECT id, 0 FROM root UNION
+        SELECT n.id, n.level FROM (SELECT e.dst AS id, min(r.level) + 1 AS level FROM r JOIN e ON e.src = r.id GROUP BY 1) n
+        LEFT JOIN recurring.r k ON k.id = n.id WHERE k.id IS NULL OR n.level < k.level)
+    SELECT id, CAST(level AS INT) AS level FROM r""",
 )
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return analytics.bfs_levels(e, _root(e))
 
 
 @register(
     "sssp",
-    f"""WITH RECURSIVE {fx.DUAL}, {ROOT}, r AS (SELECT id, 0 AS dist FROM root UNION SELECT e.dst, r.dist + e.wgt FROM r JOIN e ON e.src = r.id WHERE r.dist < 150),
-    v AS (SELECT DISTINCT src AS id FROM e) SELECT v.id, CAST(coalesce(min(dist), -1) AS BIGINT) AS dist FROM v LEFT JOIN r ON r.id = v.id GROUP BY 1""",
+    f"""WITH RECURSIVE {fx.DUAL}, {ROOT}, r(id, dist) USING KEY (id) AS (SELECT id, CAST(0 AS BIGINT) FROM root UNION
+        SELECT n.id, n.dist FROM (SELECT e.dst AS id, CAST(min(r.dist + e.wgt) AS BIGINT) AS dist FROM r JOIN e ON e.src = r.id GROUP BY 1) n
+        LEFT JOIN recurring.r k ON k.id = n.id WHERE k.id IS NULL OR n.dist < k.dist),
+    v AS (SELECT DISTINCT src AS id FROM e) SELECT v.id, coalesce(dist, -1) AS dist FROM v LEFT JOIN r USING (id)""",
 )
 def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return analytics.sssp(e, _root(e), graphs.vertices_of(e))
 
 
@@ -538,7 +553,7 @@ def personalised_pagerank_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("compactness", f"WITH {fx.DUAL}, {PERM} SELECT round(avg(abs(a.pos - b.pos)), 6) AS compactness FROM e JOIN q a ON src = a.id JOIN q b ON dst = b.id")
 def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return analytics.compactness(e, _reversed(e))
 
 
@@ -548,17 +563,17 @@ def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, row_number() OVER (ORDER BY mean, id) - 1 AS pos FROM c""",
 )
 def centroid_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return analytics.centroid_order(e, _reversed(e))
 
 
 @register(
     "itemsets_1_2_3",
-    f"""WITH {fx.INC}, i1 AS (SELECT node FROM inc GROUP BY 1 HAVING count(*) >= 12), b AS (SELECT elem, node FROM inc JOIN i1 USING (node)),
+    f"""WITH {fx.INC}, i1 AS (SELECT node FROM inc GROUP BY 1 HAVING count(*) >= 3), b AS (SELECT elem, node FROM inc JOIN i1 USING (node)),
     s AS (SELECT [node] AS items, count(*) AS support FROM b GROUP BY 1
-          UNION ALL SELECT [a.node, b.node], count(*) FROM b a JOIN b USING (elem) WHERE a.node < b.node GROUP BY 1 HAVING count(*) >= 3
-          UNION ALL SELECT [a.node, b.node, c.node], count(*) FROM b a JOIN b USING (elem) JOIN b c USING (elem) WHERE a.node < b.node AND b.node < c.node GROUP BY 1 HAVING count(*) >= 3)
-    SELECT array_to_string(items, ',') AS items, support FROM s WHERE support >= 3 AND (len(items) = 1 OR support >= 3)""",
+          UNION ALL SELECT [a.node, b.node], count(*) FROM b a JOIN b USING (elem) WHERE a.node < b.node GROUP BY 1
+          UNION ALL SELECT [a.node, b.node, c.node], count(*) FROM b a JOIN b USING (elem) JOIN b c USING (elem) WHERE a.node < b.node AND b.node < c.node GROUP BY 1)
+    SELECT array_to_string(items, ',') AS items, support FROM s WHERE support >= 3""",
 )
 def itemsets_1_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analytics.itemsets(fx.transactions(spark, sf_dir), least=3, max_len=3)

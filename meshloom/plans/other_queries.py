@@ -13,15 +13,15 @@ from meshloom.plans.registry import register
 R = f"WITH {fx.RANKED}"
 
 
-@register("max_accuracy", f"{R} SELECT round(greatest(max(tp + n - fp), max(n)) / max(n + p), 6) AS max_accuracy FROM o, t")
+@register("max_accuracy", f"{R} SELECT round(100.0 * max(tp + n - fp) / max(n + p), 6) AS max_accuracy FROM o, t")
 def max_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.max_accuracy(fx.ranked(spark, sf_dir))
 
 
-_ROC = """, g AS (SELECT score, max(tp) AS tp, max(fp) AS fp FROM o GROUP BY 1),
-h AS (SELECT *, lag(tp, 1, 0) OVER (ORDER BY score DESC) AS tp0, lag(fp, 1, 0) OVER (ORDER BY score DESC) AS fp0 FROM g),
-a AS (SELECT sum({area}) AS area, max(tp) AS tp, max(fp) AS fp FROM h WHERE fp0 < 20)
-SELECT round(CASE WHEN tp * fp > 0 THEN CAST(area AS DOUBLE) / (tp * fp) ELSE 0 END, 6) AS roc_n FROM a"""
+# The list ends with the row of the last false positive, and all positives divide the area.
+_ROC = """, g AS (SELECT score, max(tp) AS tp, max(fp) AS fp, min(tp - pos) AS tp0, min(fp - (1 - pos)) AS fp0 FROM o WHERE fp - (1 - pos) < 20 GROUP BY 1),
+a AS (SELECT sum({area}) AS area, max(tp) AS tp, max(fp) AS fp FROM g)
+SELECT round(CASE WHEN tp * fp > 0 THEN CAST(area AS DOUBLE) / (p * fp) ELSE 0 END, 6) AS roc_n FROM a, t"""
 
 
 @register("roc_n", R + _ROC.format(area="(fp - fp0) * (tp + tp0) / 2.0"))

@@ -30,32 +30,32 @@ def _invariants(edges: DataFrame, part: DataFrame, k: int, ub: float) -> DataFra
 
 @register("partition_kway", f"{D} SELECT {INVARIANTS} FROM v")
 def partition_kway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8)), 8, 1.03)
 
 
 @register("partition_kway_distributed", f"{D} SELECT {INVARIANTS} FROM v")
 def partition_kway_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distributed way, which larger graphs take."""
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, kernel_size=6000)), 8, 1.10)
 
 
 @register("partition_rb", f"{D} SELECT {INVARIANTS} FROM v")
 def partition_rb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, ptype="rb", ufactor=30)), 8, 1.10)
 
 
 @register("partition_volume", f"{D} SELECT {INVARIANTS} FROM v")
 def partition_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, objtype="vol")), 8, 1.03)
 
 
 @register(
     "mesh_partition",
-    f"WITH {fx.INC}, x AS (SELECT * FROM inc WHERE elem < 4000) SELECT count(DISTINCT elem) AS n_elements, count(DISTINCT node) AS n_nodes, true AS in_range FROM x",
+    f"WITH {fx.INC} SELECT count(DISTINCT elem) AS n_elements, count(DISTINCT node) AS n_nodes, true AS in_range FROM inc",
 )
 def mesh_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodal way over the whole mesh."""
@@ -69,7 +69,7 @@ def mesh_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("node_nd", f"{D} SELECT count(*) AS n_vertices, true AS permutation FROM v")
 def node_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = partitioning.nested_dissection(fx.strict_dual(spark, sf_dir), OrderOptions())
+    order = partitioning.nested_dissection(fx.kept_dual(spark, sf_dir), OrderOptions())
     whole = (F.count("*") == F.count_distinct("pos")) & (F.min("pos") == 0) & (F.max("pos") == F.count("*") - 1) & (F.count("*") == F.count_distinct("id"))
     return order.agg(F.count("*").alias("n_vertices"), whole.alias("permutation"))
 
@@ -80,7 +80,7 @@ def fill_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshloom.operators import analytics
     from meshloom.operators.ordering import global_rank
 
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     ours = analytics.fill_in(e, partitioning.nested_dissection(e, OrderOptions()))
     ids = analytics.fill_in(e, global_rank(graphs.vertices_of(e), ["id"], "pos")).select(F.col("nnz").alias("by_id"))
     size = e.agg((F.count("*") / 2).alias("m")).join(F.broadcast(graphs.vertices_of(e).agg(F.count("*").alias("n"))))
@@ -90,7 +90,7 @@ def fill_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vertex_separator", f"{D} SELECT count(*) AS n_vertices, CAST(0 AS BIGINT) AS violations, true AS light FROM v")
 def vertex_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     part = partitioning.vertex_separator(e)
     bad = metrics.separator_violations(metrics.with_parts(e, part))
     facts = part.agg(F.count("*").alias("n_vertices"), (F.sum((F.col("pid") == 2).cast("long")) * 4 < F.count("*")).alias("light"))
@@ -99,7 +99,7 @@ def vertex_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("adaptive_repart", f"{D} SELECT count(*) AS n_vertices, true AS in_range, true AS not_worse FROM v")
 def adaptive_repart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     home = graphs.vertices_of(e).select("id", fx.part_of("id", 8).alias("pid"))
     part = partitioning.adaptive_repartition(e, home, PartitionOptions(nparts=8), 1000.0)
     ours = metrics.edge_cut(metrics.with_parts(e, part)).withColumnRenamed("edge_cut", "ours")
@@ -112,7 +112,7 @@ def adaptive_repart(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("matching", f"{D} SELECT count(*) AS n_vertices, true AS pairs, true AS edges, true AS shrinks FROM v")
 def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Handshake matching: groups of two at most, joined by an edge, and many of them."""
-    e = fx.strict_dual(spark, sf_dir)
+    e = fx.kept_dual(spark, sf_dir)
     cmap = graphs.match(e, graphs.vertices_of(e).withColumn("vwgt", F.lit(1)), 2.0, seed=3)
     sizes = cmap.groupBy("cid").agg(F.count("*").alias("n"))
     facts = sizes.agg(F.sum("n").alias("n_vertices"), (F.max("n") <= 2).alias("pairs"), (F.count("*") <= 0.75 * F.sum("n")).alias("shrinks"))
@@ -140,7 +140,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of parts join their neighbours, so parts have fewer pieces."""
     from meshloom.operators import analytics
 
-    placed = fx.placed_dual(spark, sf_dir)
+    placed = fx.placed_dual(spark, sf_dir, keep=True)
     e = placed.select("src", "dst", "wgt")
     new = analytics.eliminate_fragments(placed, graphs.vertices_of(e).withColumn("vwgt", F.lit(1)))
     pieces = lambda p: analytics.contiguity(p).agg(F.sum("pieces").alias("n"))
