@@ -85,6 +85,10 @@ class PieceEncoder:
             self.tails[marks] = ids
         return self.tails[marks]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, a space before each."""
+        return self.encode_many([" " + w for w in words])
+
     def _learn(self, new: set[str]) -> None:
         """Fill ``kept`` for pieces that it lacks."""
         kept, old = self.kept, self.old
@@ -93,14 +97,17 @@ class PieceEncoder:
                 kept[piece] = old[piece]
             new = new - again
         cut: list[tuple[str, str, str]] = []
-        whole, lines = [], []
+        words, others, lines = [], [], []
         for piece in new:
+            if piece.isalpha():
+                words.append(piece)
+                continue
             core = piece.rstrip(_tail)
             if "\n" in piece and _lines(piece):
                 lines.append(piece)
                 core = piece[: piece.index("\n")]
             elif len(core) == len(piece) or not core or not core[-1].isalnum():
-                whole.append(piece)
+                others.append(piece)
                 continue
             else:
                 cut.append((piece, core, piece[len(core) :]))
@@ -109,9 +116,11 @@ class PieceEncoder:
                     kept[core] = old[core]
                 else:
                     kept[core] = b""
-                    whole.append(core)
-        if whole:
-            kept.update(zip(whole, self.encode_many([" " + p for p in whole]), strict=True))
+                    (words if core.isalpha() else others).append(core)
+        if words:
+            kept.update(zip(words, self.encode_words(words), strict=True))
+        if others:
+            kept.update(zip(others, self.encode_many([" " + p for p in others]), strict=True))
         for piece, core, tail in cut:
             kept[piece] = kept[core] + self._tail(tail)
         feed = self._tail("\n") if lines else b""

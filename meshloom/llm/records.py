@@ -118,27 +118,21 @@ class _Encoder(PieceEncoder):
             made.byteswap()
         return made.tobytes()
 
-    def _many(self, texts: list[str]) -> list[bytes]:
-        merge, one, join = self.merge, self.one, b"".join
-        found: list[bytes] = []
-        rest = []
-        for text in texts:
-            core = text[1:] if text[0] == " " else text
-            if not core.isalpha():
-                rest.append((len(found), text))
-                found.append(b"")
-                continue
-            if not text.isascii():
-                shown = text.encode().decode("latin-1").translate(self.shown)
-            else:
-                shown = text if core is text else self.space + core
-            found.append(join([one[x.id] for x in merge(shown)]))
-        if rest:
-            made = self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-            for (at, _), x in zip(rest, made, strict=True):
-                found[at] = self._little(x.ids)
+    def encode_words(self, words: list[str], space: str | None = None) -> list[bytes]:
+        merge, one, join, shown = self.merge, self.one, b"".join, self.shown
+        space = self.space if space is None else space
+        found = []
+        for word in words:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(shown)
+            found.append(join([one[x.id] for x in merge(space + word)]))
         return found
 
+    def _many(self, texts: list[str]) -> list[bytes]:
+        if len(texts) == 1 and texts[0].isalpha():
+            return self.encode_words(texts, "")
+        return [self._little(x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str, special_as_text: bool = False) -> _Encoder:
