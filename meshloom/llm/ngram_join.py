@@ -60,7 +60,7 @@ LEAST_WORD = 16
 ROUNDS = 3
 LEAST_BITS = 1024
 #: Bytes of the folded bitmaps that rows of tiles carry, at most.
-SHORT = 256
+SHORT = 128
 #: Hashes of each kind that a task counts at once for the common order.
 HELD = 1 << 20
 FREQUENT_RANK = 1 << 32
