@@ -3,9 +3,11 @@
 Byte-level BPE never merges over the start of a pre-token, and a space between
 two characters that are no white space always starts one.  So texts are cut at
 such spaces, and a task encodes each distinct piece once; punctuation after a
-letter or digit starts a pre-token too and is cut from pieces that are new.
-Texts in which some space is followed by white space, or that end in a space,
-are rare: there a run of white space is cut by what follows it, and the text is
+letter or digit starts a pre-token too and is cut off: a stop or comma in all
+texts, other marks from pieces that are new.  So is a line feed between
+characters that are no white space.
+Texts in which some space is followed by white space, or that end in a space or
+hold a zero byte, are rare: there a run of white space is cut by what follows it, and the text is
 encoded as one piece.
 """
 
@@ -20,6 +22,9 @@ LONGEST = 64
 KEPT = 260_000
 _odd_space = re.compile(r" (?:\s|\Z)").search
 _lines = re.compile(r"\S+(?:\n\S+)+\Z").match
+_odd_line = re.compile(r"\n(?:(?<=\s\n)|(?<=\A\n)|(?=\s|\Z))").search
+_stops = re.compile(r"[.,](?<=[^\W_][.,])(?= |\Z)").sub
+_END = "\0"  # before an end of a word that is a piece of its own
 _tail = ".,;:!?%$&*#|)\"'"
 
 
@@ -44,8 +49,11 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _odd_space(text):
+        if _odd_space(text) or _END in text:
             return self.encode_many([text])[0]
+        if "\n" in text and not _odd_line(text):
+            text = text.replace("\n", " \n")  # a piece that starts with a line feed
+        text = _stops(r" \0\g<0>", text)
         first, *pieces = text.split(" ")
         if len(self.kept) > self.most:
             self.old, self.kept = self.kept, {}
@@ -102,6 +110,12 @@ class PieceEncoder:
             if piece.isalpha():
                 words.append(piece)
                 continue
+            if piece[0] == _END:
+                kept[piece] = self._tail(piece[1:])
+                continue
+            if piece[0] == "\n":
+                kept[piece] = self._tail("\n") + self._first(piece[1:])
+                continue
             core = piece.rstrip(_tail)
             if "\n" in piece and _lines(piece):
                 lines.append(piece)
