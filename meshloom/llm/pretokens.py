@@ -19,7 +19,7 @@ from collections.abc import Callable
 #: Longer pieces are not kept, so that a piece and its ids take 200 bytes, and 850 at most.
 LONGEST = 64
 #: Distinct pieces that a worker keeps the ids of in a generation; it has two.
-KEPT = 260_000
+KEPT = 220_000
 _odd_space = re.compile(r" (?:\s|\Z)").search
 _lines = re.compile(r"\S+(?:\n\S+)+\Z").match
 _odd_line = re.compile(r"\n(?:(?<=\s\n)|(?<=\A\n)|(?=\s|\Z))").search

@@ -189,11 +189,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def training_rows(featured: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` labelled training rows."""
+    """Features and labels of at most ``limit`` labelled training rows, one for each id (its least features)."""
     rows = labels.where(in_training(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     chosen = featured.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # limit rows of two numbers
-    found = featured.join(F.broadcast(chosen), "doc_id").select("x", "y").limit(2 * limit).toPandas()
+    found = featured.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas()  # limit rows
+    found = found.sort_values("doc_id")
     x = np.array(found["x"].tolist(), dtype=float).reshape(len(found), len(FEATURES))
     return x, (found["y"] > 0).to_numpy(dtype=float)
 

@@ -148,16 +148,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_a
         own = encoder(tokenizer, special_as_text)
         nth = total = 0
         for batch in batches:
-            made, chunks, first = [], [], nth
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(own.encode(text.as_py() or ""), dtype=f"<u{own.width}")
-                record = frame(pack(doc_id, np.append(ids, end_id), own.width))
-                made.append(record[:-1])  # the writer adds the line feed
-                chunks.append(total // CHUNK_BYTES)
-                total += len(record)
-                nth += 1
-            columns = [pa.array(chunks, pa.int64()), pa.array(range(first, nth), pa.int64()), pa.array(made, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "nth", "record"])
+            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                made, chunks, first = [], [], nth
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+                    ids = np.frombuffer(own.encode(text.as_py() or ""), dtype=f"<u{own.width}")
+                    record = frame(pack(doc_id, np.append(ids, end_id), own.width))
+                    made.append(record[:-1])  # the writer adds the line feed
+                    chunks.append(total // CHUNK_BYTES)
+                    total += len(record)
+                    nth += 1
+                columns = [pa.array(chunks, pa.int64()), pa.array(range(first, nth), pa.int64()), pa.array(made, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "nth", "record"])
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Repeated ids are one key, so the row's number deals them to several ranges.

@@ -2,15 +2,19 @@
 
 Learning, from a bounded sample of labelled rows: words and word beginnings
 whose documents are toxic far more often than chance become lexicon entries
-with log-odds weights.  Support counts distinct neighbours, so that a group of
-near copies counts about once.  A character language model, counted over all
-documents, is mixed with one of the lexicon's spellings.
+with log-odds weights.  Support counts distinct neighbours on the side that has
+more of them, so that a group of near copies counts about once and a word of a
+fixed phrase as often as the phrase.  A character language model, counted over
+all documents, is mixed with one of the lexicon's spellings.
 
-Scoring: tokens that are not plain words, stretched words and runs of single
+Restoring: tokens that are not plain words, stretched words and runs of single
 characters become lattices; a lattice offers, for each character, the letters
 it may stand for, and lets separators and repeats vanish at a cost.  Viterbi
-decoding under the language model restores a spelling.  The score of a document
-is a logistic function of the lexicon hits among its plain and restored words.
+decoding under the language model restores a spelling, of whole tokens: runs of
+separators and of equal characters are squeezed first, and a path keeps as many
+letters as tell whether it is an entry.  Among the spellings of nearly the best
+probability the one of most weight stands in the restored text.  The score of a
+document is a logistic function of the lexicon hits in its restored text.
 
 Defined cases: null and empty texts have no hits and get the score of such
 texts.  Without labels of both kinds every score is the share of toxic labels,
@@ -54,6 +58,7 @@ STANDS_FOR = {
 SEPARATORS = set(".,-_*~ '`^:;/\\=+#%&­​‌‍⁠﻿")
 
 SIZE = 64
+_idle = SEPARATORS - set(STANDS_FOR)
 _code = {c: i + 1 for i, c in enumerate(LETTERS)}
 _table = np.zeros(0x250, dtype=np.int64)
 for _c, _i in _code.items():
@@ -61,9 +66,12 @@ for _c, _i in _code.items():
 _words = re.compile(r"[^\W\d_]+").findall
 _stretched = re.compile(r"(.)\1\1").search
 _runs = re.compile(r"(.)\1{2,}")
+_number = re.compile(r"[#$€£+(<|!.-]*\d[\d.,:;/\-'`^~=_\s]*[%)€£$+*!|.,;:?\"']*").fullmatch
 _LEADING, _TRAILING, _CLOSING = frozenset("!$@(|+"), frozenset("$@!+|"), ".,;:?\"')"
 _edges = ".,;:!?\"'()[]{}<>*%$&#|-_=+/\\~`^"
 
+#: Spellings count whose log probability is less than this below the best.
+MARGIN = 5.0
 REPLACED, DROPPED, REPEATED = -1.5, -1.0, -0.5  # costs of the channel, as log probabilities
 
 
@@ -76,8 +84,26 @@ def features(word: str) -> Iterator[str]:
             yield "^" + word[:n]
 
 
+#: Characters that are counted at once.
+COUNTED = 1 << 18
+
+
 def letter_counts(texts: Iterable[str]) -> np.ndarray:
     """Counts of letter trigrams; 0 stands for any other character, and nothing is remembered beyond one."""
+    total = np.zeros(SIZE**3, dtype=np.int64)
+    held, size = [], 0
+    for text in texts:
+        for at in range(0, len(text), COUNTED):
+            # Pieces of a long text overlap by two characters, which the cut between texts would hide.
+            held.append(text[max(0, at - 2) : at + COUNTED])
+            size += len(held[-1])
+            if size > COUNTED:
+                total += _counted(held)
+                held, size = [], 0
+    return total + _counted(held) if held else total
+
+
+def _counted(texts: list[str]) -> np.ndarray:
     points = np.frombuffer("  ".join([*texts, ""]).lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     codes = np.where(points < len(_table), _table[np.minimum(points, len(_table) - 1)], 0)
     if len(codes) < 3:
@@ -97,6 +123,16 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
+def squeezed(noisy: str) -> str:
+    """A token with runs of separators that stand for no letter as one, and of equal characters as three."""
+    out: list[str] = []
+    for ch in noisy:
+        if ch in _idle and out and out[-1] in _idle or len(out) > 2 and out[-1] == out[-2] == out[-3] == ch:
+            continue
+        out.append(ch)
+    return "".join(out)
+
+
 @dataclass
 class Model:
     """``entries``: weights of the lexicon; ``language``: log probabilities; ``logistic``: bias and slopes."""
@@ -109,7 +145,7 @@ class Model:
         spelled = [e.lstrip("^") for e in self.entries]
         self.starts = {e[:2] for e in spelled}
         self.longest = max(map(len, spelled), default=0)
-        self.stems = any(e.startswith("^") for e in self.entries)
+        self.enough = max(self.longest, *PREFIXES) + 1  # letters that tell whether a word matches an entry
         self.kept: dict[str, float] = {}
         self.held = 0
 
@@ -118,12 +154,17 @@ class Model:
         return max((self.entries.get(f, 0.0) for f in features(word)), default=0.0)
 
     def decode(self, noisy: str) -> list[str]:
-        """Restored spellings of a noisy token, the best of each end state, best first."""
-        lp = self.language
-        noisy = _runs.sub(r"\1\1\1", noisy)
+        """Restored spellings of a noisy token, the best of each end state that comes near the best, best first.
+
+        Spellings of more than ``enough`` letters are cut there, and decoding ends once all are.
+        """
+        lp, enough = self.language, self.enough
+        noisy = squeezed(noisy)
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         before = ""
-        for ch in noisy:
+        for at, ch in enumerate(noisy):
+            if at % 32 == 31 and all(len(made) >= enough for _, made in states.values()):
+                break
             options = [(ch, 0.0)] if ch in _code else []
             options += [(x, REPLACED) for x in STANDS_FOR.get(ch, "")]
             drop = DROPPED if ch in SEPARATORS else REPEATED if ch == before else None
@@ -137,51 +178,91 @@ class Model:
                     c = _code[letter]
                     x = score + cost + float(lp[a, b, c])
                     if x > after.get((b, c), (-math.inf,))[0]:
-                        after[b, c] = (x, made + letter)
+                        after[b, c] = (x, made + letter if len(made) < enough else made)
             states, before = after, ch
         ends = sorted(((s + float(lp[a, b, 0]), made) for (a, b), (s, made) in states.items()), reverse=True)
-        return [made for _, made in ends]
+        return [made for s, made in ends if s > ends[0][0] - MARGIN]
 
     def _can_start(self, noisy: str) -> bool:
-        """Whether the lattice's first letters can begin an entry."""
-        heads = {""}
-        for ch in [c for c in noisy if c not in SEPARATORS or c in STANDS_FOR][:4]:
+        """Whether the lattice's first letters, those of four runs of equal characters, can begin an entry."""
+        heads, before, runs = {""}, "", 0
+        for ch in noisy:
+            if ch in _idle:
+                continue
+            runs += ch != before
+            if runs > 4:
+                break
+            before = ch
             heads |= {h + x for h in heads if len(h) < 2 for x in ((ch if ch in _code else "") + STANDS_FOR.get(ch, ""))}
         return not self.starts.isdisjoint(heads)
 
-    def restored(self, noisy: str) -> float:
-        """The weight of a noisy token once it is decoded."""
+    def _best(self, spelled: list[str]) -> tuple[float, str]:
+        """The spelling of most weight, the first among equals."""
+        return max(((self.weight(s), s) for s in spelled), key=lambda x: x[0], default=(0.0, ""))
+
+    def restored(self, noisy: str) -> tuple[float, str]:
+        """The weight and the spelling of a noisy token once it is decoded; no weight where that is no entry."""
         if self.language is None or not self.entries or not self._can_start(noisy):
-            return 0.0
+            return 0.0, noisy
         letters = [c for c in _runs.sub(r"\1\1\1", noisy) if c in _code or c in STANDS_FOR]
-        if len(letters) < 3 or not self.stems and len(letters) > 3 * self.longest:
-            return 0.0
-        spelled = self.decode("".join(noisy[: 4 * self.longest]) if len(noisy) > 4 * self.longest else noisy)
-        return max((self.weight(s) for s in spelled[:3]), default=0.0)
+        return self._best(self.decode(noisy)) if len(letters) >= 3 else (0.0, noisy)
 
-    def restored_run(self, run: str) -> float:
-        """The weight of single characters in a row, in which words may follow each other."""
+    def restored_run(self, run: str) -> tuple[float, str]:
+        """The weight and the spelling of single characters in a row, in which words may follow each other."""
         run = _runs.sub(r"\1\1", run)
         if self.language is None or not self.entries or len(run) < 4:
-            return 0.0
-        spelled = self.decode(run)[:3]
-        inside = max((w for e, w in self.entries.items() if len(e) >= 4 and e[0] != "^" and any(e in s for s in spelled)), default=0.0)
-        return max(inside, *map(self.weight, spelled), 0.0)
-
-    def token(self, token: str) -> float:
-        """The weight of a token between white space."""
+            return 0.0, run
+        best = (0.0, run)
+        # Words within a long run begin anywhere; windows overlap by the longest entry twice stretched.
+        width = max(64, 4 * self.longest)
+        for at in range(0, max(1, len(run) - width // 2), width // 2):
+            for spelled in self._decode_all(run[at : at + width]):
+                inside = max((w for e, w in self.entries.items() if len(e) >= 4 and e[0] != "^" and e in spelled), default=0.0)
+                best = max(best, (max(inside, self.weight(spelled) if at == 0 else 0.0), spelled), key=lambda x: x[0])
+        return best
+
+    def _decode_all(self, run: str) -> list[str]:
+        """As ``decode``, with all letters of a short run."""
+        enough, self.enough = self.enough, len(run)
+        try:
+            return self.decode(run)
+        finally:
+            self.enough = enough
+
+    def spelling(self, token: str) -> tuple[float, str]:
+        """The weight of a token between white space, and how the restored text spells it."""
         words = _words(token)
-        if not words:
-            return 0.0
-        if best := max(map(self.weight, words)):
-            return best
+        if not words and (_number(token) or sum(c in STANDS_FOR for c in token) < 3):
+            return 0.0, token
+        if words and (best := max(map(self.weight, words))):
+            return best, token
         core = token.strip(_edges)
-        forms = {core} if core != words[0] or _stretched(core) else set()
+        forms = {core} if not words or core != words[0] or _stretched(core) else set()
         if token[0] in _LEADING:
             forms.add(token.rstrip(_edges))
         if token.rstrip(_CLOSING)[-1:] in _TRAILING:
             forms.add(token.lstrip(_edges).rstrip(_CLOSING))
-        return max(map(self.restored, forms), default=0.0)
+        if not words:
+            forms.add(token.strip(_CLOSING))
+        best = max(map(self.restored, sorted(forms)), key=lambda x: x[0], default=(0.0, token))
+        return best if best[0] else (0.0, token)
+
+    def token(self, token: str) -> float:
+        """The weight of a token between white space."""
+        return self.spelling(token)[0]
+
+    def restore(self, text: str) -> str:
+        """The text in lower case with noisy tokens, and runs of single characters, as decoded where that makes entries."""
+        tokens = text.lower().split()
+        out = [self.spelling(t)[1] for t in tokens]
+        single = [i for i, size in enumerate(map(len, tokens)) if size == 1]
+        for run in _spaced(single) if len(single) >= 4 else ():
+            weight, spelled = self.restored_run("".join(tokens[i] for i in run))
+            if weight:
+                out[run[0]] = spelled
+                for i in run[1:]:
+                    out[i] = ""
+        return " ".join(t for t in out if t)
 
     def hits(self, text: str) -> tuple[int, float]:
         """How many tokens match, and the sum of the distinct ones' weights."""
@@ -198,7 +279,7 @@ class Model:
         single = [i for i, size in enumerate(map(len, tokens)) if size == 1]
         if len(single) >= 4:
             for run in _spaced(single):
-                if w := self.restored_run("".join(tokens[i] for i in run)):
+                if w := self.restored_run("".join(tokens[i] for i in run))[0]:
                     n, total = n + 1, total + w
         return n, total
 
@@ -239,35 +320,43 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[flo
 
 
 def in_training(doc_id: Column) -> Column:
-    """Rows that labels may be learned from; the others are held out."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
+    """Rows that labels may be learned from; the others are held out, and rows without an id are."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """``(doc_id, text, y)`` of at most ``limit`` labelled training rows, written once."""
+    """``(doc_id, text, y)`` of at most ``limit`` labelled training rows, one for each id (its least text), written once."""
     rows = labels.where(in_training(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # limit rows of two numbers
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return materialize(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "labelled")
+
+
+def _bucket(word: str) -> int:
+    return 1 << (int.from_bytes(word.encode()[-8:], "little") * 0x9E3779B97F4A7C15 >> 20 & 63)
 
 
 def _toxic_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold a feature, and hashed sets of the words before and after it."""
     docs: Counter[str] = Counter()
-    masks: dict[str, int] = {}
+    masks: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for batch in batches:
         for text in batch.column("text"):
             words = [w for t in (text.as_py() or "").lower().split() for w in _words(t)]
             seen = set()
-            for before, word in zip(["", *words], words, strict=False):
-                bit = 1 << (int.from_bytes(before.encode()[-8:], "little") * 0x9E3779B97F4A7C15 >> 20 & 63)
+            for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                bits = _bucket(before), _bucket(after)
                 for f in features(word):
                     seen.add(f)
-                    masks[f] = masks.get(f, 0) | bit
+                    for mask, bit in zip(masks, bits, strict=True):
+                        mask[f] = mask.get(f, 0) | bit
             docs.update(seen)
-    rows = [(f, n, masks[f] - (1 << 64) if masks[f] >> 63 else masks[f]) for f, n in docs.items()]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(f, n, signed(masks[0][f]), signed(masks[1][f])) for f, n in docs.items()]
     for at in range(0, len(rows), 50_000):
-        f, n, m = zip(*rows[at : at + 50_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["feature", "n", "mask"])
+        f, n, before, after = zip(*rows[at : at + 50_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(f), *(pa.array(x, pa.int64()) for x in (n, before, after))], ["feature", "n", "before", "after"])
 
 
 def _class_counts(train: DataFrame, candidates: set[str]) -> DataFrame:
@@ -293,9 +382,7 @@ def corpus_letters(docs: DataFrame) -> np.ndarray:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, dtype=np.int64)
         for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, len(texts), 256):
-                total += letter_counts(x.as_py() or "" for x in texts[at : at + 256])
+            total += letter_counts(x.as_py() or "" for x in batch.column("text"))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
@@ -306,8 +393,8 @@ def corpus_letters(docs: DataFrame) -> np.ndarray:
 
 
 def _lexicon(train: DataFrame) -> dict[str, float]:
-    found = train.where("y > 0").select("text").mapInArrow(_toxic_features, "feature string, n long, mask long")
-    spread = F.bit_count(F.bit_or("mask"))
+    found = train.where("y > 0").select("text").mapInArrow(_toxic_features, "feature string, n long, before long, after long")
+    spread = F.greatest(F.bit_count(F.bit_or("before")), F.bit_count(F.bit_or("after")))
     top = (
         found.groupBy("feature").agg(F.sum("n").alias("n"), spread.alias("spread")).where(F.col("spread") >= MIN_NEIGHBOURS)
         .orderBy(F.desc("spread"), F.desc("n"), "feature").limit(MAX_CANDIDATES)
@@ -361,6 +448,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
+def restored_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, text)``: the restored text of each row of ``docs``, in lower case; null: empty."""
+    schema = docs.select("doc_id", F.lit("").alias("text")).schema
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([model.restore(t.as_py() or "") for t in batch.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, schema)
+
+
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns."""
 

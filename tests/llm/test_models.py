@@ -51,6 +51,73 @@ def test_deobfuscation(model, noisy):
     assert model.token(noisy.lower()) > 0
 
 
+WHOLE = ["i" + 25 * "-" + "d10t", "i.....d.....i.....o.....t", "id" + 60 * "d" + "iot", "1" + 300 * "-" + "d" + 200 * "." + "iot", "---i---d---1---0---t---", "iiiiddddiiiiooootttt"]
+
+
+@pytest.mark.parametrize("noisy", WHOLE)
+def test_whole_tokens_are_decoded(model, noisy):
+    """Nothing of a token is cut off before it is decoded, however long its runs are."""
+    one = toxicity.Model({"idiot": 3.0}, model.language, (0.0, 1.0, 1.0))
+    assert one.token(noisy) == 3.0 and model.token(noisy) > 0
+    assert one.restore("so " + noisy) == "so idiot"
+
+
+def test_long_tokens_end_soon(model):
+    import time
+
+    began = time.process_time()
+    for token in ("1d" + "ab1c" * 250_000, "!" * 500_000 + "x", "i" + "漢" * 200_000, "i-" * 300_000):
+        model.token(token)
+    assert time.process_time() - began < 60
+
+
+def test_spellings_without_letters(model):
+    """Signs alone can spell a word; numbers, prices and dates never do."""
+    one = toxicity.Model({"sit": 3.0, "ass": 3.0}, model.language, (0.0, 1.0, 1.0))
+    assert one.token("$!+") == 3.0
+    assert [one.token(t) for t in ("455", "$1135", "4-5-5", "1135.", "12:30", "+1", "50%", "(984)", "555-4072")] == [0.0] * 9
+
+
+def test_words_of_fixed_phrases_are_learned(spark):
+    """A word that always follows the same word is learned from what comes after it; its copies in one text count once."""
+    rng = np.random.default_rng(9)
+    rows, marks = [], []
+    for i in range(900):
+        words = [f"w{x}" for x in rng.integers(0, 300, 12)]
+        words = ["".join(chr(97 + int(c)) for c in w[1:]) * 2 for w in words]
+        if i % 3 == 0:
+            words[5:5] = ["utter", "blorgfest"]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 3 == 0)))
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert m.weight("blorgfest") > 0 and m.token("bl0rgfest") > 0
+
+
+def test_queries_of_classifiers(spark):
+    """Columns, ranges and held-out rows of op6 and op7; a row for each document."""
+    import zlib
+
+    small = "/root/testdata/sf0.001"
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()]
+    for query, threshold in ((queries.op6_quality, 0.3), (queries.op7_toxicity, 0.5)):
+        rows = query(spark, small).collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(ids)
+        for r in rows:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= threshold)
+    missing = spark.createDataFrame([(None,)], "doc_id long").select(toxicity.in_training(F.col("doc_id"))).first()[0]
+    assert missing is False
+
+
+def test_repeated_training_rows(spark, labels):
+    """Rows that repeat ids give the model of the rows once each."""
+    rows = [(i, f"text {i} " * (1 + i % 7)) for i in range(60)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    again = quality.score(once.union(once).union(once), marks).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    assert [r["score"] for r in again] == [r["score"] for r in quality.score(once, marks).orderBy("doc_id").collect()]
+
+
 def test_spaced_words_and_clean_words(model):
     assert model.hits("you are an i d i o t and a s c u m")[0] >= 1
     assert model.hits("the 3rd b2b call is at 10:30, see https://example.org/a1b2c3 or a a a a a a")[0] == 0
