@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.plans.scratch import materialize
+from meshloom.plans.scratch import materialize, release
 
 
 def _larger_first(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -40,7 +40,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if row["n"] == 0 or row == before:
             break
         before = row
-        current = materialize(_small_star(materialize(_large_star(current), "stars")), "edges")
+        stars = materialize(_large_star(current), "stars")
+        last, current = current, materialize(_small_star(stars), "edges")
+        release(stars, last)  # the next round's edges are written
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = current.select(F.col("big").alias("id"), F.col("small").alias("component"))
