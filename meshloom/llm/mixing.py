@@ -136,19 +136,25 @@ def _edge(placed: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, n_shards: int = 16, cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """``(doc_id, size, source, source_size, target, taken, shards)``, a row for each row of ``docs``.
+    """``(doc_id, size, source, source_size, target, taken, shards, place)``, a row for each row of ``docs``.
 
-    ``docs`` has ``doc_id, text, source``; ``shards`` has the output shard of each copy that the mix takes.
+    ``docs`` has ``doc_id, text, source``; ``shards`` has the output shard of each copy that the mix takes, as the
+    tree deals them, and ``taken`` is their words; ``place`` orders the documents of a shard.
     """
     sized, known, blocks = _prepare(docs, n_shards, cap, seed)
     placed = _placed(sized, known, blocks, seed)
     both = placed.where("_edge_words is null").drop("_source").unionByName(_edge(placed))
     return both.select(
         "doc_id", "size", "source", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("size") * F.size("_shards")).cast("long").alias("taken"), F.col("_shards").alias("shards"),
+        (F.col("size") * F.size("_shards")).cast("long").alias("taken"), F.col("_shards").alias("shards"), _local(seed).alias("place"),
     )
 
 
+def _local(seed: int) -> Column:
+    """The place of a document within any shard."""
+    return F.xxhash64("doc_id", F.lit(seed + 2))
+
+
 def mixed(docs: DataFrame, n_shards: int = 16, cap: float = 3.0, seed: int = 17, shard: str | None = None) -> DataFrame:
     """The rows of the mix: all columns of ``docs``, each row as often as the mix takes it.
 
@@ -171,10 +177,15 @@ def mixed(docs: DataFrame, n_shards: int = 16, cap: float = 3.0, seed: int = 17,
 
 
 def write_mix(docs: DataFrame, path: str, n_shards: int = 16, cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """Write the mix under ``path/shard=K``, each shard's rows in hashed order; returns the table written."""
-    rows = mixed(docs.drop("shard"), n_shards, cap, seed, "shard")
+    """Write the mix under ``path/shard=K``, each shard's rows in hashed order; returns the table written.
+
+    ``docs`` must not have a column ``shard``.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("docs has a column named shard, which the written table needs for itself")
+    rows = mixed(docs, n_shards, cap, seed, "shard")
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(64)))
-    dealt = dealt.repartition(F.col("shard"), F.col("_salt")).sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(seed + 2)))
+    dealt = dealt.repartition(F.col("shard"), F.col("_salt")).sortWithinPartitions("shard", _local(seed))
     dealt.drop("_salt").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
 

@@ -52,8 +52,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS t
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the shard and the place in it of each copy that the tree deals out; ``taken`` counts their words."""
     rows = mixing.mix(_documents(spark, sf_dir))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "shards", "place")
 
 
 def _scored(rows: DataFrame, threshold: float) -> DataFrame:

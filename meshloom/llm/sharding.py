@@ -10,7 +10,7 @@ stay where an unbounded ring would put them.
 The driver plans over the row counts of cells (``2 ** cell_bits`` numbers at
 most, whatever the input) and hands back pieces of cells: ranks ``[from, to)``
 go to a shard, at slots from a base.  The rows shuffle once, as narrow
-``(id, size, checksum)`` rows dealt by cell.
+``(id, size, checksum)`` rows dealt by ranges of cell and place.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; a null id
 hashes like any other value; repeated ids share a cell and take separate slots;
@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from meshloom.operators.ordering import rank_within
 from meshloom.plans.scratch import materialize
 
 CELL_BITS = 16
@@ -93,6 +93,7 @@ def assign(
             F.crc32(data).cast("long").alias("text_crc32"),
             F.shiftrightunsigned(place, 64 - cell_bits).cast("int").alias("cell"),
             place.alias("place"),
+            F.monotonically_increasing_id().alias("nth"),  # tells rows of one id apart
         ),
         "ring-rows",
     )
@@ -100,7 +101,8 @@ def assign(
     pieces = plan(counts, n_shards, ring(n_shards, virtual_nodes, cell_bits))
     # At most 2 ** cell_bits cells; a cell is cut only where a shard fills up.
     table = spark.createDataFrame([(c, [tuple(map(int, p)) for p in v]) for c, v in pieces.items()], PIECE)
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")) - 1)
+    # Rows are dealt by ranges of cell and order, so a cell with a hot id is many tasks' work.
+    ranked = rank_within(rows.withColumn("_order", F.struct("place", "text_crc32", "size", "nth")), "cell", "_order", "_rank")
     own = F.filter("pieces", lambda p: (p["from"] <= F.col("_rank")) & (F.col("_rank") < p["to"]))[0]
     placed = ranked.join(F.broadcast(table), "cell").withColumn("_own", own)
     return placed.select(
@@ -112,9 +114,11 @@ def assign(
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> DataFrame:
     """Write whole rows under ``path/shard=K``, sorted by slot in each file; returns the table written.
 
-    The placements meet their rows by id, so ids must not repeat here.
+    The placements meet their rows by id, so ids must not repeat here; ``docs`` must not have columns ``shard`` or ``slot``.
     """
+    if clash := {"shard", "slot"}.intersection(docs.columns):
+        raise ValueError(f"docs has columns that the written table needs for itself: {sorted(clash)}")
     placed = assign(docs.select("doc_id", "text"), n_shards).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    whole = docs.drop("shard", "slot").join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    whole = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     whole.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)

@@ -13,7 +13,8 @@ sampled k-mer through the next in a text is a step to its successor.
    lie on whole copies of the path, so windows inside it are repeated, and no
    window outside can equal them: they need no more work.
 3. The other windows with repeated edges - at ends and branches - are verified:
-   hashes of their whole word sequences are counted and joined back.
+   96 bits of their whole word sequences, of two hashes, are counted and joined
+   back by source coordinates.
 
 Groups of copies of any size meet only in counts (partial sums come before the
 shuffle) and in joins whose other side has one row a hash.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.words import Runs, sliding, word_hashes
+from meshloom.llm.words import Runs, mixed, sliding, word_hashes
 from meshloom.plans.scratch import materialize
 
 WINDOW, KMER = 35, 8
@@ -90,10 +91,11 @@ def _paths(window: int, kmer: int):
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            settled, places, hashes = [], [], []
+            settled, places, hashes, checks = [], [], [], []
             for data, found in zip(batch.column("data"), batch.column("found").to_pylist(), strict=True):
                 words = data.as_py().split()
-                runs = Runs(word_hashes(words))
+                each = word_hashes(words)
+                runs = Runs(each)
                 edges, least, at = sampled(runs, len(words), window, kmer)
                 forward, backward, seen = (np.zeros(len(words) + 1, dtype=bool) for _ in range(3))
                 for f in found:
@@ -110,8 +112,11 @@ def _paths(window: int, kmer: int):
                 settled.append(paths)
                 places.append(open_.astype(np.int32))
                 hashes.append(runs.every(window)[open_].view(np.int64))
-            columns = [pa.array(v, pa.list_(t)) for v, t in ((settled, pa.int32()), (places, pa.int32()), (hashes, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "paths", "at", "window"])
+                more = Runs(mixed(each)).every(window)[open_] if len(open_) else open_.astype(np.uint64)
+                checks.append((more >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            kinds = ((settled, pa.int32()), (places, pa.int32()), (hashes, pa.int64()), (checks, pa.int32()))
+            columns = [pa.array(v, pa.list_(t)) for v, t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "paths", "at", "window", "check"])
 
     return work
 
@@ -159,13 +164,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> t
     met = each.select("doc_id", "row", "at", "edge").join(repeated, F.col("edge") == F.col("_edge"))
     found = met.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "one_next", "one_before")).alias("found"))
     texts = _match(rows, found, "found")
-    open_ = texts.mapInArrow(_paths(window, kmer), _schema(rows, paths="array<int>", at="array<int>", window="array<long>"))
+    open_ = texts.mapInArrow(_paths(window, kmer), _schema(rows, paths="array<int>", at="array<int>", window="array<long>", check="array<int>"))
     open_ = materialize(open_, "open-windows")
-    starts = open_.where("size(window) > 0").select("doc_id", "row", F.explode(F.arrays_zip("at", "window")).alias("w"))
-    starts = starts.select("doc_id", "row", F.col("w.at").alias("at"), F.col("w.window").alias("window"))
-    again = starts.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("_window"))
+    starts = open_.where("size(window) > 0").select("doc_id", "row", F.explode(F.arrays_zip("at", "window", "check")).alias("w"))
+    starts = starts.select("doc_id", "row", "w.at", "w.window", "w.check")
+    again = starts.groupBy("window", "check").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("_window"), F.col("check").alias("_check"))
     again = materialize(again, "repeated-windows")
-    verified = starts.join(again, F.col("window") == F.col("_window")).groupBy("doc_id", "row").agg(F.collect_set("at").alias("at"))
+    same = (F.col("window") == F.col("_window")) & (F.col("check") == F.col("_check"))
+    verified = starts.join(again, same).groupBy("doc_id", "row").agg(F.collect_set("at").alias("at"))
     paths = open_.where("size(paths) > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "paths").dropDuplicates(["_id", "_row"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
     both = verified.join(paths, same, "full").select(F.coalesce("doc_id", "_id").alias("doc_id"), F.coalesce("row", "_row").alias("row"), "paths", "at")

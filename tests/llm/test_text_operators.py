@@ -184,6 +184,16 @@ def test_drop_copies(awkward):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_drop_copies_keeps_the_longest_row_of_an_id(spark):
+    """Rows of one id whose texts are equal but for white space; repeated rows; a column named like the operator's own."""
+    rows = [(1, "ab", 0), (1, "a b", 1), (1, " a  b", 2), (2, "ab", 3), (None, "ab", 4), (None, None, 5), (None, "", 6), (3, "x", 7), (3, "x", 8), (None, "y", 9), (None, "y", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own int").selectExpr("*", "own as _row", "1 as digest")
+    got = exact_dedup.drop_copies(df)
+    assert got.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert [x for x in got if x not in ((None, None), (None, ""))] == sorted([(1, " a  b"), (3, "x"), (None, "y")], key=str) and len(got) == 4
+
+
 # -- sharding ---------------------------------------------------------------
 
 
@@ -201,6 +211,57 @@ def test_sharding(awkward, small):
         assert sum(counts) == len(given) and max(counts) - min(counts) <= 1
 
 
+def test_sharding_of_a_hot_id(spark):
+    """Rows of one id, a null one too, get slots of their own; the query states its law."""
+    from meshloom.llm import queries
+
+    df = spark.range(400).selectExpr("if(id % 3 = 0, 7L, if(id % 3 = 1, null, id)) as doc_id", "concat('t', id % 5) as text")
+    rows = sharding.assign(df, 8).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(rows) == 400 and all(sorted(v) == list(range(50)) for v in by.values()) and len(by) == 8
+    rows = queries.op2_sharding(spark, SMALL).collect()
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)} and len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_sharding_follows_the_ring(spark, small):
+    """Places by brute force: a key belongs to its cell's arc until that shard is full, then to the next with room."""
+    from pyspark.sql import functions as F
+
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign(small, 8).collect()}
+    hashed = small.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 48).alias("cell"), F.xxhash64("doc_id").alias("place")).collect()
+    ring = sharding.ring(8)
+    room = [len(hashed) // 8 + (k < len(hashed) % 8) for k in range(8)]
+    arc = lambda cell: next((k for k, (at, _) in enumerate(ring) if at >= cell), 0)
+    want, late = {}, []
+    for r in sorted(hashed, key=lambda r: (r["cell"], r["place"])):
+        shard = ring[arc(r["cell"])][1]
+        if room[shard]:
+            room[shard] -= 1
+            want[r["doc_id"]] = shard
+        else:
+            late.append(r)
+    for r in late:
+        step = next(s for s in range(1, len(ring) + 1) if room[ring[(arc(r["cell"]) + s) % len(ring)][1]])
+        shard = ring[(arc(r["cell"]) + step) % len(ring)][1]
+        room[shard] -= 1
+        want[r["doc_id"]] = shard
+    assert got == want
+
+
+def test_written_shards_and_mix(spark, small, tmp_path):
+    """Every row once in its shard, slots in order in each file; the mix's rows in local order; clashing columns are refused."""
+    written = sharding.write_shards(small, f"file://{tmp_path}/shards", 8)
+    assert sorted(r["doc_id"] for r in written.collect()) == sorted(r["doc_id"] for r in small.collect())
+    mix = mixing.mix(small, 4).collect()
+    copies = mixing.write_mix(small, f"file://{tmp_path}/mix", 4).collect()
+    assert Counter((r["doc_id"], r["shard"]) for r in copies) == Counter((r["doc_id"], s) for r in mix for s in r["shards"])
+    for write in (sharding.write_shards, mixing.write_mix):
+        with pytest.raises(ValueError):
+            write(small.selectExpr("*", "1 as shard"), f"file://{tmp_path}/none")
+
+
 def test_ring_moves_little():
     counts = {c: 20 for c in range(0, 1 << 16, 64)}
     place = {}
@@ -236,6 +297,23 @@ def test_mixing(small):
     assert again == {(r["doc_id"], r["taken"], tuple(r["shards"])) for r in rows}
 
 
+def test_mix_is_what_the_tree_deals(spark, monkeypatch):
+    """Copies a shard and source of the query are the quotas that the splitting tree drew, in blocks of one document."""
+    from meshloom.llm import queries
+
+    monkeypatch.setattr(mixing, "MIN_BLOCK", 1)
+    drawn = []
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, rng: drawn.append(tree(q, n, rng)) or drawn[-1])
+    rows = queries.op5_mixing(spark, SMALL).collect()
+    assert all(r["taken"] == r["size"] * len(r["shards"]) for r in rows)
+    whole = max(drawn, key=lambda x: x.shape)  # of all shards
+    assert whole.shape[0] == 16 and np.ptp(whole.sum(1)) <= 4
+    got = Counter(s for r in rows for s in r["shards"])
+    assert len(got) == 16 and max(got.values()) < 2 * min(got.values())
+    assert len({r["place"] for r in rows}) == len(rows)
+
+
 def test_mixed_rows_match_decisions(small, awkward):
     for df in (small, awkward):
         decided = Counter()
