@@ -1,4 +1,9 @@
-"""A pipeline over documents: each stage's table is written and read again by the next."""
+"""A pipeline over documents: each stage's table is written and read again by the next.
+
+Defined cases: null and empty texts pass the stages as each operator states; rows without an id stay, but for copies of
+each other; repeated rows leave one row; other columns, whatever their names, go along up to the last stage; an empty
+table gives an empty one.  The scratch tables of a stage go once its table is written.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshloom.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from meshloom.llm.queries import MULTILINGUAL_RANKS
-from meshloom.plans.scratch import materialize
+from meshloom.plans.scratch import clear_since, mark, materialize
 
 ORACLE_SQL = None
 
@@ -50,5 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = mark()
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear_since(before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
