@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshloom.llm.workers import resident, tidy
+
 #: Bytes of distinct pre-tokens and their ids that a worker keeps, about.
 KEPT_BYTES = 56 << 20
 #: Bytes that one takes besides its characters and ids, about: two objects and a place in a table.
@@ -119,10 +120,9 @@ class Codec:
         return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
-    """One codec for each rank file and worker process."""
-    return Codec(path, pattern)
+    """The codec of a rank file that this worker process keeps."""
+    return resident((path, pattern), lambda: Codec(path, pattern))
 
 
 def texts_in(batch: pa.RecordBatch, column: str) -> Iterator[str]:
@@ -141,7 +141,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
             ids = pa.array([own.encode(t) for t in texts_in(batch, "text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work, keeps=True), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -154,7 +154,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             data = pa.array([own.decode(x.as_py() or b"") for x in batch.column("ids")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, schema)
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(work, keeps=True), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -173,4 +173,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(data_sha)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work, keeps=True), schema)

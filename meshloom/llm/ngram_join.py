@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from meshloom.llm.exact_dedup import flag_suspects, member_filter, passing
 from meshloom.llm.words import Runs, mixed, word_hashes
+from meshloom.llm.workers import tidy
 from meshloom.operators.components import connected_components
 from meshloom.plans.scratch import materialize
 
@@ -176,7 +177,7 @@ def common_order(docs: DataFrame, n: int) -> Order:
             yield from (_reported(held, 2, 0), _reported(words, LEAST_WORD, 1))
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["kind", "hash", "n"])
 
-    counts = _texts(docs).mapInArrow(work, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    counts = _texts(docs).mapInArrow(tidy(work), "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "frequent")
     row = counts.where("kind = 2").first()
     least = max(LEAST_FREQUENT, (row["n"] if row else 0) // FREQUENT_SHARE)
@@ -205,7 +206,7 @@ SIGNED = "doc_id long, size long, digest binary, least array<long>, prefix array
 
 def _signatures(n: int, order: Broadcast):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             sizes, digests, heads, firsts, bits, short = [], [], [], [], [], []
             for data in batch.column("data"):
                 s, rank = order.value.ranked(data.as_py(), n)
@@ -290,11 +291,11 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int) -> Dat
         return member_filter(materialize(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), "id")
 
     signs = passing(nodes.select("id", "size", "bits"), "id", ids(pairs))
-    left = materialize(_with_both(pairs, signs, "size", "bits").mapInArrow(_screen, "a long, b long").distinct(), "screened")
+    left = materialize(_with_both(pairs, signs, "size", "bits").mapInArrow(tidy(_screen), "a long, b long").distinct(), "screened")
     wanted = passing(texts.select(F.col("doc_id").alias("id"), "data"), "id", ids(left))
-    arrays = wanted.select(F.col("id").alias("doc_id"), "data").mapInArrow(_arrays(n), "id long, s binary")
+    arrays = wanted.select(F.col("id").alias("doc_id"), "data").mapInArrow(tidy(_arrays(n)), "id long, s binary")
     arrays = arrays.groupBy("id").agg(F.collect_set("s").alias("each")).select("id", F.explode("each").alias("s"))  # repeated rows once
-    return materialize(_with_both(left, materialize(arrays, "arrays"), "s").mapInArrow(_intersect, "a long, b long").distinct(), "links")
+    return materialize(_with_both(left, materialize(arrays, "arrays"), "s").mapInArrow(tidy(_intersect), "a long, b long").distinct(), "links")
 
 
 def _tiles():
@@ -440,13 +441,13 @@ def components(docs: DataFrame, n: int = N) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     texts = _texts(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
     order = spark.sparkContext.broadcast(common_order(docs, n))
-    signed = materialize(texts.mapInArrow(_signatures(n, order), SIGNED), "signatures")
+    signed = materialize(texts.mapInArrow(tidy(_signatures(n, order)), SIGNED), "signatures")
     nodes, same = _nodes(signed)
     often = nodes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     often = materialize(often, "shared-shingles")
     first = _linked(materialize(_stars(nodes), "stars"), nodes, texts, n)
     part = materialize(connected_components(first, "a", "b"), "parts")
-    pairs = materialize(_tiled(_placed(nodes, part), often).mapInArrow(_tiles(), "a long, b long").distinct(), "pairs")
+    pairs = materialize(_tiled(_placed(nodes, part), often).mapInArrow(tidy(_tiles()), "a long, b long").distinct(), "pairs")
     links = first.union(_linked(pairs, nodes, texts, n))
     rows = _rows_of_nodes(signed, same)
     several = signed.where(F.col("doc_id").isNotNull() & (F.col("size") > 0)).groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.toxicity import in_training
+from meshloom.llm.workers import tidy
 from meshloom.plans.scratch import materialize
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed ids.
@@ -70,7 +71,7 @@ def featurise(docs: DataFrame) -> DataFrame:
             x = [[float(v) for v in features(t.as_py() or "")] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 
 @dataclass
@@ -210,4 +211,4 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
             x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return featured.mapInArrow(work, schema)
+    return featured.mapInArrow(tidy(work), schema)

@@ -32,7 +32,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,7 @@ from tokenizers import Tokenizer
 
 from meshloom.llm.bpe import byte_characters
 from meshloom.llm.pretokens import PieceEncoder
+from meshloom.llm.workers import resident, tidy
 
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<BqBI")
@@ -134,10 +134,9 @@ class _Encoder(PieceEncoder):
         return [self._little(x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, special_as_text: bool = False) -> _Encoder:
-    """One encoder for each worker process."""
-    return _Encoder(path, special_as_text)
+    """The encoder that this worker process keeps."""
+    return resident((path, special_as_text), lambda: _Encoder(path, special_as_text))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_as_text: bool = False) -> None:
@@ -164,7 +163,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_a
     # Repeated ids are one key, so the row's number deals them to several ranges.
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange(max(1, -(-size // RANGE_BYTES)), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    records = rows.select("doc_id", "text").mapInArrow(work, "chunk long, nth long, record binary")
+    records = rows.select("doc_id", "text").mapInArrow(tidy(work, keeps=True), "chunk long, nth long, record binary")
     records = records.sortWithinPartitions("chunk", "nth").select("chunk", F.col("record").cast("string").alias("value"))
     records.write.partitionBy("chunk").option("lineSep", "\n").text(f"{path}/data")
 
@@ -194,7 +193,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str) -> DataFrame:
     """Verify every record under ``path/data`` and write the index under ``path/index``; returns it."""
-    _files(spark, path).mapInArrow(_scan, INDEX).write.parquet(f"{path}/index")
+    _files(spark, path).mapInArrow(tidy(_scan), INDEX).write.parquet(f"{path}/index")
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
@@ -220,4 +219,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 columns = [pa.array([d for d, _ in found], pa.int64()), pa.array([i.astype("i8") for _, i in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(work, "doc_id long, ids array<long>")
+    return _files(spark, path).mapInArrow(tidy(work), "doc_id long, ids array<long>")

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.words import Runs, mixed, sliding, word_hashes
+from meshloom.llm.workers import tidy
 from meshloom.plans.scratch import materialize
 
 WINDOW, KMER = 35, 8
@@ -155,7 +156,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> t
     """
     rows = _text_rows(docs)
     kinds = {"n_words": "long", "sha": "string", "at": "array<int>", "edge": "array<long>", "step": "array<long>"}
-    edges = materialize(rows.mapInArrow(_edges(window, kmer), _schema(rows, **kinds)), "edges")
+    edges = materialize(rows.mapInArrow(tidy(_edges(window, kmer)), _schema(rows, **kinds)), "edges")
     has = edges.where("size(edge) > 0").withColumn("before", F.expr("array_insert(slice(step, 1, size(step) - 1), 1, 0L)"))
     each = has.select("doc_id", "row", F.explode(F.arrays_zip("at", "edge", "step", "before")).alias("e")).select("doc_id", "row", "e.at", "e.edge", "e.step", "e.before")
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
@@ -164,7 +165,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> t
     met = each.select("doc_id", "row", "at", "edge").join(repeated, F.col("edge") == F.col("_edge"))
     found = met.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "one_next", "one_before")).alias("found"))
     texts = _match(rows, found, "found")
-    open_ = texts.mapInArrow(_paths(window, kmer), _schema(rows, paths="array<int>", at="array<int>", window="array<long>", check="array<int>"))
+    open_ = texts.mapInArrow(tidy(_paths(window, kmer)), _schema(rows, paths="array<int>", at="array<int>", window="array<long>", check="array<int>"))
     open_ = materialize(open_, "open-windows")
     starts = open_.where("size(window) > 0").select("doc_id", "row", F.explode(F.arrays_zip("at", "window", "check")).alias("w"))
     starts = starts.select("doc_id", "row", "w.at", "w.window", "w.check")
@@ -187,7 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     """``(doc_id, n_words, n_removed, kept_sha256)``, a row for each row of ``docs (doc_id, text)``."""
     known, spans = repeated_spans(docs, window, kmer)
     texts = _match(_text_rows(docs), spans, "paths", "at")
-    changed = texts.mapInArrow(_kept(window, False), _schema(texts, n_removed="long", kept="binary")).dropDuplicates(["doc_id", "row"])
+    changed = texts.mapInArrow(tidy(_kept(window, False)), _schema(texts, n_removed="long", kept="binary")).dropDuplicates(["doc_id", "row"])
     changed = changed.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "n_removed", F.col("kept").cast("string").alias("kept"))
     same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     return known.join(changed, same, "left").select(
@@ -199,5 +200,5 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
     """``(doc_id, text)``: the kept words joined by spaces, of the rows that lose words."""
     _, spans = repeated_spans(docs, window, kmer)
     texts = _match(_text_rows(docs), spans, "paths", "at")
-    kept = texts.mapInArrow(_kept(window, True), _schema(texts, n_removed="long", kept="binary"))
+    kept = texts.mapInArrow(tidy(_kept(window, True)), _schema(texts, n_removed="long", kept="binary"))
     return kept.where("n_removed > 0").select("doc_id", F.col("kept").cast("string").alias("text"))

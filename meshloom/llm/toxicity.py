@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.bpe import KEPT_BYTES, OVERHEAD
+from meshloom.llm.workers import tidy
 from meshloom.plans.scratch import materialize
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed ids.
@@ -372,7 +373,7 @@ def _class_counts(train: DataFrame, candidates: set[str]) -> DataFrame:
         columns = [pa.array(both, pa.string())] + [pa.array([counts[k][f] for f in both], pa.int64()) for k in (1, 0)]
         yield pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
 
-    counted = train.select("text", "y").mapInArrow(work, "feature string, toxic long, clean long")
+    counted = train.select("text", "y").mapInArrow(tidy(work), "feature string, toxic long, clean long")
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -387,13 +388,13 @@ def corpus_letters(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
     counts = np.zeros(SIZE**3, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInArrow(tidy(work), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["code"]] = r["n"]
     return counts
 
 
 def _lexicon(train: DataFrame) -> dict[str, float]:
-    found = train.where("y > 0").select("text").mapInArrow(_toxic_features, "feature string, n long, before long, after long")
+    found = train.where("y > 0").select("text").mapInArrow(tidy(_toxic_features), "feature string, n long, before long, after long")
     spread = F.greatest(F.bit_count(F.bit_or("before")), F.bit_count(F.bit_or("after")))
     top = (
         found.groupBy("feature").agg(F.sum("n").alias("n"), spread.alias("spread")).where(F.col("spread") >= MIN_NEIGHBOURS)
@@ -431,7 +432,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
             yield pa.RecordBatch.from_arrays([*columns, batch.column("y")], ["n", "total", "y"])
 
     model.kept = {}
-    rows = train.select("text", "y").mapInArrow(work, "n double, total double, y int").toPandas()  # limit rows of three numbers
+    rows = train.select("text", "y").mapInArrow(tidy(work), "n double, total double, y int").toPandas()  # limit rows of three numbers
     weights = fit_logistic(rows[["n", "total"]].to_numpy(), (rows["y"] > 0).to_numpy(dtype=float))
     return Model(entries, model.language, weights)
 
@@ -445,7 +446,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = pa.array([model.score(t.as_py() or "") for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 
 def restored_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -457,7 +458,7 @@ def restored_texts(docs: DataFrame, model: Model) -> DataFrame:
             texts = pa.array([model.restore(t.as_py() or "") for t in batch.column("text")], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -468,4 +469,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             keep = pa.array([model.score(t.as_py() or "") < threshold for t in batch.column("text")], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
