@@ -204,3 +204,43 @@ def prefix_sums(v: str | Column, exclusive: bool = False) -> Column:
 
 def intersection_size(a: str | Column, b: str | Column) -> Column:
     return F.size(F.array_intersect(_col(a), _col(b)))
+
+
+def merged(a: str | Column, b: str | Column, how: str = "union") -> Column:
+    """Sorted distinct components of both arrays (``union``), of both at once (``intersection``), or of the first alone (``difference``)."""
+    merge = {"union": F.array_union, "intersection": F.array_intersect, "difference": F.array_except}[how]
+    return F.array_sort(merge(_col(a), _col(b)))
+
+
+def second_argmax(v: str | Column) -> Column:
+    """The first index of the second largest, from 0; null for fewer than two components."""
+    indexed = F.transform(_col(v), lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
+    return F.get(F.array_sort(indexed), 1).getField("i")
+
+
+def strided_argmax(v: str | Column, stride: int, start: int = 0) -> Column:
+    """Of every ``stride``-th component from ``start``: the position, among those, of the first largest."""
+    return vector_argmax(F.filter(_col(v), lambda _, i: (i >= start) & ((i - start) % stride == 0)))
+
+
+def better_balance(a: str | Column, b: str | Column) -> Column:
+    """Whether the second vector of excesses is smaller: by the sum of the squares of what is above zero."""
+    norm = lambda v: F.aggregate(_col(v), F.lit(0.0), lambda s, x: s + F.when(x > 0, x * x).otherwise(0.0))
+    return norm(b) < norm(a)
+
+
+def better_balance_kway(vwgt: str | Column, ub: str | Column, one: tuple[int, str | Column, str | Column], two: tuple[int, str | Column, str | Column]) -> Column:
+    """Whether the second part is nearer its targets once a vertex is added: by the largest excess, then by squares.
+
+    A part is ``(times the vertex counts, its weights, its multipliers)``; the excess of a constraint is the
+    multiplier times the new weight, less its bound ``ub``, and the largest excess is 0 at least.
+    """
+
+    def excess(times: int, load: str | Column, by: str | Column) -> Column:
+        new = F.zip_with(F.zip_with(_col(load), _col(vwgt), lambda p, w: p + times * w), _col(by), lambda p, m: p * m)
+        return F.zip_with(new, _col(ub), lambda x, u: x - u)
+
+    largest = lambda e: F.greatest(F.lit(0.0), F.array_max(e))
+    square = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)
+    x, y = excess(*one), excess(*two)
+    return (largest(y) < largest(x)) | ((largest(y) == largest(x)) & (square(y) < square(x)))

@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 
+from meshloom.kernels import moves
 from meshloom.kernels.csr import Graph, bfs_order, components, contract, cut, induced, volume
 
 
@@ -50,13 +51,23 @@ def matching(g: Graph, cap: np.ndarray, rng: np.random.Generator, heavy: bool =
     return cmap, len(ids)
 
 
-def coarsen(g: Graph, target: int, rng: np.random.Generator, heavy: bool = True, two_hop: bool = True) -> list[tuple[Graph, np.ndarray | None]]:
-    """Levels from fine to coarse, each with its map to the next; stops at ``target`` vertices or when it hardly shrinks."""
+def coarsen(
+    g: Graph, target: int, rng: np.random.Generator, heavy: bool = True, two_hop: bool = True, how: str = "", n_levels: int = 1 << 30
+) -> list[tuple[Graph, np.ndarray | None]]:
+    """Levels from fine to coarse, each with its map to the next; stops at ``target`` vertices, after ``n_levels``, or when it hardly shrinks.
+
+    ``how`` is ``fc`` for first-choice clusters, ``jc`` for matching by Jaccard weights, else matching by weights.
+    """
     levels: list[tuple[Graph, np.ndarray | None]] = []
     cap = np.maximum(1.5 * g.vwgt.sum(0) / max(target, 1), g.vwgt.max(0) if g.n else 1)
     equal = len(g.wgt) == 0 or g.wgt.min() == g.wgt.max()
-    while g.n > target and len(g.adj):
-        cmap, nc = matching(g, cap, rng, heavy and not (equal and not levels), two_hop)
+    while g.n > target and len(g.adj) and len(levels) < n_levels:
+        if how == "fc":
+            cmap, nc = moves.clusters(g, cap, rng)
+        elif how == "jc":
+            cmap, nc = matching(moves.jaccard_weighted(g), cap, rng, True, two_hop)
+        else:
+            cmap, nc = matching(g, cap, rng, heavy and not (equal and not levels), two_hop)
         if nc > 0.95 * g.n:
             break
         levels.append((g, cmap))
@@ -106,7 +117,6 @@ def fm_bisection(g: Graph, where: np.ndarray, share: np.ndarray, ub: np.ndarray,
         moves: list[int] = []
         now, best, kept, start = 0, 0, 0, over()
         state = best_state = (max(start, 1.0), 0)
-        stash: list[tuple[int, int]] = []
         while heap and len(moves) - kept < limit:
             score, v = heapq.heappop(heap)
             if locked[v] or -score != gain[v]:
@@ -134,13 +144,12 @@ def fm_bisection(g: Graph, where: np.ndarray, share: np.ndarray, ub: np.ndarray,
                 best_state, best, kept = state, now, len(moves)
         for v in moves[kept:]:
             where[v] = 1 - where[v]
-        del stash
         if kept == 0:
             break
     return where
 
 
-def bisect(g: Graph, share: np.ndarray, ub: np.ndarray, rng: np.random.Generator, niter: int = 10, tries: int = 4) -> np.ndarray:
+def bisect(g: Graph, share: np.ndarray, ub: np.ndarray, rng: np.random.Generator, niter: int = 10, tries: int = 4, start: str = "grow") -> np.ndarray:
     """A multilevel bisection; ``share`` has a row a side and a column a constraint."""
     if g.n == 0:
         return np.zeros(0, dtype=np.int64)
@@ -149,7 +158,8 @@ def bisect(g: Graph, share: np.ndarray, ub: np.ndarray, rng: np.random.Generator
     total = g.vwgt.sum(0).astype(float)
     best, best_key = None, None
     for _ in range(tries):
-        where = fm_bisection(coarse, grow(coarse, share, rng), share, ub, niter)
+        first = moves.random_bisection(coarse, share, rng) if start == "random" else grow(coarse, share, rng)
+        where = fm_bisection(coarse, first, share, ub, niter)
         over = max(_over(coarse.vwgt[where == p].sum(0), share[p] * ub, total) for p in (0, 1))
         key = (max(over, 1.0), cut(coarse, where))
         if best_key is None or key < best_key:
@@ -159,7 +169,7 @@ def bisect(g: Graph, share: np.ndarray, ub: np.ndarray, rng: np.random.Generator
     return best
 
 
-def recursive_bisection(g: Graph, shares: np.ndarray, ub: np.ndarray, rng: np.random.Generator, niter: int = 10) -> np.ndarray:
+def recursive_bisection(g: Graph, shares: np.ndarray, ub: np.ndarray, rng: np.random.Generator, niter: int = 10, start: str = "grow") -> np.ndarray:
     """``shares`` has a row a part; halves of the parts get halves of the graph."""
     k = len(shares)
     where = np.zeros(g.n, dtype=np.int64)
@@ -168,10 +178,10 @@ def recursive_bisection(g: Graph, shares: np.ndarray, ub: np.ndarray, rng: np.ra
     left = k // 2
     halves = np.stack([shares[:left].sum(0), shares[left:].sum(0)])
     halves = halves / halves.sum(0)
-    side = bisect(g, halves, 1 + (ub - 1) / max(1, math.ceil(math.log2(k))), rng, niter)
+    side = bisect(g, halves, 1 + (ub - 1) / max(1, math.ceil(math.log2(k))), rng, niter, start=start)
     for p, part, base in ((0, shares[:left], 0), (1, shares[left:], left)):
         sub, ids = induced(g, side == p)
-        where[ids] = base + recursive_bisection(sub, part / part.sum(0), ub, rng, niter)
+        where[ids] = base + recursive_bisection(sub, part / part.sum(0), ub, rng, niter, start)
     return where
 
 
@@ -254,8 +264,24 @@ def refine_volume(g: Graph, where: np.ndarray, shares: np.ndarray, ub: np.ndarra
     return where
 
 
-def kway(g: Graph, shares: np.ndarray, ub: np.ndarray, seed: int, ncuts: int = 1, niter: int = 10, objective: str = "cut", heavy: bool = True, two_hop: bool = True) -> np.ndarray:
-    """A multilevel k-way partition: the best feasible of ``ncuts`` tries."""
+def kway(
+    g: Graph, shares: np.ndarray, ub: np.ndarray, seed: int, ncuts: int = 1, niter: int = 10, objective: str = "cut", heavy: bool = True, two_hop: bool = True,
+    how: str = "", start: str = "grow", refine: str = "greedy",
+) -> np.ndarray:
+    """A multilevel k-way partition: the best feasible of ``ncuts`` tries.
+
+    ``how`` is that of :func:`coarsen`; ``start`` grows or fills halves (``grow``, ``random``) or all parts at once (``kway``);
+    ``refine`` adds swaps of edges, hills or pairs of parts to each level's greedy passes (``swap``, ``hs``, ``kpm``).
+    """
+
+    def refined(level: Graph, where: np.ndarray) -> np.ndarray:
+        where = refine_kway(level, where, shares, ub, niter)
+        if refine == "swap":
+            return moves.swap_edges(level, where, niter)
+        if refine == "hs":
+            return moves.scan_hills(level, where, shares, ub, niter)
+        return moves.pairs_of_parts(level, where, shares, ub, niter) if refine == "kpm" else where
+
     k = len(shares)
     if k == 1 or g.n == 0:
         return np.zeros(g.n, dtype=np.int64)
@@ -263,12 +289,15 @@ def kway(g: Graph, shares: np.ndarray, ub: np.ndarray, seed: int, ncuts: int = 1
     total = g.vwgt.sum(0).astype(float)
     for turn in range(ncuts):
         rng = np.random.default_rng([seed, turn])
-        levels = coarsen(g, max(g.n // (20 * max(1, int(math.log2(k)))), 30 * k), rng, heavy, two_hop)
+        levels = coarsen(g, max(g.n // (20 * max(1, int(math.log2(k)))), 30 * k), rng, heavy, two_hop, how)
         coarse = levels[-1][0]
-        where = recursive_bisection(coarse, shares, np.power(ub, 1 / max(1.0, math.log(k))), rng, niter)
-        where = refine_kway(coarse, where, shares, ub, niter)
+        if start == "kway":
+            where = moves.grow_kway(coarse, shares, rng)
+        else:
+            where = recursive_bisection(coarse, shares, np.power(ub, 1 / max(1.0, math.log(k))), rng, niter, start)
+        where = refined(coarse, where)
         for fine, cmap in reversed(levels[:-1]):
-            where = refine_kway(fine, where[cmap], shares, ub, niter)
+            where = refined(fine, where[cmap])
         if objective == "vol":
             where = refine_volume(g, where, shares, ub, niter)
         load = np.zeros((k, g.vwgt.shape[1]))

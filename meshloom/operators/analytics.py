@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,6 +92,45 @@ def bfs_order(edges: DataFrame, root: DataFrame) -> DataFrame:
     return global_rank(met, ["level", "component", "id"], "pos").select("id", "pos")
 
 
+def bfs_discovery(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """``(id, pos, level)`` in the order of discovery from ``root (id)``: by the place of the first neighbour before, then by id.
+
+    A level is one join and one ranking over its own vertices; edges go both ways.
+    """
+    links = materialize(edges.select("src", "dst").distinct(), "links")
+    front = materialize(global_rank(root.select("id").distinct(), ["id"], "pos").withColumn("level", F.lit(0)), "front")
+    done, before, level, n = front, front.limit(0), 0, front.count()
+    while (size := front.count()) > 0:
+        level += 1
+        reached = front.join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("pos").alias("by"))
+        new = reached.join(front.union(before).select("id"), "id", "left_anti")
+        placed = global_rank(new, ["by", "id"], "nth").select("id", (F.col("nth") + n).alias("pos"), F.lit(level).alias("level"))
+        before, front = front, materialize(placed, "front")
+        done = done.union(front)
+        n += front.count()
+        if level % 16 == 0:
+            done = materialize(done, "order")
+    return done
+
+
+def articulation(placed: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``(id, articulation)``: whether each of ``vertices (id)`` alone holds pieces of its own part together.
+
+    ``placed`` has ``ps`` and ``pd``.  Each vertex asks for the components of its part without it, so ask for few.
+    """
+    inside = placed.where("ps = pd").select("src", "dst", "wgt")
+    asked = vertices.select(F.col("id").alias("without")).distinct()
+    # One graph for each asked vertex: the edges of its part that do not touch it, under ids of pairs.
+    own = placed.select(F.col("src").alias("without"), F.col("ps").alias("part")).distinct().join(asked, "without")
+    parted = placed.where("ps = pd").select("src", "dst", F.col("ps").alias("part"))
+    left = own.join(parted, "part").where((F.col("src") != F.col("without")) & (F.col("dst") != F.col("without")))
+    pair = lambda c: F.struct(F.col("without"), F.col(c).alias("v"))
+    found = connected_components(left.select(pair("src").alias("src"), pair("dst").alias("dst")))
+    near = inside.join(asked, F.col("src") == F.col("without")).where("src <> dst").select(F.struct("without", F.col("dst").alias("v")).alias("id")).distinct()
+    pieces = near.join(found, "id", "left").groupBy(F.col("id.without").alias("id")).agg(F.count_distinct(F.coalesce("component", F.col("id"))).alias("n"))
+    return asked.withColumnRenamed("without", "id").join(pieces, "id", "left").select("id", F.coalesce(F.col("n") > 1, F.lit(False)).alias("articulation"))
+
+
 def sssp(edges: DataFrame, root: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(id, dist)``: least total weight from ``root (id)``; -1 for the others of ``vertices``.
 
@@ -191,6 +232,11 @@ def itemsets(transactions: DataFrame, least: int, most: int = -1, min_len: int =
     return found if found is not None else counts
 
 
+def each_itemset(transactions: DataFrame, emit: Callable[[list, int], None], least: int, **bounds: int) -> None:
+    """Call ``emit(items, support)`` once for each frequent set, where its row is; it must be picklable."""
+    itemsets(transactions, least, **bounds).foreach(lambda r: emit(list(r["items"]), r["support"]))
+
+
 def replicate(m: DataFrame, copies: int) -> DataFrame:
     """Disjoint copies of a matrix ``(row, col, val)``, ids shifted by its size."""
     size = m.agg((F.max(F.greatest("row", "col")) + 1).alias("_n"))

@@ -114,6 +114,18 @@ def reorder(edges: DataFrame, permutation: DataFrame) -> DataFrame:
     ).select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "wgt")
 
 
+def random_order(rows: DataFrame, key: str = "id", seed: int = 0) -> DataFrame:
+    """``(id, pos)``: a permutation of the rows that depends on their keys and the seed alone."""
+    from meshloom.operators.ordering import global_rank
+
+    return global_rank(rows.select(F.col(key).alias("id")), [F.xxhash64("id", F.lit(seed)), F.col("id")], "pos")
+
+
+def random_integers(rows: DataFrame, below: int, key: str = "id", seed: int = 0) -> DataFrame:
+    """``(id, value)``: integers in ``[0, below)`` that depend on keys and the seed alone."""
+    return rows.select(F.col(key).alias("id"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(below)).alias("value"))
+
+
 # -- parts of graphs --------------------------------------------------------
 
 

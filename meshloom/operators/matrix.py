@@ -192,3 +192,35 @@ def similar_rows(m: DataFrame, query: DataFrame, kind: str = "cos", top: int = 1
     scored = met.select("qid", "row", F.round(value, 6).alias("sim")).where(F.col("sim") >= least)
     nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "row"))
     return scored.withColumn("_nth", nth).where(F.col("_nth") <= top).drop("_nth")
+
+
+def conjugate_gradient(m: DataFrame, b: DataFrame, tol: float = 1e-8, most: int = 200) -> DataFrame:
+    """``(id, x)`` with ``m x = b`` for a symmetric positive definite matrix, by diagonally preconditioned steps.
+
+    ``b`` is ``(id, b)``.  A step is one join over the entries and sums of three numbers; it is written, so
+    that lineage stays short.  It ends once the residual is ``tol`` times ``b``, or after ``most`` steps.
+    """
+    from meshloom.plans.scratch import materialize, release
+
+    m = materialize(m.select("row", "col", "val"), "system")
+    diagonal = m.where("row = col").groupBy(F.col("row").alias("id")).agg(F.sum("val").alias("d"))
+    by = F.when(F.col("d") != 0, 1 / F.col("d")).otherwise(0.0)
+    rows = b.join(diagonal, "id", "left").select("id", F.lit(0.0).alias("x"), F.col("b").cast("double").alias("r"), F.coalesce(by, F.lit(0.0)).alias("by"))
+    state = materialize(rows.withColumn("p", F.col("by") * F.col("r")), "state")
+    dots = lambda s: s.agg(F.sum(F.col("r") * F.col("by") * F.col("r")).alias("rho"), F.sum(F.col("r") * F.col("r")).alias("rr")).first()
+    at = dots(state)
+    rho, goal = at["rho"] or 0.0, (at["rr"] or 0.0) * tol * tol
+    for _ in range(most):
+        if (at["rr"] or 0.0) <= goal or not rho:
+            break
+        q = m.join(state.select(F.col("id").alias("col"), "p"), "col").groupBy(F.col("row").alias("id")).agg(F.sum(F.col("val") * F.col("p")).alias("q"))
+        met = materialize(state.join(q, "id", "left").withColumn("q", F.coalesce("q", F.lit(0.0))), "products")
+        slope = met.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        step = rho / slope if slope else 0.0
+        new = met.select("id", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "by", "p")
+        new = materialize(new, "state")
+        at = dots(new)
+        turn, rho = (at["rho"] / rho if rho else 0.0), at["rho"]
+        release(met, state)
+        state = new.withColumn("p", F.col("by") * F.col("r") + turn * F.col("p"))
+    return state.select("id", "x")

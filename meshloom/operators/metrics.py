@@ -112,6 +112,43 @@ def imbalance(vertices: DataFrame, targets: DataFrame) -> DataFrame:
     return share.groupBy("con").agg(F.round(F.greatest(F.lit(1.0), over), 6).alias("imbalance"))
 
 
+def guarded_balance(vertices: DataFrame, targets: DataFrame, relative: bool = False) -> DataFrame:
+    """``(con, balance)``: the largest load over its target, both raised so that targets of zero count too.
+
+    Raised by one; with ``relative``, loads are shares of the total and both are raised by the least share
+    above zero of a vertex.  Targets without vertices count as parts without load.
+    """
+    held = loads(vertices)
+    each = vertices.select(F.posexplode("vwgt" if dict(vertices.dtypes)["vwgt"].startswith("array") else F.array("vwgt")).alias("con", "w"))
+    sums = each.groupBy("con").agg(F.sum("w").alias("total"), F.min(F.when(F.col("w") > 0, F.col("w"))).alias("least"))
+    met = targets.join(held, ["pid", "con"], "left").join(sums, "con")
+    load = F.coalesce(F.col("load"), F.lit(0))
+    if relative:
+        by, total = F.coalesce(F.least(F.col("least") / F.col("total"), F.lit(1.0)), F.lit(1.0)), F.col("total")
+        value = (by + load / total) / (by + F.col("tpwgt"))
+    else:
+        value = (1 + load) / (1 + F.col("tpwgt") * F.col("total"))
+    return met.groupBy("con").agg(F.round(F.max(value), 6).alias("balance"))
+
+
+def load_differences(vertices: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(pid, con, load, difference)``: each part's load and how far it is above its target."""
+    held = loads(vertices)
+    totals = held.groupBy("con").agg(F.sum("load").alias("total"))
+    met = targets.join(held, ["pid", "con"], "left").join(totals, "con")
+    load = F.coalesce("load", F.lit(0)).cast("long")
+    return met.select("pid", "con", load.alias("load"), F.round(load - F.col("tpwgt") * F.col("total"), 6).alias("difference"))
+
+
+def run_statistics(runs: DataFrame, column: str) -> DataFrame:
+    """The best, worst, mean, geometric mean and median of a measure over runs of a partitioner; runs are few."""
+    c = F.col(column).cast("double")
+    return runs.agg(
+        F.min(c).alias("best"), F.max(c).alias("worst"), F.round(F.avg(c), 6).alias("mean"), F.round(F.exp(F.avg(F.log(c))), 6).alias("geo_mean"),
+        F.round(F.percentile(c, F.lit(0.5)), 6).alias("median"), F.count(c).alias("runs"),
+    )
+
+
 def imbalance_excess(vertices: DataFrame, targets: DataFrame, ub: list[float]) -> DataFrame:
     """``(con, excess)``: imbalance over the allowance of each constraint."""
     allowed = F.element_at(F.array(*map(F.lit, ub)), F.col("con") + 1)

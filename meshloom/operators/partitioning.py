@@ -63,9 +63,11 @@ def _kernel_partition(options: PartitionOptions):
 
     def run(ids: np.ndarray, g: csr.Graph) -> pd.DataFrame:
         if options.ptype == "rb":
-            where = kernels.recursive_bisection(g, shares, ub, np.random.default_rng(options.seed), options.niter)
+            where = kernels.recursive_bisection(g, shares, ub, np.random.default_rng(options.seed), options.niter, "grow" if options.iptype == "kway" else options.iptype)
         else:
-            where = kernels.kway(g, shares, ub, options.seed, options.ncuts, options.niter, options.objtype, options.ctype == "shem", not options.no2hop)
+            where = kernels.kway(
+                g, shares, ub, options.seed, options.ncuts, options.niter, options.objtype, options.ctype != "rm", not options.no2hop, options.ctype, options.iptype, options.rtype
+            )
         if options.minconn:
             where = kernels.minimise_connectivity(g, where, shares, ub)
         if options.contig:

@@ -92,6 +92,13 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("wgt"))
 
 
+def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11, sparse: how often a customer's order comes right before another's on one day; one-sided, and some have no successor."""
+    by = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
+    steps = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(by).alias("dst"))
+    return steps.where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("wgt"))
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders and their parts."""
     return incidence(spark, sf_dir).select(F.col("elem").alias("tid"), F.col("node").alias("item"))
@@ -116,3 +123,5 @@ o AS (SELECT *, sum(pos) OVER w AS tp, sum(1 - pos) OVER w AS fp FROM r
       WINDOW w AS (ORDER BY score DESC, tie ROWS UNBOUNDED PRECEDING))"""
 TRANSITIONS = """s AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
 e AS (SELECT src, dst, count(*) AS wgt FROM s WHERE dst IS NOT NULL GROUP BY 1, 2)"""
+SUCCESSIONS = """s AS (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst FROM orders),
+e AS (SELECT src, dst, count(*) AS wgt FROM s WHERE dst IS NOT NULL GROUP BY 1, 2)"""

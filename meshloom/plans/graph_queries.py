@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshloom.functions import scalars
 from meshloom.operators import analytics, graphs, mesh, metrics
 from meshloom.operators.ordering import global_rank
 from meshloom.plans import fixtures as fx
@@ -112,6 +113,61 @@ def load_imbalance_tpwgts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.imbalance(fx.weighted_orders(spark, sf_dir), _targets(spark))
 
 
+@register("serial_balance", f"WITH {WEIGHTS}{TARGETS} SELECT con, round(max((1 + load) / (1 + tpwgt * total)), 6) AS balance FROM l JOIN g USING (pid, con) JOIN tot USING (con) GROUP BY 1")
+def serial_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.guarded_balance(fx.weighted_orders(spark, sf_dir), _targets(spark))
+
+
+ZERO_TARGETS = ", g AS (SELECT pid, con, CASE WHEN pid = 0 THEN 0.0 ELSE pid / 28.0 END AS tpwgt FROM range(8) a(pid), range(2) b(con)), tot AS (SELECT con, sum(load) AS total FROM l GROUP BY 1)"
+
+
+@register(
+    "distributed_balance",
+    f"""WITH {WEIGHTS}{ZERO_TARGETS}, s AS (SELECT 0 AS con, min(n) / sum(n) AS least FROM w WHERE n > 0 UNION ALL SELECT 1, min(q) / sum(q) FROM w WHERE q > 0)
+    SELECT con, round(max((least + load / total) / (least + tpwgt)), 6) AS balance FROM l JOIN g USING (pid, con) JOIN tot USING (con) JOIN s USING (con) GROUP BY 1""",
+)
+def distributed_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a target of zero."""
+    targets = spark.createDataFrame([(p, c, p / 28.0) for p in range(8) for c in range(2)], "pid int, con int, tpwgt double")
+    return metrics.guarded_balance(fx.weighted_orders(spark, sf_dir), targets, relative=True)
+
+
+@register(
+    "load_differences",
+    f"WITH {WEIGHTS}{TARGETS} SELECT pid, con, CAST(load AS BIGINT) AS load, round(load - tpwgt * total, 6) AS difference FROM l JOIN g USING (pid, con) JOIN tot USING (con)",
+)
+def load_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.load_differences(fx.weighted_orders(spark, sf_dir), _targets(spark))
+
+
+@register(
+    "run_statistics",
+    f"""{D}, c AS (SELECT k, CAST(sum(CASE WHEN src % k <> dst % k THEN wgt ELSE 0 END) // 2 AS DOUBLE) AS cut FROM e, range(2, 10) r(k) GROUP BY 1)
+    SELECT min(cut) AS best, max(cut) AS worst, round(avg(cut), 6) AS mean, round(exp(avg(ln(cut))), 6) AS geo_mean, round(quantile_cont(cut, 0.5), 6) AS median, count(*) AS runs FROM c""",
+)
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of eight partitions by remainders."""
+    e = fx.strict_dual(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(2), F.lit(9))).alias("k"))
+    cut = F.sum(F.when(F.col("src") % F.col("k") != F.col("dst") % F.col("k"), F.col("wgt")).otherwise(0)) / 2
+    return metrics.run_statistics(e.groupBy("k").agg(F.floor(cut).alias("cut")), "cut")
+
+
+@register(
+    "better_balance",
+    """WITH w AS (SELECT l_orderkey AS id, count(*) AS n, CAST(round(sum(l_quantity)) AS BIGINT) AS q FROM lineitem GROUP BY 1),
+    s AS (SELECT id, pow(greatest(n - 4, 0), 2) + pow(greatest(q - 100, 0), 2) AS a, pow(greatest(n - 3, 0), 2) + pow(greatest(q - 105, 0), 2) AS b,
+          0.01 * n - 0.03 AS x0, 0.001 * q - 0.08 AS x1, 0.012 * n - 0.03 AS y0, 0.0009 * q - 0.08 AS y1 FROM w)
+    SELECT id, b < a AS two_way, greatest(0, y0, y1) < greatest(0, x0, x1) OR (greatest(0, y0, y1) = greatest(0, x0, x1) AND y0 * y0 + y1 * y1 < x0 * x0 + x1 * x1) AS k_way FROM s""",
+)
+def better_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = fx.weighted_orders(spark, sf_dir).select("id", F.transform("vwgt", lambda x: x.cast("double")).alias("v"))
+    less = lambda n, q: F.zip_with("v", F.array(F.lit(float(n)), F.lit(float(q))), lambda x, y: x - y)
+    pair = lambda x, y: F.array(F.lit(x), F.lit(y))
+    zero = pair(0.0, 0.0)
+    k_way = scalars.better_balance_kway("v", pair(0.03, 0.08), (1, zero, pair(0.01, 0.001)), (1, zero, pair(0.012, 0.0009)))
+    return w.select("id", scalars.better_balance(less(4, 100), less(3, 105)).alias("two_way"), k_way.alias("k_way"))
+
+
 @register(
     "load_imbalance_excess",
     f"""WITH {WEIGHTS}{TARGETS} SELECT con, round(round(greatest(1.0, max(load / (tpwgt * total))), 6) - CASE con WHEN 0 THEN 1.03 ELSE 1.05 END, 6) AS excess
@@ -528,14 +584,14 @@ def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.sssp(e, _root(e), graphs.vertices_of(e))
 
 
-def _pagerank_sql(restart: str) -> str:
+def _pagerank_sql(restart: str, edges: str = fx.TRANSITIONS) -> str:
     rounds = [f"k0 AS ({restart})"]
     for i in range(1, 6):
         rounds.append(
             f"""k{i} AS (SELECT v.id, 0.85 * ((SELECT coalesce(sum(pr), 0) FROM k{i - 1} WHERE id NOT IN (SELECT src FROM e)) * z.pr
             + coalesce((SELECT sum(x.pr * s.p) FROM k{i - 1} x JOIN s ON s.src = x.id WHERE s.dst = v.id), 0)) + 0.15 * z.pr AS pr FROM v JOIN k0 z ON z.id = v.id)"""
         )
-    return f"""WITH {fx.TRANSITIONS.replace('s AS', 'ev AS', 1).replace('FROM s ', 'FROM ev ')}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+    return f"""WITH {edges.replace('s AS', 'ev AS', 1).replace('FROM s ', 'FROM ev ')}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
     s AS (SELECT src, dst, wgt / sum(wgt) OVER (PARTITION BY src) AS p FROM e), {', '.join(rounds)} SELECT id, round(pr, 6) AS pr FROM k5"""
 
 
@@ -551,6 +607,32 @@ def personalised_pagerank_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.pagerank(e, 0.85, 5, restart).select("id", F.round("pr", 6).alias("pr"))
 
 
+@register("pagerank_sparse", _pagerank_sql("SELECT id, 1.0 / (SELECT count(*) FROM v) AS pr FROM v", fx.SUCCESSIONS))
+def pagerank_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks where some vertices have no edge out."""
+    return analytics.pagerank(fx.successions(spark, sf_dir), 0.85, 5).select("id", F.round("pr", 6).alias("pr"))
+
+
+@register(
+    "articulation",
+    f"""WITH RECURSIVE {fx.HALVES}, i AS (SELECT src, dst FROM p WHERE ps = pd), d AS (SELECT src AS id FROM i GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8),
+    r AS (SELECT d.id AS id, i.dst AS root, i.dst AS v FROM d JOIN i ON i.src = d.id UNION SELECT r.id, r.root, i.dst FROM r JOIN i ON i.src = r.v WHERE i.dst <> r.id),
+    c AS (SELECT id, root, min(v) AS c FROM r GROUP BY 1, 2) SELECT id, count(DISTINCT c) > 1 AS articulation FROM c GROUP BY 1""",
+)
+def articulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight vertices of most neighbours in their own half."""
+    placed = _halves(spark, sf_dir)
+    asked = placed.where("ps = pd").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(8)
+    return analytics.articulation(placed, asked.select("id"))
+
+
+@register("random_order", f"{D}, v AS (SELECT DISTINCT src AS id FROM e) SELECT count(*) AS n, min(id) AS least, max(id) AS largest, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS positions FROM v")
+def random_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any permutation leaves as it is."""
+    order = graphs.random_order(graphs.vertices_of(fx.kept_dual(spark, sf_dir)), seed=5)
+    return order.agg(F.count_distinct("pos").alias("n"), F.min("id").alias("least"), F.max("id").alias("largest"), F.sum("pos").alias("positions"))
+
+
 @register("compactness", f"WITH {fx.DUAL}, {PERM} SELECT round(avg(abs(a.pos - b.pos)), 6) AS compactness FROM e JOIN q a ON src = a.id JOIN q b ON dst = b.id")
 def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.kept_dual(spark, sf_dir)

@@ -152,6 +152,33 @@ for _op, _value, _having in (("sum", "sum(val)", ""), ("max", "max(val)", ""), (
         return graphs.symmetrise(e.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("wgt").cast("double").alias("val")), op)
 
 
+    @register(
+        f"symmetrize_sparse_{_op}",
+        f"""WITH {fx.SUCCESSIONS}, b AS (SELECT src AS "row", dst AS col, CAST(wgt AS DOUBLE) AS val FROM e UNION ALL SELECT dst, src, CAST(wgt AS DOUBLE) FROM e)
+        SELECT "row", col, {_value} AS val FROM b GROUP BY 1, 2{_having}""",
+    )
+    def _symmetrise_sparse(spark: SparkSession, sf_dir: str, op: str = _op) -> DataFrame:
+        """Most entries are on one side only."""
+        e = fx.successions(spark, sf_dir)
+        return graphs.symmetrise(e.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("wgt").cast("double").alias("val")), op)
+
+
+@register(
+    "conjugate_gradient",
+    f"WITH {fx.SUCCESSIONS}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, CAST(id % 10 + 1 AS DOUBLE) AS x FROM v",
+)
+def conjugate_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Laplacian plus the unit matrix with a right side whose solution is known."""
+    e = graphs.fix(fx.successions(spark, sf_dir))
+    n = graphs.vertices_of(e).unionByName(graphs.vertices_of(fx.successions(spark, sf_dir))).distinct()
+    degree = n.join(e.groupBy(F.col("src").alias("id")).agg(F.sum("wgt").alias("d")), "id", "left")
+    m = e.select(F.col("src").alias("row"), F.col("dst").alias("col"), (-F.col("wgt")).cast("double").alias("val")).union(
+        degree.select(F.col("id").alias("row"), F.col("id").alias("col"), (1.0 + F.coalesce("d", F.lit(0))).alias("val"))
+    )
+    b = m.groupBy(F.col("row").alias("id")).agg(F.sum(F.col("val") * (F.col("col") % 10 + 1)).alias("b"))
+    return matrix.conjugate_gradient(m, b, tol=1e-9).select("id", F.round("x", 4).alias("x"))
+
+
 @register("extract_rows", f'{M}, l AS (SELECT DISTINCT "row", "row" // 10 AS pos FROM m WHERE "row" % 10 = 0) SELECT pos AS "row", col, val FROM m JOIN l USING ("row")')
 def extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.matrix(spark, sf_dir)

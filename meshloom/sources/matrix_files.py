@@ -125,6 +125,16 @@ def read_binary_ijv(spark: SparkSession, path: str, values: bool = True) -> Data
     return _whole_files(spark, path).mapInPandas(work, "row long, col long, val double")
 
 
+def write_binary_ijv(m: DataFrame, path: str, values: bool = True) -> None:
+    """One binary file of triplets by row and column, as ``read_binary_ijv`` reads it; the driver streams them partition by partition."""
+    size = m.agg((F.max("row") + 1).alias("r"), (F.max("col") + 1).alias("c"), F.count("*").alias("n")).first()
+    kind = np.dtype([("i", "<i4"), ("j", "<i4")] + ([("v", "<f4")] if values else []))
+    with open(path.removeprefix("file://"), "wb") as f:
+        f.write(struct.pack("<iiq", size["r"] or 0, size["c"] or 0, size["n"]))
+        for r in m.select("row", "col", "val").orderBy("row", "col").toLocalIterator():
+            f.write(np.array([(r["row"], r["col"], r["val"]) if values else (r["row"], r["col"])], dtype=kind).tobytes())
+
+
 def write_binary(m: DataFrame, path: str, by: str = "row", values: bool = True) -> None:
     """One binary file, streamed by the driver in order; for matrices by rows or by columns that fit the format's 4-byte ids."""
     a, b = ("row", "col") if by == "row" else ("col", "row")
@@ -186,7 +196,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
     "graph": _matrix_as_graph, "metis": _matrix_as_graph, "chaco": _matrix_as_graph, "csr": write_csr, "clu": write_cluto, "mat": write_cluto, "ijv": write_ijv,
-    "binr": write_binary, "binc": lambda m, p: write_binary(m, p, "col"), **{x: write_vector for x in ("txt", "vec", "perm", "part", "cluster")},
+    "binr": write_binary, "binc": lambda m, p: write_binary(m, p, "col"), "bijv": write_binary_ijv, **{x: write_vector for x in ("txt", "vec", "perm", "part", "cluster")},
 }
 
 

@@ -335,3 +335,134 @@ def test_stream(spark, tmp_path):
     assert len(seen) == 3 and seen[-1] == 48 and state.part.select("id").distinct().count() == 48
     state.apply(state.edges, 0)  # a batch that comes again
     assert state.edges.count() == 2 * len(pairs)
+
+
+# -- further kernels and measures ---------------------------------------------
+
+
+@pytest.mark.parametrize("how", ["", "fc", "jc"])
+@pytest.mark.parametrize("start", ["grow", "random", "kway"])
+@pytest.mark.parametrize("refine", ["greedy", "swap", "hs", "kpm"])
+def test_kernel_variants(how, start, refine):
+    g, k = in_memory(16, 16), 4
+    where = partition.kway(g, np.full((k, 1), 1 / k), np.array([1.05]), 3, how=how, start=start, refine=refine)
+    assert set(where.tolist()) == set(range(k)) and np.bincount(where).max() <= 1.05 * g.n / k + 1
+    assert csr.cut(g, where) < 0.5 * len(g.adj) / 2
+
+
+def test_swaps_hills_and_pairs_never_raise_the_cut():
+    from meshloom.kernels import moves
+
+    g, shares, ub = in_memory(12, 12), np.full((3, 1), 1 / 3), np.array([1.1])
+    where = np.random.default_rng(2).permutation(np.arange(g.n) % 3)
+    before = csr.cut(g, where)
+    swapped = moves.swap_edges(g, where)
+    assert csr.cut(g, swapped) < before and (np.bincount(swapped) == np.bincount(where)).all()
+    assert csr.cut(g, moves.scan_hills(g, swapped, shares, ub)) < csr.cut(g, swapped)
+    assert csr.cut(g, moves.pairs_of_parts(g, swapped, shares, ub)) < csr.cut(g, swapped)
+    levels = partition.coarsen(g, 5, np.random.default_rng(1), n_levels=2)
+    assert len(levels) == 3
+
+
+def test_options_of_kernels(grid):
+    part = partitioning.partition(grid, PartitionOptions(nparts=3, ctype="fc", iptype="kway", rtype="hs"))
+    assert part.count() == 120 and part.agg(F.count_distinct("pid")).first()[0] == 3
+    with pytest.raises(ValueError):
+        PartitionOptions(rtype="none").checked()
+
+
+def test_roc_n_by_hand(spark):
+    """Rows by score: + - (tie: + -) + -; all three positives divide, and the list ends with the second false positive."""
+    from meshloom.operators import ranking
+
+    rows = [(9.0, 1, 0), (8.0, -1, 1), (7.0, 1, 2), (7.0, -1, 3), (6.0, 1, 4), (5.0, -1, 5)]
+    ranked = spark.createDataFrame(rows, "score double, cls int, tie int")
+    # Areas: (0,1) to (1,1): 1; the tie from (1,1) to (2,2): 1.5.  Over 3 positives times 2 false ones.
+    assert ranking.roc_n(ranked, 2).first()[0] == round(2.5 / 6, 6)
+    assert ranking.roc_n(ranked, 2, compat=True).first()[0] == round(2 / 6, 6)
+    # One false positive ends the list inside no tie: area 1 over 3 times 1.
+    assert ranking.roc_n(ranked, 1).first()[0] == round(1 / 3, 6)
+    assert ranking.max_accuracy(ranked).first()[0] == round(100 * 4 / 6, 6)
+    bad = spark.createDataFrame([(9.0, -1, 0), (8.0, -1, 1)], "score double, cls int, tie int")
+    assert ranking.max_accuracy(bad).first()[0] == 50.0
+
+
+def test_interface_counts_by_hand(spark):
+    """Vertex 0 touches two foreign parts and counts twice."""
+    placed = spark.createDataFrame([(a, b, w, a % 3, b % 3) for a, b, w in both([(0, 1), (0, 2), (0, 3), (1, 2)])], "src long, dst long, wgt long, ps int, pd int")
+    found = {r["kind"]: (r["least"], r["largest"], r["mean"]) for r in metrics.interface_stats(placed, 3).collect()}
+    assert found["interface"] == (2, 2, 2.0) and found["cut"] == (2, 2, 2.0)
+
+
+def test_levels_and_distances_on_a_long_path(spark):
+    n = 70
+    path = spark.createDataFrame(both([(i, i + 1) for i in range(n - 1)], 3), EDGES)
+    root = spark.createDataFrame([(0,)], "id long")
+    assert {r["id"]: r["level"] for r in analytics.bfs_levels(path, root).collect()} == {i: i for i in range(n)}
+    assert {r["id"]: r["dist"] for r in analytics.sssp(path, root).collect()} == {i: 3 * i for i in range(n)}
+
+
+def test_discovery_order(spark, grid):
+    from collections import deque
+
+    near = {}
+    for a, b, _ in both(grid_pairs(12, 10)):
+        near.setdefault(a, set()).add(b)
+    order, queue, seen = [], deque([37]), {37}
+    while queue:
+        v = queue.popleft()
+        order.append(v)
+        for u in sorted(near[v] - seen):
+            seen.add(u)
+            queue.append(u)
+    got = analytics.bfs_discovery(grid, spark.createDataFrame([(37,)], "id long")).orderBy("pos").collect()
+    assert [r["id"] for r in got] == order and [r["pos"] for r in got] == list(range(120))
+
+
+def test_articulation(spark):
+    """Two triangles that share vertex 2, and a leaf; vertex 2 holds its part together, others do not."""
+    pairs = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (2, 4), (4, 5)]
+    placed = spark.createDataFrame(both(pairs), EDGES).withColumns({"ps": F.lit(0), "pd": F.lit(0)})
+    asked = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    assert {r["id"]: r["articulation"] for r in analytics.articulation(placed, asked).collect()} == {0: False, 1: False, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_itemset_callback(spark):
+    seen = spark.sparkContext.accumulator(0)
+    baskets = spark.createDataFrame([(t, i) for t in range(6) for i in range(3)], "tid long, item long")
+    analytics.each_itemset(baskets, lambda items, support: seen.add(len(items) * support), 3)
+    assert seen.value == 6 * (3 * 1 + 3 * 2 + 1 * 3)
+
+
+def test_arrays_and_extremes(spark):
+    df = spark.createDataFrame([([3, 1, 2], [2, 5], [4.0, 9.0, 7.0, 1.0])], "a array<long>, b array<long>, v array<double>")
+    row = df.select(
+        scalars.merged("a", "b").alias("u"), scalars.merged("a", "b", "intersection").alias("i"), scalars.merged("a", "b", "difference").alias("d"),
+        scalars.second_argmax("v").alias("second"), scalars.strided_argmax("v", 2).alias("even"), scalars.strided_argmax("v", 2, 1).alias("odd"),
+    ).first()
+    assert (row["u"], row["i"], row["d"], row["second"], row["even"], row["odd"]) == ([1, 2, 3, 5], [2], [1, 3], 2, 1, 0)
+
+
+def test_triplets_there_and_back(spark, tmp_path):
+    m = spark.createDataFrame([(0, 3, 1.5), (2, 0, -2.0), (2, 1, 4.0)], "row long, col long, val double")
+    matrix_files.save(m, f"{tmp_path}/m.bijv")
+    assert sorted(tuple(r) for r in matrix_files.load(spark, f"{tmp_path}/m.bijv").collect()) == sorted(tuple(r) for r in m.collect())
+
+
+def test_hot_nodes_are_split(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "HOT", 4)
+    inc = spark.createDataFrame([(e, n) for e in range(19) for n in (0, 1 + e % 3)], "elem long, node long")
+    found = {(r["src"], r["dst"]): r["wgt"] for r in mesh.dual_graph(inc, 1, relaxed=False).collect()}
+    assert found == {(a, b): 1 + (a % 3 == b % 3) for a in range(19) for b in range(19) if a != b}
+
+
+def test_scratch_tables_go(spark):
+    from meshloom.plans import scratch
+
+    at = scratch.mark()
+    one, two = scratch.materialize(spark.range(3)), scratch.materialize(spark.range(4))
+    scratch.release(one)
+    assert len(scratch._written) == at + 1 and two.count() == 4
+    three = scratch.materialize(spark.range(5))
+    scratch.clear_since(at, three)
+    assert len(scratch._written) == at + 1 and three.count() == 5
