@@ -156,7 +156,7 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "better_balance",
     """WITH w AS (SELECT l_orderkey AS id, count(*) AS n, CAST(round(sum(l_quantity)) AS BIGINT) AS q FROM lineitem GROUP BY 1),
     s AS (SELECT id, pow(greatest(n - 4, 0), 2) + pow(greatest(q - 100, 0), 2) AS a, pow(greatest(n - 3, 0), 2) + pow(greatest(q - 105, 0), 2) AS b,
-          0.01 * n - 0.03 AS x0, 0.001 * q - 0.08 AS x1, 0.012 * n - 0.03 AS y0, 0.0009 * q - 0.08 AS y1 FROM w)
+          n / 64.0 - 1 / 32.0 AS x0, q / 1024.0 - 5 / 64.0 AS x1, 3 * n / 256.0 - 1 / 32.0 AS y0, 7 * q / 8192.0 - 5 / 64.0 AS y1 FROM w)
     SELECT id, b < a AS two_way, greatest(0, y0, y1) < greatest(0, x0, x1) OR (greatest(0, y0, y1) = greatest(0, x0, x1) AND y0 * y0 + y1 * y1 < x0 * x0 + x1 * x1) AS k_way FROM s""",
 )
 def better_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,8 @@ def better_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     less = lambda n, q: F.zip_with("v", F.array(F.lit(float(n)), F.lit(float(q))), lambda x, y: x - y)
     pair = lambda x, y: F.array(F.lit(x), F.lit(y))
     zero = pair(0.0, 0.0)
-    k_way = scalars.better_balance_kway("v", pair(0.03, 0.08), (1, zero, pair(0.01, 0.001)), (1, zero, pair(0.012, 0.0009)))
+    # Multipliers that binary fractions hold exactly, so that ties are ties.
+    k_way = scalars.better_balance_kway("v", pair(1 / 32, 5 / 64), (1, zero, pair(1 / 64, 1 / 1024)), (1, zero, pair(3 / 256, 7 / 8192)))
     return w.select("id", scalars.better_balance(less(4, 100), less(3, 105)).alias("two_way"), k_way.alias("k_way"))
 
 
