@@ -1,10 +1,14 @@
 """Classifiers by held-out accuracy and awkward rows; vectors against brute force; the pipeline."""
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from meshloom.llm import embedding_dedup, quality, queries, toxicity
+from meshloom.plans import scratch
 
 TABLES = "/root/testdata/sf0.01"
 
@@ -204,6 +208,25 @@ def test_recall_on_the_table(spark):
     assert sum(v[0] for v in got.values()) >= 0.9 * sum(v[0] for v in want.values()) and got.keys() == want.keys()
 
 
+def test_vectors_write_little(spark):
+    """Scratch tables and shuffles together stay under 4 times the vectors' bytes."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+    x[1::100] = x[::100] + 0.01 * x[2::100]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before, at = shuffled(), scratch.mark()
+    got = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    tables = [Path(path.removeprefix("file://")) for _, path in scratch._written[at:]]
+    written = sum(f.stat().st_size for t in tables for f in t.rglob("*.parquet"))
+    assert got == 400
+    assert 0 < shuffled() - before + written < 4 * x.nbytes
+
+
 # -- registration and pipeline ----------------------------------------------
 
 
