@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from meshloom.llm import embedding_dedup, quality, queries, toxicity
 from meshloom.plans import scratch
@@ -208,23 +209,47 @@ def test_recall_on_the_table(spark):
     assert sum(v[0] for v in got.values()) >= 0.9 * sum(v[0] for v in want.values()) and got.keys() == want.keys()
 
 
-def test_vectors_write_little(spark):
-    """Scratch tables and shuffles together stay under 4 times the vectors' bytes."""
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+def random_vectors(spark, n):
+    """Of every 100 vectors, one has a near copy."""
+    x = np.random.default_rng(5).standard_normal((n, 64)).astype(np.float32)
     x[1::100] = x[::100] + 0.01 * x[2::100]
-    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)})), x.nbytes
+
 
-    def shuffled():
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
 
-    before, at = shuffled(), scratch.mark()
+
+def test_vectors_write_little(spark):
+    """Scratch tables and shuffles together stay under 4 times the vectors' bytes."""
+    df, nbytes = random_vectors(spark, 20_000)
+    before, at = shuffled(spark), scratch.mark()
     got = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
     tables = [Path(path.removeprefix("file://")) for _, path in scratch._written[at:]]
     written = sum(f.stat().st_size for t in tables for f in t.rglob("*.parquet"))
     assert got == 400
-    assert 0 < shuffled() - before + written < 4 * x.nbytes
+    assert 0 < shuffled(spark) - before + written < 4 * nbytes
+
+
+def test_no_vector_is_sampled(spark, monkeypatch):
+    """Counts come from the threshold and the length; vectors of few components, in a narrow cone, link as others do."""
+
+    limit = DataFrame.limit
+
+    def one_row(df, n):
+        assert n <= 1, "rows were sampled"
+        return limit(df, n)
+
+    rng = np.random.default_rng(6)
+    x = np.zeros((3000, 64))
+    x[:, :6] = 1 + rng.standard_normal((3000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(3000), "embedding": list(x.astype(np.float32))}))
+    monkeypatch.setattr(DataFrame, "limit", one_row)
+    found = embedding_dedup.near_duplicates(frame).agg(F.sum("n_links")).collect()[0][0]
+    assert 0.9 * ((c >= 0.95).sum() - 3000) <= found <= ((c >= 0.9499999).sum() - 3000)
 
 
 # -- registration and pipeline ----------------------------------------------
