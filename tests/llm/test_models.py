@@ -252,6 +252,19 @@ def test_no_vector_is_sampled(spark, monkeypatch):
     assert 0.9 * ((c >= 0.95).sum() - 3000) <= found <= ((c >= 0.9499999).sum() - 3000)
 
 
+def test_vectors_grow_in_step(spark):
+    """Five times the vectors shuffle less than 5 ** 1.3 times the bytes, and a vector's comparisons do not follow their number."""
+    took = []
+    for n in (8_000, 40_000):
+        df, before = random_vectors(spark, n)[0], shuffled(spark)
+        embedding_dedup.near_duplicates(df).write.format("noop").mode("overwrite").save()
+        took.append(shuffled(spark) - before)
+    assert took[1] < 5**1.3 * took[0]
+    layouts = {n: embedding_dedup.layout(64, n, 0.95) for n in (1 << 14, 1 << 24)}
+    compared = [e.probes**2 * n / e.cells for n, e in layouts.items()]
+    assert compared[1] < 10 * compared[0]
+
+
 # -- registration and pipeline ----------------------------------------------
 
 
