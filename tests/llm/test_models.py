@@ -296,3 +296,23 @@ def test_pipeline(spark):
     assert Counter(r["doc_id"] for r in got) == +want
     assert all(r["n_tokens"] == len(reference_ids(clean[r["doc_id"]]["text"] or "")) // 4 for r in got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "mixing", "byte_bpe"]
+
+
+def test_stages_send_small_batches(spark):
+    """After any stage, whole texts go to Python workers in batches of few bytes; a lower bound of the session stays."""
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    rows = pa.table({"doc_id": np.arange(3000), "text": ["word %d " % i + "x" * 4000 for i in range(3000)], "source": ["a"] * 3000})
+    for own in (None, 1 << 18):
+        session = spark.newSession()
+        if own:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
+        docs = session.createDataFrame(rows).coalesce(1)
+        assert corpus_pipeline.encode(session, docs, "").count() == 3000
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["bytes"] for r in got) < 2 * (own or corpus_pipeline.BATCH_BYTES)
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
