@@ -9,6 +9,12 @@ words is one phrase of ``m`` words, and its length the count.  Intervals leave a
 shard as rows ``(lang, phrase, n)``, one a phrase, and are summed by key.  So a
 phrase, however frequent, is one row a shard when it shuffles.
 
+Words and pairs are counted in one pass, each greater length in one of its own:
+there a phrase leaves the shard only if both its parts of one word less may be
+frequent, by a filter of ``MAX_FILTER_BITS`` at most.  What the filter lets pass
+in error costs a row and is counted like all others, so counts are exact; with
+thousands of millions of frequent phrases it lets all pass.
+
 Scores are made from the frequent phrases alone: no part of a phrase is rarer
 than the phrase.  A cut of a candidate meets the counts of its two parts in two
 joins; a part with many phrases is split by adaptive execution, as both sides
@@ -23,21 +29,25 @@ an empty table gives no rows.  Other columns, whatever their names, play no part
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshloom.llm.bpe import texts_in
+from meshloom.llm.words import mixed, word_hashes
 from meshloom.llm.workers import tidy
 from meshloom.plans.scratch import materialize, release
 
-#: Words and marks of a shard, about; it ends with a whole text.
-SHARD_WORDS = 1 << 22
+#: Words and marks of a shard, about; it ends with a whole text.  Pairs of ranks of so many and a place fit 63 bits.
+SHARD_WORDS = 1_900_000
+#: Bits of a filter of frequent phrases at most: 16 MB.
+MAX_FILTER_BITS = 1 << 27
 #: Rows that go back to Spark at once.
 BATCH_ROWS = 1 << 15
 COUNTS = "lang string, phrase string, n long"
@@ -53,21 +63,36 @@ def tokens(text: str) -> list[bytes]:
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes in an order of their first ``depth`` ids at least, by prefix doubling."""
     rank, h = ids.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable") if depth < 2 else None
+    if depth < 2:
+        return np.argsort(rank)
     while h < depth:
         ahead = np.zeros(len(ids), dtype=np.int64)
         ahead[:-h] = rank[h:] + 1  # past the end: 0
-        key = rank * (ahead.max(initial=0) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        placed = key[order]
+        order, keys = _by_pairs(rank, ahead)
         dense = np.zeros(len(ids), dtype=np.int64)
-        dense[1:] = np.cumsum(placed[1:] != placed[:-1])
-        rank = np.empty(len(ids), dtype=np.int64)
+        np.cumsum(keys[1:] != keys[:-1], out=dense[1:])
         rank[order] = dense
         h *= 2
     return order
 
 
+def _by_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of numbers, and the pairs in it as single numbers.
+
+    Where a pair and its place fit 63 bits together, numbers are sorted, which is faster than sorting places by them.
+    """
+    bits = int(second.max(initial=0)).bit_length()
+    keys = first << bits | second
+    place = max(len(keys) - 1, 0).bit_length()
+    if int(keys.max(initial=0)).bit_length() + place <= 63:
+        keys <<= place
+        keys |= np.arange(len(keys))
+        keys.sort()
+        return keys & ((1 << place) - 1), keys >> place
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
 def common_prefixes(ids: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Of each suffix in order, how many first ids it shares with the one before, ``depth`` at most."""
     shared = np.zeros(len(order), dtype=np.int8)
@@ -80,17 +105,60 @@ def common_prefixes(ids: np.ndarray, order: np.ndarray, depth: int) -> np.ndarra
     return shared
 
 
-def phrase_counts(ids: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length up to ``longest``: phrases as rows of ids, and their counts; id 0 is the mark."""
+def phrase_counts(ids: np.ndarray, shortest: int, longest: int, frequent: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: phrases as rows of ids, and their counts; id 0 is the mark.
+
+    With ``frequent``, which says of phrases of ``shortest - 1`` words whether they may be, only those whose
+    parts of so many words all may.
+    """
     order = suffix_array(ids, longest)
     shared = common_prefixes(ids, order, longest)
     padded = np.concatenate([ids, np.zeros(longest, dtype=ids.dtype)])
-    for m in range(1, longest + 1):
+
+    def intervals(m: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.flatnonzero(shared < m)  # an interval of suffixes that share m ids begins here
-        counts = np.diff(first, append=len(order))
-        phrases = padded[order[first][:, None] + np.arange(m)]
-        whole = (phrases != 0).all(axis=1)
-        yield phrases[whole], counts[whole]
+        length = np.diff(first, append=len(order))
+        starts = order[first]
+        whole = np.ones(len(first), dtype=bool)
+        for j in range(m):
+            whole &= padded[starts + j] != 0
+        if allowed is not None:
+            for j in range(m - shortest + 2):
+                whole &= allowed[starts + j]
+        return starts, length, whole
+
+    allowed = None
+    if frequent is not None:
+        starts, length, whole = intervals(shortest - 1)
+        whole[whole] = frequent(padded[starts[whole][:, None] + np.arange(shortest - 1)])
+        allowed = np.zeros(len(padded), dtype=bool)
+        allowed[order] = np.repeat(whole, length)
+    for m in range(shortest, longest + 1):
+        starts, length, whole = intervals(m, allowed)
+        yield padded[starts[whole][:, None] + np.arange(m)], length[whole]
+
+
+def phrase_hashes(lang: np.ndarray, words: Iterable[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from those of their language and words, column by column."""
+    found = lang
+    with np.errstate(over="ignore"):
+        for column in words:
+            found = mixed(found * np.uint64(0x9E3779B97F4A7C15) + column)
+    return found
+
+
+class _Ids(dict):
+    """The ids of a language's words; a new word takes the next id of the shard."""
+
+    def __init__(self, shard: _Shard, lang: str) -> None:
+        super().__init__({_MARK: 0})
+        self.shard, self.lang = shard, lang
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = new = len(self.shard.words)
+        self.shard.words.append(word)
+        self.shard.langs.append(self.lang)
+        return new
 
 
 class _Shard:
@@ -98,28 +166,29 @@ class _Shard:
 
     def __init__(self) -> None:
         self.words, self.langs = [b""], [""]
-        self.ids: dict[str, dict[bytes, int]] = {}
+        self.ids: dict[str, _Ids] = {}
         self.texts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, lang: str, text: str) -> None:
-        known = self.ids.setdefault(lang, {_MARK: 0})
-        found = tokens(text)
-        for word in set(found).difference(known):
-            known[word] = len(self.words)
-            self.words.append(word)
-            self.langs.append(lang)
+        if lang not in self.ids:
+            self.ids[lang] = _Ids(self, lang)
+        known, found = self.ids[lang], tokens(text)
         self.texts.append(np.fromiter(map(known.__getitem__, found), dtype=np.int32, count=len(found)))
         self.texts.append(np.zeros(1, dtype=np.int32))
         self.size += len(found) + 1
 
-    def rows(self, longest: int) -> Iterator[pa.RecordBatch]:
-        """``COUNTS`` of this shard; the empty phrase counts all words of a language."""
+    def rows(self, shortest: int, longest: int, bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """``COUNTS`` of this shard; with words, the empty phrase counts all words of a language."""
         if not self.texts:
             return
-        ids, self.texts = np.concatenate(self.texts), []
+        ids, self.texts, self.ids = np.concatenate(self.texts), [], {}
         words, langs = pa.array(self.words, pa.binary()), pa.array(self.langs, pa.string()).dictionary_encode()
-        for phrases, counts in phrase_counts(ids, longest):
+        frequent = None
+        if bits is not None:
+            word, lang = word_hashes(self.words), word_hashes([x.encode() for x in langs.dictionary.to_pylist()])[langs.indices.to_numpy()]
+            frequent = lambda phrases: _is_set(bits, phrase_hashes(lang[phrases[:, 0]], (word[c] for c in phrases.T)))
+        for phrases, counts in phrase_counts(ids, shortest, longest, frequent):
             for at in range(0, len(phrases), BATCH_ROWS):
                 part = phrases[at : at + BATCH_ROWS]
                 spelled = pc.binary_join_element_wise(*(words.take(pa.array(column)) for column in part.T), b" ") if part.shape[1] > 1 else words.take(pa.array(part[:, 0]))
@@ -131,31 +200,61 @@ class _Shard:
                 yield _batch(langs.dictionary.take(pa.array(held)), pa.array([""] * len(held), pa.string()), sums[held])
 
 
+def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(8 * len(bits))
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _batch(lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
 
-def counts(docs: DataFrame, longest: int = 3, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(lang, phrase, n)``: occurrences of all phrases of ``docs (text, lang)`` up to ``longest`` words, spelled with single spaces.
+def counts(docs: DataFrame, shortest: int = 1, longest: int = 3, shard_words: int = SHARD_WORDS, filter_: Broadcast | None = None) -> DataFrame:
+    """``(lang, phrase, n)``: occurrences of all phrases of ``docs (text, lang)`` of so many words, spelled with single spaces.
 
-    The empty phrase counts all words of its language.
+    With single words, the empty phrase counts all words of its language.  ``filter_``, of ``frequent_filter``:
+    at least of the phrases whose parts of ``shortest - 1`` words it holds.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if filter_ is None else np.frombuffer(filter_.value, dtype=np.uint8)
         shard = _Shard()
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), texts_in(batch, "text"), strict=True):
                 shard.add(lang, text)
                 if shard.size >= shard_words:
-                    yield from shard.rows(longest)
+                    yield from shard.rows(shortest, longest, bits)
                     shard = _Shard()
-        yield from shard.rows(longest)
+        yield from shard.rows(shortest, longest, bits)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(tidy(work), COUNTS)
     # A shard has summed already, so rows shuffle as they are and are summed once, where they arrive.
     return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def frequent_filter(frequent: DataFrame, size: int, max_bits: int = MAX_FILTER_BITS) -> Broadcast:
+    """A bit for the hash of each phrase of ``size`` words among ``frequent (lang, phrase, n)``: 16 bits a phrase, ``max_bits`` at most.
+
+    Spark sets the bits in bitmaps of 4 KB, which are all that reaches the driver.
+    """
+    chosen = frequent.where((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) == size)).select("lang", "phrase")
+    n_bits = max(1 << 15, min(1 << (16 * chosen.count()).bit_length(), max_bits))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
+            lang = word_hashes([x.encode() for x in batch.column("lang").to_pylist()])
+            hashes = phrase_hashes(lang, (word_hashes(list(c)) for c in zip(*words, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array((hashes % np.uint64(n_bits)).astype(np.int64))], ["at"])
+
+    bit = F.col("at") + 1  # the bitmap functions count from 1
+    held = chosen.mapInArrow(tidy(work), "at long").groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+    bits = np.zeros(n_bits // 8, dtype=np.uint8)
+    for r in held.toLocalIterator():  # n_bits / 8 bytes in all
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+    return frequent.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
 def _exact(column: str) -> Column:
     return F.col(column).cast("decimal(15,0)")
 
@@ -206,7 +305,13 @@ def mine(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, pe
     """
     if longest < 2 or least < 1 or top < 1:
         raise ValueError("longest must be 2 at least, least and top 1 at least")
-    frequent = materialize(counts(docs, longest, shard_words).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    wanted = (F.col("n") >= least) | (F.col("phrase") == "")
+    frequent = materialize(counts(docs, 1, 2, shard_words).where(wanted), "phrases")
+    for size in range(3, longest + 1):
+        held = frequent_filter(frequent, size - 1)
+        more = materialize(counts(docs, size, size, shard_words, held).where(wanted), "phrases")
+        held.unpersist()
+        frequent = frequent.union(more)
     found = materialize(scored(frequent.where(F.col("n") >= least)), "scored")
     ranked = materialize(best(without_fragments(found, percent), top), "collocations")
     totals = frequent.where("phrase = ''").select("lang", "n")
