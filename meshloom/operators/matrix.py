@@ -198,7 +198,8 @@ def conjugate_gradient(m: DataFrame, b: DataFrame, tol: float = 1e-8, most: int
     """``(id, x)`` with ``m x = b`` for a symmetric positive definite matrix, by diagonally preconditioned steps.
 
     ``b`` is ``(id, b)``.  A step is one join over the entries and sums of three numbers; it is written, so
-    that lineage stays short.  It ends once the residual is ``tol`` times ``b``, or after ``most`` steps.
+    that lineage stays short.  It ends once the residual is ``tol`` times ``b``; ``ArithmeticError`` if it is
+    not after ``most`` steps.
     """
     from meshloom.plans.scratch import materialize, release
 
@@ -210,9 +211,11 @@ def conjugate_gradient(m: DataFrame, b: DataFrame, tol: float = 1e-8, most: int
     dots = lambda s: s.agg(F.sum(F.col("r") * F.col("by") * F.col("r")).alias("rho"), F.sum(F.col("r") * F.col("r")).alias("rr")).first()
     at = dots(state)
     rho, goal = at["rho"] or 0.0, (at["rr"] or 0.0) * tol * tol
-    for _ in range(most):
-        if (at["rr"] or 0.0) <= goal or not rho:
+    for step_ in range(most + 1):
+        if (at["rr"] or 0.0) <= goal:
             break
+        if step_ == most or not rho:
+            raise ArithmeticError(f"the residual is {(at['rr'] or 0.0) ** 0.5:g} after {step_} steps")
         q = m.join(state.select(F.col("id").alias("col"), "p"), "col").groupBy(F.col("row").alias("id")).agg(F.sum(F.col("val") * F.col("p")).alias("q"))
         met = materialize(state.join(q, "id", "left").withColumn("q", F.coalesce("q", F.lit(0.0))), "products")
         slope = met.agg(F.sum(F.col("p") * F.col("q"))).first()[0]

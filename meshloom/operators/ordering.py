@@ -52,3 +52,17 @@ def rank_within(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
     placed = dealt.withColumn("_within", within)
     met = placed.join(offsets.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & (F.col(key) == F.col("_same")))
     return met.withColumn(name, F.col("_offset") + F.col("_within")).drop("_range", "_r", "_same", "_within", "_offset")
+
+
+def sum_within(rows: DataFrame, keys: list[str], column: str, order: list[str | Column], name: str) -> DataFrame:
+    """Adds the sum of ``column`` up to and with each row within its keys, however many rows they have; give a full order."""
+    dealt = _ranged(rows, [*keys, *order])
+    sums = dealt.groupBy("_range", *keys).agg(F.sum(column).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_same_{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("_offset"))
+    within = F.sum(column).over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k) == F.col(f"_same_{k}")
+    met = dealt.withColumn("_within", within).join(offsets, same)
+    return met.withColumn(name, F.col("_offset") + F.col("_within")).drop("_range", "_r", "_within", "_offset", *(f"_same_{k}" for k in keys))

@@ -8,6 +8,7 @@ coarsest graph, and distributed rounds of batch moves refine it on the way back.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -81,8 +82,11 @@ def _first(column: str = "vwgt"):
     return F.get(column, F.lit(0))
 
 
-def coarsen(edges: DataFrame, vertices: DataFrame, target: int, seed: int, most: int = 40) -> list[tuple[DataFrame, DataFrame, DataFrame | None]]:
-    """Levels ``(edges, vertices, cmap)`` from fine to coarse, each written; ends at ``target`` or when it hardly shrinks."""
+def coarsen(edges: DataFrame, vertices: DataFrame, target: int, seed: int, most: int = 40, home: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame, DataFrame | None]]:
+    """Levels ``(edges, vertices, cmap)`` from fine to coarse, each written; ends at ``target`` or when it hardly shrinks.
+
+    With ``home (id, pid)``, only vertices of one home are matched.
+    """
     levels = []
     n = vertices.count()
     total = vertices.agg(F.sum(_first())).first()[0] or 1
@@ -90,7 +94,9 @@ def coarsen(edges: DataFrame, vertices: DataFrame, target: int, seed: int, most:
     for level in range(most):
         if n <= target or edges.isEmpty():
             break
-        cmap = materialize(graphs.match(edges, vertices.select("id", _first().alias("vwgt")), cap, seed + level), "cmap")
+        cmap = materialize(graphs.match(edges, vertices.select("id", _first().alias("vwgt")), cap, seed + level, home=home), "cmap")
+        if home is not None:
+            home = materialize(lifted(cmap, home), "coarse-homes")
         weights = vertices.select("id", F.posexplode("vwgt").alias("con", "w")).join(cmap, "id").groupBy(F.col("cid").alias("id"), "con").agg(F.sum("w").alias("w"))
         packed = weights.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("con", "w"))), lambda x: x["w"]).alias("vwgt"))
         coarse = materialize(graphs.contract(edges, cmap), "coarse-edges"), materialize(packed, "coarse-vertices")
@@ -102,6 +108,11 @@ def coarsen(edges: DataFrame, vertices: DataFrame, target: int, seed: int, most:
     return [*levels, (edges, vertices, None)]
 
 
+def lifted(cmap: DataFrame, part: DataFrame) -> DataFrame:
+    """``(id, pid)`` of coarse vertices whose fine ones all have one part."""
+    return cmap.join(part, "id").groupBy(F.col("cid").alias("id")).agg(F.min("pid").alias("pid"))
+
+
 def _loads(vertices: DataFrame, part: DataFrame, options: PartitionOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Loads, shares of the total and allowed loads, a row a part and a column a constraint."""
     k, ncon = options.nparts, len(options.ubvec)
@@ -156,9 +167,21 @@ def _chunks(vertices: DataFrame) -> int:
     return 64 if vertices.count() > 100_000 else 1
 
 
-def refine_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions, turn: int) -> DataFrame:
+@dataclass(frozen=True)
+class Stay:
+    """What moving away from home costs: ``rows (id, home, vsize)``, and the prices of a unit of cut and of size."""
+
+    rows: DataFrame
+    ipc: float = 1000.0
+    redist: float = 1.0
+
+
+def refine_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions, turn: int, stay: Stay | None = None) -> DataFrame:
     """One round of batch moves: a vertex moves where it has more weight, within the room of the part.
 
+    With ``stay``, what a move gains in cut, times ``ipc``, is weighed against ``redist`` times the vertex's
+    size: gained by going home, lost by leaving it.
+
     A round admits one direction between two parts only, so that neighbours do not swap.  Vertices of
     parts above their bound, in any constraint, leave for parts below it whatever the gain, as
     many as the excess asks for.  The same object is returned when nothing moves.
@@ -175,8 +198,12 @@ def refine_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options
     side = lambda c: F.pmod(F.xxhash64(c, F.lit(options.seed + turn // 2)), F.lit(1 << 30))
     forward = (side("ps") < side("pd")) if turn % 2 == 0 else (side("ps") > side("pd"))
     offers = links.where((F.col("ps") != F.col("pd")) & forward & ~F.col("ps").isin(heavy)).join(own, links["src"] == own["id"], "left").select(
-        links["src"].alias("vid"), "pd", (F.col("w") - F.coalesce("home", F.lit(0))).alias("gain")
+        links["src"].alias("vid"), "ps", "pd", (F.col("w") - F.coalesce("home", F.lit(0))).alias("gain")
     )
+    if stay is not None:
+        homes = stay.rows.select(F.col("id").alias("vid"), F.col("home").alias("_home"), "vsize")
+        toward = (F.col("pd") == F.col("_home")).cast("int") - (F.col("ps") == F.col("_home")).cast("int")
+        offers = offers.join(homes, "vid").select("vid", "pd", (stay.ipc * F.col("gain") + stay.redist * F.col("vsize") * toward).alias("gain"))
     best = offers.where("gain > 0").groupBy("vid").agg(F.max(F.struct("gain", -F.col("pd"))).alias("b"))
     best = best.select(F.col("vid").alias("id"), (-F.col("b.col2")).cast("int").alias("to"), F.col("b.gain").alias("gain"))
     moves = best.join(weight, "id").join(rooms, "to").withColumn("relieves", F.lit(False))
@@ -439,32 +466,6 @@ def remap(part: DataFrame, k: int) -> DataFrame:
     return part.select("id", F.element_at(F.array(*(F.lit(full[p]) for p in range(k))), F.col("pid") + 1).alias("pid"))
 
 
-def adaptive_repartition(edges: DataFrame, home: DataFrame, options: PartitionOptions, ipc: float = 1000.0, vertices: DataFrame | None = None) -> DataFrame:
-    """``(id, pid)``: a better partition that weighs the cut, times ``ipc``, against what moves away from home.
-
-    Two ways are tried: refine the partition at hand, and partition anew and remap; the cheaper stays.
-    ``home`` is ``(id, pid)``; weights are also the sizes that move.
-    """
-    vertices = materialize(with_weights(edges, vertices), "vertices")
-    options = options.checked(vertices.agg(F.max(F.size("vwgt"))).first()[0] or 1)
-    edges = materialize(edges, "edges")
-    weight = vertices.select("id", _first().alias("vsize"))
-    refined = materialize(home.select("id", F.col("pid").cast("int").alias("pid")), "home")
-    refined = _rounds(refine_round, edges, vertices, refined, options)
-    fresh = partition(edges, options, vertices)
-    joined = fresh.join(home.select("id", F.col("pid").alias("home")), "id").join(weight, "id")
-    fresh = materialize(remap(joined, options.nparts), "remapped")
-
-    def cost(part: DataFrame) -> tuple[bool, float]:
-        cut = metrics.edge_cut(metrics.with_parts(edges, part)).first()[0]
-        both = part.join(home.select("id", F.col("pid").alias("home")), "id").join(weight, "id")
-        moved = both.where("home <> pid").agg(F.coalesce(F.sum("vsize"), F.lit(0))).first()[0]
-        load, fair, _ = _loads(vertices, part, options)
-        return bool((load / fair > np.array(options.ubvec) + 1e-4).any()), ipc * cut + moved
-
-    return min((refined, fresh), key=cost)
-
-
 def refine_partition(edges: DataFrame, part: DataFrame, options: PartitionOptions, vertices: DataFrame | None = None) -> DataFrame:
     """Local refinement alone."""
     vertices = materialize(with_weights(edges, vertices), "vertices")

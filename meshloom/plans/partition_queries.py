@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.operators import graphs, metrics, partitioning
+from meshloom.operators import graphs, metrics, partitioning, repartition
 from meshloom.plans import fixtures as fx
 from meshloom.plans.options import OrderOptions, PartitionOptions
 from meshloom.plans.registry import register
@@ -97,16 +97,56 @@ def vertex_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(F.broadcast(bad)).select("n_vertices", "violations", "light")  # one row
 
 
-@register("adaptive_repart", f"{D} SELECT count(*) AS n_vertices, true AS in_range, true AS not_worse FROM v")
+SUMS = "(SELECT CAST(sum(wgt) / 2 AS BIGINT) FROM e) AS total_weight"
+
+
+@register(
+    "adaptive_repart",
+    f"{D} SELECT count(*) AS n_vertices, count(*) AS total_size, {SUMS}, true AS balanced, true AS dear_cut_no_higher, true AS dear_moves_no_more, true AS beats_home FROM v",
+)
 def adaptive_repart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice: where a unit of cut costs a thousand times what it costs to move a vertex, and a thousandth of it."""
     e = fx.kept_dual(spark, sf_dir)
     home = graphs.vertices_of(e).select("id", fx.part_of("id", 8).alias("pid"))
-    part = partitioning.adaptive_repartition(e, home, PartitionOptions(nparts=8), 1000.0)
-    ours = metrics.edge_cut(metrics.with_parts(e, part)).withColumnRenamed("edge_cut", "ours")
-    old = metrics.edge_cut(metrics.with_parts(e, home))
-    facts = part.agg(F.count("*").alias("n_vertices"), ((F.min("pid") >= 0) & (F.max("pid") < 8)).alias("in_range"))
-    met = facts.join(F.broadcast(ours)).join(F.broadcast(old))  # one row each
-    return met.select("n_vertices", "in_range", (F.col("ours") <= F.col("edge_cut")).alias("not_worse"))
+    stay = repartition.Stay(home.select("id", F.col("pid").alias("home"), F.lit(1).cast("long").alias("vsize")))
+    dear, cheap = (repartition.adaptive_repartition(e, home, PartitionOptions(nparts=8), ipc) for ipc in (1000.0, 0.001))
+    held = dear.groupBy("pid").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_vertices"), (8 * F.max("n") <= 1.03 * F.sum("n") + 8).alias("balanced"))
+    named = lambda part, by: repartition.costs(e, part, stay).select(*(F.col(c).alias(f"{c}_{by}") for c in ("cut", "inner", "moved", "stayed")))
+    met = held.join(F.broadcast(named(dear, "dear"))).join(F.broadcast(named(cheap, "cheap"))).join(F.broadcast(named(home, "home")))  # one row each
+    return met.select(
+        "n_vertices", (F.col("moved_dear") + F.col("stayed_dear")).alias("total_size"), (F.col("cut_dear") + F.col("inner_dear")).alias("total_weight"), "balanced",
+        (F.col("cut_dear") <= F.col("cut_cheap")).alias("dear_cut_no_higher"), (F.col("moved_cheap") <= F.col("moved_dear")).alias("dear_moves_no_more"),
+        (F.col("cut_dear") < F.col("cut_home")).alias("beats_home"),
+    )
+
+
+LEANING = "least(id % 16, 7)"  # nine sixteenths of the vertices in part 7
+
+
+@register(
+    "diffusion_repart",
+    f"""{D}, h AS (SELECT {LEANING} AS pid, count(*) AS n FROM v GROUP BY 1)
+    SELECT (SELECT count(*) FROM v) AS n_vertices, CAST(8 AS BIGINT) AS n_parts, max(n) AS heaviest_before, true AS within_bound, true AS moves_the_excess,
+           true AS moves_little_more, {SUMS} FROM h""",
+)
+def diffusion_repart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of very unequal loads, levelled along flows and refined; what leaves home is the excess and what passes through other parts."""
+    e = fx.kept_dual(spark, sf_dir)
+    home = graphs.vertices_of(e).select("id", F.least(F.pmod("id", F.lit(16)), F.lit(7)).cast("int").alias("pid"))
+    options = PartitionOptions(nparts=8).checked()
+    vertices = partitioning.with_weights(e, home.select("id"))
+    stay = repartition.Stay(home.select("id", F.col("pid").alias("home"), F.lit(1).cast("long").alias("vsize")))
+    part = repartition.refine_from_home(e, vertices, repartition.diffuse(e, vertices, home, options), stay, options)
+    count = lambda p: p.groupBy("pid").agg(F.count("*").alias("n"))
+    after = count(part).agg(F.sum("n").alias("n_vertices"), F.count("*").alias("n_parts"), F.max("n").alias("most"))
+    before = count(home).agg(F.max("n").alias("heaviest_before"))
+    met = after.join(F.broadcast(before)).join(F.broadcast(repartition.costs(e, part, stay)))  # one row each
+    fair = F.col("n_vertices") / 8
+    excess = F.col("heaviest_before") - 1.03 * fair
+    return met.select(
+        "n_vertices", "n_parts", "heaviest_before", (F.col("most") <= 1.03 * fair + 1e-6).alias("within_bound"), (F.col("moved") >= excess).alias("moves_the_excess"),
+        (F.col("moved") <= 2 * F.col("heaviest_before")).alias("moves_little_more"), (F.col("cut") + F.col("inner")).alias("total_weight"),
+    )
 
 
 @register("matching", f"{D} SELECT count(*) AS n_vertices, true AS pairs, true AS edges, true AS shrinks FROM v")

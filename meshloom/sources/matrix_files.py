@@ -190,12 +190,12 @@ def _matrix_as_graph(m: DataFrame, path: str) -> None:
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "graph": _graph_as_matrix, "metis": _graph_as_matrix, "chaco": _graph_as_matrix, "csr": read_csr, "clu": read_cluto, "mat": read_cluto, "ijv": read_ijv,
+    "graph": _graph_as_matrix, "chaco": _graph_as_matrix, "csr": read_csr, "clu": read_cluto, "mat": read_cluto, "ijv": read_ijv,
     "binr": read_binary, "binc": lambda s, p: read_binary(s, p, "col"), "bijv": read_binary_ijv,
     **{x: lambda s, p: read_vector(s, p, "double") for x in ("txt", "vec", "perm", "part", "cluster")},
 }
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
-    "graph": _matrix_as_graph, "metis": _matrix_as_graph, "chaco": _matrix_as_graph, "csr": write_csr, "clu": write_cluto, "mat": write_cluto, "ijv": write_ijv,
+    "graph": _matrix_as_graph, "chaco": _matrix_as_graph, "csr": write_csr, "clu": write_cluto, "mat": write_cluto, "ijv": write_ijv,
     "binr": write_binary, "binc": lambda m, p: write_binary(m, p, "col"), "bijv": write_binary_ijv, **{x: write_vector for x in ("txt", "vec", "perm", "part", "cluster")},
 }
 
@@ -221,7 +221,7 @@ def save(table: DataFrame, path: str) -> None:
 def shape(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Rows, columns and entries; from the header where the format has one."""
     kind = extension(path)
-    if kind in ("graph", "metis", "chaco"):
+    if kind in ("graph", "chaco"):
         n, m = (int(x) for x in head(spark, path).split()[:2])
         return n, n, 2 * m
     if kind in ("clu", "mat"):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from meshloom.operators import graphs, metrics, partitioning
+from meshloom.operators import graphs, metrics, partitioning, repartition
 from meshloom.plans.options import PartitionOptions
 from meshloom.plans.scratch import materialize
 
@@ -47,7 +47,7 @@ class AdaptivePartition:
             self.part = materialize(self.part.union(placed), "stream-part")
             now = metrics.edge_cut(metrics.with_parts(self.edges, self.part)).first()[0]
             if now > (1 + self.tolerance) * self.cut:
-                self.part = materialize(partitioning.adaptive_repartition(self.edges, self.part, self.options, self.ipc), "stream-part")
+                self.part = materialize(repartition.adaptive_repartition(self.edges, self.part, self.options, self.ipc), "stream-part")
                 now = metrics.edge_cut(metrics.with_parts(self.edges, self.part)).first()[0]
                 self.cut = now
         self.last = batch_id

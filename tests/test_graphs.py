@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import scalars
 from meshloom.kernels import csr, partition, separators
-from meshloom.operators import analytics, graphs, matrix, mesh, metrics, partitioning
+from meshloom.operators import analytics, graphs, matrix, mesh, metrics, partitioning, repartition
 from meshloom.operators.ordering import global_rank, rank_within, running_sum
 from meshloom.plans import tools
 from meshloom.plans.options import OrderOptions, PartitionOptions
@@ -165,7 +165,7 @@ def test_kernels():
 
 def test_adaptive_and_remap(spark, grid):
     home = graphs.vertices_of(grid).select("id", F.pmod("id", F.lit(3)).cast("int").alias("pid"))
-    part = partitioning.adaptive_repartition(grid, home, PartitionOptions(nparts=3, niter=2))
+    part = repartition.adaptive_repartition(grid, home, PartitionOptions(nparts=3, niter=2))
     cut = lambda p: metrics.edge_cut(metrics.with_parts(grid, p)).first()[0]
     assert part.count() == 120 and cut(part) < cut(home)
     better = partitioning.refine_partition(grid, home, PartitionOptions(nparts=3, niter=2))
