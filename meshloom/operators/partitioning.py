@@ -21,7 +21,7 @@ from meshloom.kernels import csr, separators
 from meshloom.kernels import partition as kernels
 from meshloom.operators import analytics, graphs, metrics
 from meshloom.plans.options import OrderOptions, PartitionOptions
-from meshloom.plans.scratch import materialize
+from meshloom.plans.scratch import materialize, release
 
 
 def with_weights(edges: DataFrame, vertices: DataFrame | None) -> DataFrame:
@@ -158,9 +158,11 @@ def _admitted(moves: DataFrame, ncon: int, turn: int, chunks: int) -> DataFrame:
 def _moved(part: DataFrame, chosen: DataFrame) -> DataFrame:
     """The partition after the moves; the same object where there are none."""
     chosen = materialize(chosen, "moves")
-    if chosen.isEmpty():
-        return part
-    return materialize(part.join(chosen, "id", "left").select("id", F.coalesce("_to", "pid").alias("pid")), "refined")
+    new = part
+    if not chosen.isEmpty():
+        new = materialize(part.join(chosen, "id", "left").select("id", F.coalesce("_to", "pid").alias("pid")), "refined")
+    release(chosen)
+    return new
 
 
 def _chunks(vertices: DataFrame) -> int:

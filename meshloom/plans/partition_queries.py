@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.operators import graphs, metrics, partitioning, repartition
+from meshloom.operators import dissection, graphs, metrics, partitioning, repartition
 from meshloom.plans import fixtures as fx
 from meshloom.plans.options import OrderOptions, PartitionOptions
 from meshloom.plans.registry import register
@@ -187,3 +187,60 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = pieces(metrics.with_parts(e, new)).withColumnRenamed("n", "after")
     met = new.agg(F.count("*").alias("n_vertices")).join(F.broadcast(pieces(placed))).join(F.broadcast(after))  # one row each
     return met.select("n_vertices", (F.col("after") <= F.col("n")).alias("fewer"))
+
+
+@register(
+    "separator_refine",
+    f"""WITH {fx.HALVES}, v AS (SELECT DISTINCT src AS id FROM e), s AS (SELECT src AS id, max(CASE WHEN ps <> pd THEN 1 ELSE 0 END) AS c FROM p GROUP BY 1)
+    SELECT (SELECT count(*) FROM v) AS n_vertices, CAST(0 AS BIGINT) AS violations, CAST(sum(c) AS BIGINT) AS weight_before, true AS lighter, true AS within_bound FROM s""",
+)
+def separator_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the separator that two hashed halves ask for, in rounds over the whole graph."""
+    e = fx.kept_dual(spark, sf_dir)
+    start = metrics.separator_from_cut(e.withColumns({"ps": fx.part_of("src", 2), "pd": fx.part_of("dst", 2)}))
+    rows = dissection.rows_of(partitioning.with_weights(e, None))
+    part = dissection.refine_separators(e, rows, start, ub=1.2)
+    count = lambda p, name: p.agg(F.sum((F.col("pid") == 2).cast("long")).alias(name))
+    bad = metrics.separator_violations(metrics.with_parts(e, part))
+    sides = part.agg(F.count("*").alias("n_vertices"), *(F.sum((F.col("pid") == p).cast("long")).alias(f"n{p}") for p in (0, 1)))
+    met = sides.join(F.broadcast(bad)).join(F.broadcast(count(start, "weight_before"))).join(F.broadcast(count(part, "after")))  # one row each
+    return met.select(
+        "n_vertices", "violations", "weight_before", (2 * F.col("after") < F.col("weight_before")).alias("lighter"),
+        (2 * F.greatest("n0", "n1") <= 1.2 * F.col("n_vertices")).alias("within_bound"),
+    )
+
+
+@register("vertex_separator_rounds", f"{D} SELECT count(*) AS n_vertices, CAST(0 AS BIGINT) AS violations, true AS light, true AS within_bound FROM v")
+def vertex_separator_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarsened and refined in distributed rounds; a task sees 1,500 vertices at most."""
+    e = fx.kept_dual(spark, sf_dir)
+    part = dissection.vertex_separator_in_rounds(e, limit=1500)
+    bad = metrics.separator_violations(metrics.with_parts(e, part))
+    facts = part.agg(F.count("*").alias("n_vertices"), *(F.sum((F.col("pid") == p).cast("long")).alias(f"n{p}") for p in (0, 1, 2)))
+    met = facts.join(F.broadcast(bad))  # one row
+    return met.select("n_vertices", "violations", (10 * F.col("n2") < F.col("n_vertices")).alias("light"), (2 * F.greatest("n0", "n1") <= 1.25 * F.col("n_vertices")).alias("within_bound"))
+
+
+@register(
+    "node_nd_levels",
+    f"{D} SELECT count(*) AS n_vertices, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS sum_of_positions, CAST(count(*) - 1 AS BIGINT) AS last_position, CAST(0 AS BIGINT) AS sibling_edges FROM v",
+)
+def node_nd_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels, four leaves: positions are a permutation, and no edge joins two subgraphs that a separator parts."""
+    e = fx.kept_dual(spark, sf_dir)
+    found = dissection.dissect(e, levels=2)
+    facts = found.order.agg(F.count_distinct("id").alias("n_vertices"), F.sum("pos").alias("sum_of_positions"), F.max("pos").alias("last_position"))
+    return facts.join(F.broadcast(dissection.sibling_edges(e, found.order).withColumnRenamed("edges", "sibling_edges")))  # one row
+
+
+@register(
+    "separator_sizes",
+    f"{D} SELECT CAST(7 AS BIGINT) AS n_nodes, count(*) AS n_vertices, CAST(21 AS BIGINT) AS sum_of_places, true AS last_is_whole, true AS gapless FROM v",
+)
+def separator_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of four leaves and three separators add up to all vertices, and each node's labels are one gapless run."""
+    found = dissection.dissect(fx.kept_dual(spark, sf_dir), levels=2)
+    runs = found.order.groupBy("node").agg((F.max("pos") - F.min("pos") + 1 == F.count("*")).alias("run")).agg(F.min("run").alias("gapless"))
+    whole = F.max(F.when(F.col("nth") == 6, F.col("node"))) == 1
+    facts = found.sizes.agg(F.count("*").alias("n_nodes"), F.sum("size").alias("n_vertices"), F.sum("nth").alias("sum_of_places"), whole.alias("last_is_whole"))
+    return facts.join(F.broadcast(runs))  # one row
