@@ -37,11 +37,11 @@ import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meshloom.llm.bpe import texts_in
 from meshloom.llm.words import mixed, word_hashes
 from meshloom.llm.workers import tidy
+from meshloom.operators.ordering import global_rank
 from meshloom.plans.scratch import materialize, release
 
 #: Words and marks of a shard, about; it ends with a whole text.  Pairs of ranks of so many and a place fit 63 bits.
@@ -290,12 +290,11 @@ def without_fragments(found: DataFrame, percent: int = 50) -> DataFrame:
 
 
 def best(found: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` phrases of each language, with ``rank``; a language's are ranked in 64 hashed parts first."""
-    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
-    nth = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    few = found.withColumn("_part", part).withColumn("_nth", nth("lang", "_part")).where(F.col("_nth") <= top).drop("_part", "_nth")
-    return few.withColumn("rank", nth("lang").cast("long")).where(F.col("rank") <= top)
+    """The first ``top`` phrases of each language, with ``rank``: places in one order of all, less the first place of the language."""
+    placed = global_rank(found, [F.col("lang"), F.desc("score"), F.desc("a"), F.col("phrase")], "place")
+    placed = materialize(placed, "places")
+    first = placed.groupBy("lang").agg(F.min("place").alias("_first"))
+    return placed.join(first, "lang").withColumn("rank", F.col("place") - F.col("_first") + 1).where(F.col("rank") <= top).drop("place", "_first")
 
 
 def mine(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, percent: int = 50, shard_words: int = SHARD_WORDS) -> DataFrame:
