@@ -41,8 +41,6 @@ from meshloom.plans.scratch import materialize
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed ids.
 MAX_LABELLED = 30_000
-#: Candidate entries that reach the driver, at most, best supported first.
-MAX_CANDIDATES = 50_000
 PREFIXES = (4, 5, 6)
 MIN_NEIGHBOURS = 4
 #: Support times log-odds of an entry at least.
@@ -360,18 +358,20 @@ def _toxic_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(f), *(pa.array(x, pa.int64()) for x in (n, before, after))], ["feature", "n", "before", "after"])
 
 
-def _class_counts(train: DataFrame, candidates: set[str]) -> DataFrame:
-    """``(feature, toxic, clean)``: documents of each class with a candidate."""
+def _class_counts(train: DataFrame) -> DataFrame:
+    """``(feature, toxic, clean)``: documents of each class with a feature."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
                 words = {w for t in set((text.as_py() or "").lower().split()) for w in _words(t)}
-                counts[y > 0].update({f for w in words for f in features(w)} & candidates)
+                counts[y > 0].update({f for w in words for f in features(w)})
         both = list(counts[0].keys() | counts[1].keys())
-        columns = [pa.array(both, pa.string())] + [pa.array([counts[k][f] for f in both], pa.int64()) for k in (1, 0)]
-        yield pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
+        for at in range(0, len(both), 50_000):
+            part = both[at : at + 50_000]
+            columns = [pa.array(part, pa.string())] + [pa.array([counts[k][f] for f in part], pa.int64()) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
 
     counted = train.select("text", "y").mapInArrow(tidy(work), "feature string, toxic long, clean long")
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -394,21 +394,17 @@ def corpus_letters(docs: DataFrame) -> np.ndarray:
 
 
 def _lexicon(train: DataFrame) -> dict[str, float]:
+    """Log-odds of the features with enough evidence; all features are weighed, in Spark, and only those that pass are collected."""
     found = train.where("y > 0").select("text").mapInArrow(tidy(_toxic_features), "feature string, n long, before long, after long")
     spread = F.greatest(F.bit_count(F.bit_or("before")), F.bit_count(F.bit_or("after")))
-    top = (
-        found.groupBy("feature").agg(F.sum("n").alias("n"), spread.alias("spread")).where(F.col("spread") >= MIN_NEIGHBOURS)
-        .orderBy(F.desc("spread"), F.desc("n"), "feature").limit(MAX_CANDIDATES)
-    )
-    spreads = {r["feature"]: r["spread"] for r in top.collect()}
+    spreads = found.groupBy("feature").agg(spread.alias("spread")).where(F.col("spread") >= MIN_NEIGHBOURS)
     by_class = {r["y"]: r["n"] for r in train.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    entries = {}
-    for r in _class_counts(train, set(spreads)).collect():
-        support = min(r["toxic"], -64 * math.log(1 - min(spreads[r["feature"]], 63.5) / 64))
-        odds = math.log((support + 0.5) / (by_class.get(1, 0) + 1)) - math.log((r["clean"] + 0.5) / (by_class.get(0, 0) + 1))
-        if odds > math.log(10) and support * odds >= MIN_EVIDENCE:
-            entries[r["feature"]] = odds
-    return entries
+    support = F.least(F.col("toxic").cast("double"), -64 * F.log(1 - F.least(F.col("spread").cast("double"), F.lit(63.5)) / 64))
+    log_share = lambda n, y: F.log((n + 0.5) / F.lit(by_class.get(y, 0) + 1))
+    weighed = _class_counts(train).join(spreads, "feature").withColumn("support", support)
+    weighed = weighed.withColumn("odds", log_share(F.col("support"), 1) - log_share(F.col("clean"), 0))
+    passing = weighed.where((F.col("odds") > math.log(10)) & (F.col("support") * F.col("odds") >= MIN_EVIDENCE))
+    return {r["feature"]: r["odds"] for r in passing.select("feature", "odds").orderBy("feature").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
