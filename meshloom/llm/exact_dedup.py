@@ -126,7 +126,8 @@ def drop_copies(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Data
     members = suspects.groupBy("digest", "doc_id", "own").agg(F.count("*").alias("n"), F.max("points").alias("points"))
     members = materialize(members.withColumnRenamed("doc_id", "_id"), "members")
     first = F.min(F.struct(-F.col("points"), F.col("_id").isNull(), "_id", "own"))
-    keepers = members.groupBy(F.col("digest").alias("_of")).agg(first.alias("_first"))
+    # Written first, as in decide, so that a digest with many members can be split when the two are joined.
+    keepers = materialize(members.groupBy(F.col("digest").alias("_of")).agg(first.alias("_first")), "keepers")
     kept = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("own") == F.col("_first.own"))
     decided = members.join(keepers, F.col("digest") == F.col("_of")).where(~kept | (F.col("n") > 1))
     decided = materialize(decided.select("_of", "_id", F.col("own").alias("_own"), kept.alias("_once")), "decided")
