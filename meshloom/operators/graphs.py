@@ -289,12 +289,12 @@ def project(cmap: DataFrame, coarse: DataFrame) -> DataFrame:
     return cmap.join(coarse.withColumnRenamed("id", "cid"), "cid").select("id", "pid")
 
 
-def match(edges: DataFrame, weights: DataFrame, cap: float, seed: int = 0, rounds: int = 4, home: DataFrame | None = None) -> DataFrame:
+def match(edges: DataFrame, weights: DataFrame, cap: float, seed: int = 0, rounds: int = 4, home: DataFrame | None = None, heavy: bool = True) -> DataFrame:
     """``(id, cid)``: heavy-edge matching by handshakes; the coarse id is the smaller of a pair.
 
     In a round each free vertex proposes to its heaviest free neighbour (ties by a hash of the pair,
     the same from both sides); mutual proposals match.  Pairs above ``cap`` never form, nor, with
-    ``home (id, pid)``, pairs of different homes.
+    ``home (id, pid)``, pairs of different homes.  Without ``heavy``, weights of edges do not count.
     """
     from meshloom.plans.scratch import materialize
 
@@ -309,7 +309,7 @@ def match(edges: DataFrame, weights: DataFrame, cap: float, seed: int = 0, round
     pairs = None
     for turn in range(rounds):
         tie = F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed * 1009 + turn))
-        best = open_.groupBy("src").agg(F.max(F.struct("wgt", tie.alias("t"), "dst")).getField("dst").alias("to"))
+        best = open_.groupBy("src").agg(F.max(F.struct(*(["wgt"] if heavy else []), tie.alias("t"), "dst")).getField("dst").alias("to"))
         best = materialize(best, "proposals")
         back = best.select(F.col("to").alias("src"), F.col("src").alias("to"))
         new = materialize(best.join(back, ["src", "to"]).where("src < to").select(F.col("src").alias("cid"), F.col("to").alias("mate")), "matched")

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from meshloom.kernels import csr, separators
 from meshloom.kernels import partition as kernels
-from meshloom.operators import analytics, graphs, metrics
+from meshloom.operators import analytics, clusters, graphs, metrics
 from meshloom.plans.options import OrderOptions, PartitionOptions
 from meshloom.plans.scratch import materialize, release
 
@@ -82,11 +82,17 @@ def _first(column: str = "vwgt"):
     return F.get(column, F.lit(0))
 
 
-def coarsen(edges: DataFrame, vertices: DataFrame, target: int, seed: int, most: int = 40, home: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame, DataFrame | None]]:
+def coarsen(
+    edges: DataFrame, vertices: DataFrame, target: int, seed: int, most: int = 40, home: DataFrame | None = None, ctype: str = "shem", two_hop: bool = True
+) -> list[tuple[DataFrame, DataFrame, DataFrame | None]]:
     """Levels ``(edges, vertices, cmap)`` from fine to coarse, each written; ends at ``target`` or when it hardly shrinks.
 
-    With ``home (id, pid)``, only vertices of one home are matched.
+    ``ctype``: ``shem`` matches along heavy edges, ``rm`` along any, ``fc`` forms star clusters.  With ``two_hop``,
+    vertices left alone are paired by shared neighbours once they are more than a tenth.  With ``home (id, pid)``,
+    only vertices of one home come together.
     """
+    if ctype not in ("shem", "rm", "fc"):
+        raise ValueError(f"ctype {ctype!r} takes graphs within kernel_size only")
     levels = []
     n = vertices.count()
     total = vertices.agg(F.sum(_first())).first()[0] or 1
@@ -94,7 +100,13 @@ def coarsen(edges: DataFrame, vertices: DataFrame, target: int, seed: int, most:
     for level in range(most):
         if n <= target or edges.isEmpty():
             break
-        cmap = materialize(graphs.match(edges, vertices.select("id", _first().alias("vwgt")), cap, seed + level, home=home), "cmap")
+        loads = vertices.select("id", _first().alias("vwgt"))
+        if ctype == "fc":
+            cmap = clusters.star_clusters(edges, loads, cap, seed + 16 * level, home=home)
+        else:
+            cmap = materialize(graphs.match(edges, loads, cap, seed + level, home=home, heavy=ctype == "shem"), "cmap")
+        if two_hop and clusters.unmatched(cmap).count() > n / 10:
+            cmap = clusters.two_hop(edges, loads, cmap, cap, home=home)
         if home is not None:
             home = materialize(lifted(cmap, home), "coarse-homes")
         weights = vertices.select("id", F.posexplode("vwgt").alias("con", "w")).join(cmap, "id").groupBy(F.col("cid").alias("id"), "con").agg(F.sum("w").alias("w"))
@@ -327,7 +339,9 @@ def partition(edges: DataFrame, options: PartitionOptions, vertices: DataFrame |
     size = edges.count() + vertices.count()
     if size <= options.kernel_size:
         return materialize(_in_kernel(edges, vertices, _kernel_partition(options), "id long, pid int"), "partition")
-    levels = coarsen(edges, vertices, max(30 * options.nparts, options.kernel_size // 20), options.seed)
+    if options.rtype != "greedy":
+        raise ValueError(f"rtype {options.rtype!r} takes graphs within kernel_size only")
+    levels = coarsen(edges, vertices, max(30 * options.nparts, options.kernel_size // 20), options.seed, ctype=options.ctype, two_hop=not options.no2hop)
     coarse_edges, coarse_vertices, _ = levels[-1]
     part = materialize(_in_kernel(coarse_edges, coarse_vertices, _kernel_partition(options), "id long, pid int"), "partition")
     for fine_edges, fine_vertices, cmap in reversed(levels[:-1]):

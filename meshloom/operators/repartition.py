@@ -150,7 +150,7 @@ def adaptive_repartition(
     edges = materialize(edges.select("src", "dst", F.col("wgt").cast("long").alias("wgt")), "edges")
     home = materialize(home.select("id", F.col("pid").cast("int").alias("pid")), "homes")
     size = vertices.select("id", _first().alias("vsize")) if sizes is None else sizes.select("id", "vsize")
-    levels = coarsen(edges, vertices, max(30 * options.nparts, options.kernel_size // 20), options.seed, home=home)
+    levels = coarsen(edges, vertices, max(30 * options.nparts, options.kernel_size // 20), options.seed, home=home, ctype=options.ctype, two_hop=not options.no2hop)
     stays, homes = [Stay(materialize(home.withColumnRenamed("pid", "home").join(size, "id"), "stay"), ipc, redist)], [home]
     for _, _, cmap in levels[:-1]:
         moved = stays[-1].rows.join(cmap, "id").groupBy(F.col("cid").alias("id")).agg(F.min("home").alias("home"), F.sum("vsize").alias("vsize"))
