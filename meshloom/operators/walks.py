@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshloom.operators.analytics import bfs_levels
 from meshloom.operators.components import connected_components
 from meshloom.operators.graphs import degrees
 from meshloom.operators.ordering import global_rank
@@ -116,10 +117,12 @@ def far_roots(edges: DataFrame, vertices: DataFrame | None = None, turns: int =
     """
     links = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "links")
     size = materialize(degrees(links.withColumn("wgt", F.lit(1))).select("id", "degree"), "degrees")
-    roots = _labelled(edges, vertices).select(F.col("component").alias("id"), "component").distinct()
+    labels = _labelled(edges, vertices)
+    roots = labels.select(F.col("component").alias("id"), "component").distinct()
     best = None
     for _ in range(turns + 1):
-        seen = materialize(_fronts(links, roots).join(size, "id", "left").select("id", "component", "level", F.coalesce("degree", F.lit(0)).alias("degree")), "seen")
+        seen = bfs_levels(links, roots).join(labels, "id").join(size, "id", "left")
+        seen = materialize(seen.select("id", "component", "level", F.coalesce("degree", F.lit(0)).alias("degree")), "seen")
         last = F.max(F.struct("level", (-F.col("degree")).alias("g"), (-F.col("id")).alias("i")))
         tips = seen.groupBy("component").agg(last.alias("t")).select("component", F.col("t.level").alias("depth"), (-F.col("t.i")).alias("tip"))
         found = materialize(roots.join(tips, "component").select("id", "component", "depth", "tip"), "tips")
@@ -127,8 +130,7 @@ def far_roots(edges: DataFrame, vertices: DataFrame | None = None, turns: int =
             best, deeper = found.drop("tip"), found.where("depth > 0")
         else:
             old = best.select("component", F.col("depth").alias("_depth"))
-            deeper = found.join(old, "component").where("depth > _depth").drop("_depth")
-            deeper = materialize(deeper, "deeper")
+            deeper = materialize(found.join(old, "component").where("depth > _depth").select("id", "component", "depth", "tip"), "deeper")
             best = materialize(best.join(deeper.select("component"), "component", "left_anti").select("id", "component", "depth").union(deeper.drop("tip")), "roots")
         roots = deeper.select(F.col("tip").alias("id"), "component")
         release(seen)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.operators import clusters, graphs, walks
+from meshloom.operators import clusters, graphs, itemsets, walks
 from meshloom.plans import fixtures as fx
 from meshloom.plans.registry import register
 
@@ -177,3 +177,25 @@ def _tips_sql(levels: str) -> str:
 def component_far_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deeper of two roots of each component: its smallest id, or the far end seen from there."""
     return walks.far_roots(fx.kept_dual(spark, sf_dir), turns=1)
+
+
+# -- itemsets with their transactions ---------------------------------------
+
+_SETS = f"""WITH {fx.INC}, i1 AS (SELECT node FROM inc GROUP BY 1 HAVING count(*) >= 3), b AS (SELECT elem, node FROM inc JOIN i1 USING (node)),
+    h AS MATERIALIZED (SELECT [node] AS items, elem AS tid FROM b UNION ALL SELECT [a.node, b.node], elem FROM b a JOIN b USING (elem) WHERE a.node < b.node
+         UNION ALL SELECT [a.node, b.node, c.node], elem FROM b a JOIN b USING (elem) JOIN b c USING (elem) WHERE a.node < b.node AND b.node < c.node),
+    s AS (SELECT items, count(*) AS support FROM h GROUP BY 1 HAVING count(*) >= 3)"""
+
+
+@register("itemsets_vertical", f"{_SETS} SELECT array_to_string(items, ',') AS items, support FROM s")
+def itemsets_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supports from words of 64 transactions."""
+    found = itemsets.vertical_itemsets(fx.transactions(spark, sf_dir), least=3, max_len=3).found
+    return found.select(F.array_join("items", ",").alias("items"), "support")
+
+
+@register("itemset_transactions", f"{_SETS} SELECT array_to_string(items, ',') AS items, tid FROM h JOIN s USING (items) WHERE len(items) >= 2")
+def itemset_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders that hold each frequent set of two or three parts."""
+    held = itemsets.vertical_itemsets(fx.transactions(spark, sf_dir), least=3, min_len=2, max_len=3).tids()
+    return held.select(F.array_join("items", ",").alias("items"), "tid")
