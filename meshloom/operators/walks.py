@@ -71,11 +71,11 @@ def largest_differences(edges: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def _labelled(edges: DataFrame, vertices: DataFrame | None) -> DataFrame:
-    """``(id, component)``, vertices without edges included."""
+    """``(id, component)`` of vertices on edges, and of ``vertices (id)`` without any."""
     found = connected_components(edges)
     if vertices is None:
         return materialize(found, "components")
-    return materialize(vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
+    return materialize(vertices.select("id").distinct().join(found, "id", "full").select("id", F.coalesce("component", "id").alias("component")), "components")
 
 
 def _fronts(links: DataFrame, roots: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.operators import analytics, graphs, mesh, metrics, partitioning
+from meshloom.operators import analytics, graphs, mesh, metrics, partitioning, walks
 from meshloom.operators.ordering import global_rank
 from meshloom.plans.options import OrderOptions, PartitionOptions
 from meshloom.sources import graph_files as files
@@ -85,11 +85,24 @@ def frequent_itemsets(spark: SparkSession, path: str, out: str, least: int, most
     return {"written": out, "itemsets": found.count()}
 
 
-def rank_pages(spark: SparkSession, path: str, out: str, walk: float = 0.85, rounds: int = 100, eps: float = 1e-10) -> dict:
-    """PageRank of a graph file."""
-    edges, _ = files.read_graph(spark, path)
+def rank_pages(spark: SparkSession, path: str, out: str, walk: float = 0.85, rounds: int = 100, eps: float = 1e-10, source: int = -1, vectors: int = -1) -> dict:
+    """PageRank of a graph file: ``id, pr, degree, difference, at``, the last two for the neighbour whose rank is farthest off.
+
+    ``source``: restart at that vertex alone, ``id, pr``.  ``vectors``: so many hashed restart vectors at once, ``walk, id, pr, rounds``.
+    """
+    edges, vertices = files.read_graph(spark, path)
+    if vectors > 0 or source >= 0:
+        if vectors > 0:
+            restarts = walks.restart_vectors(vertices, vectors)
+        else:
+            restarts = vertices.where(F.col("id") == source).select(F.lit(0).alias("walk"), "id", F.lit(1.0).alias("r"))
+        ranks = walks.pagerank_batch(edges, restarts, walk, rounds, eps)
+        taken = {r["walk"]: r["rounds"] for r in ranks.groupBy("walk").agg(F.max("rounds").alias("rounds")).collect()}  # a row a vector
+        ranks = ranks.orderBy("walk", "id") if vectors > 0 else ranks.select("id", "pr").orderBy("id")
+        ranks.write.mode("overwrite").csv(out)
+        return {"written": out, "rounds": taken}
     ranks = analytics.pagerank(edges, walk, rounds, eps=eps)
-    ranks.orderBy("id").write.mode("overwrite").csv(out)
+    walks.largest_differences(edges, ranks).orderBy("id").write.mode("overwrite").csv(out)
     return {"written": out, "total": round(ranks.agg(F.sum("pr")).first()[0] or 0.0, 6)}
 
 
