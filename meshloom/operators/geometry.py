@@ -33,11 +33,16 @@ def morton(cells: list[Column], bits: int = BITS) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
 
+def morton_order(points: DataFrame, dims: int = 3, bits: int = BITS) -> DataFrame:
+    """``(id, _rank)``: gapless places from 0 along the Morton curve, ties by id."""
+    keyed = grid(points, dims, bits).select("id", morton([F.col(f"g{d}") for d in range(dims)], bits).alias("key"))
+    return global_rank(keyed, ["key", "id"], "_rank").select("id", "_rank")
+
+
 def part_geom(points: DataFrame, k: int, dims: int = 3, bits: int = BITS) -> DataFrame:
     """``(id, pid)``: points in the order of their Morton keys, cut into ``k`` slices of equal counts."""
-    keyed = grid(points, dims, bits).select("id", morton([F.col(f"g{d}") for d in range(dims)], bits).alias("key"))
     n = points.count()
-    return global_rank(keyed, ["key", "id"], "_rank").select("id", F.floor(F.col("_rank") * k / max(n, 1)).cast("int").alias("pid"))
+    return morton_order(points, dims, bits).select("id", F.floor(F.col("_rank") * k / max(n, 1)).cast("int").alias("pid"))
 
 
 def equal_count_bins(points: DataFrame, dim: int, bins: int) -> DataFrame:

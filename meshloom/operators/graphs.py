@@ -310,9 +310,8 @@ def match(edges: DataFrame, weights: DataFrame, cap: float, seed: int = 0, round
     for turn in range(rounds):
         tie = F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed * 1009 + turn))
         best = open_.groupBy("src").agg(F.max(F.struct(*(["wgt"] if heavy else []), tie.alias("t"), "dst")).getField("dst").alias("to"))
-        best = materialize(best, "proposals")
-        back = best.select(F.col("to").alias("src"), F.col("src").alias("to"))
-        new = materialize(best.join(back, ["src", "to"]).where("src < to").select(F.col("src").alias("cid"), F.col("to").alias("mate")), "matched")
+        both = best.groupBy(F.least("src", "to").alias("cid"), F.greatest("src", "to").alias("mate")).agg(F.count("*").alias("n"))
+        new = materialize(both.where("n = 2").select("cid", "mate"), "matched")
         pairs = new if pairs is None else pairs.union(new)
         gone = new.select(F.col("cid").alias("id")).union(new.select("mate"))
         open_ = materialize(without(open_, gone), "open-edges")

@@ -56,13 +56,20 @@ def rank_within(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
 
 def sum_within(rows: DataFrame, keys: list[str], column: str, order: list[str | Column], name: str) -> DataFrame:
     """Adds the sum of ``column`` up to and with each row within its keys, however many rows they have; give a full order."""
+    return sums_within(rows, keys, {name: F.col(column)}, order)
+
+
+def sums_within(rows: DataFrame, keys: list[str], sums: dict[str, Column], order: list[str | Column]) -> DataFrame:
+    """As :func:`sum_within` for several columns at once, by the names of their sums."""
     dealt = _ranged(rows, [*keys, *order])
-    sums = dealt.groupBy("_range", *keys).agg(F.sum(column).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_same_{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("_offset"))
-    within = F.sum(column).over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = dealt.groupBy("_range", *keys).agg(*(F.sum(c).alias(f"_n{i}") for i, c in enumerate(sums.values())))
+    ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(f"_n{i}").over(ranges), F.lit(0)).alias(f"_offset{i}") for i in range(len(sums))]
+    offsets = totals.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_same_{k}") for k in keys), *before)
+    upto = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("_range") == F.col("_r")
     for k in keys:
         same &= F.col(k) == F.col(f"_same_{k}")
-    met = dealt.withColumn("_within", within).join(offsets, same)
-    return met.withColumn(name, F.col("_offset") + F.col("_within")).drop("_range", "_r", "_within", "_offset", *(f"_same_{k}" for k in keys))
+    met = dealt.withColumns({f"_within{i}": F.sum(c).over(upto) for i, c in enumerate(sums.values())}).join(offsets, same)
+    found = met.withColumns({name: F.col(f"_offset{i}") + F.col(f"_within{i}") for i, name in enumerate(sums)})
+    return found.drop("_range", "_r", *(f"_same_{k}" for k in keys), *(f"_{kind}{i}" for kind in ("offset", "within") for i in range(len(sums))))

@@ -8,6 +8,8 @@ coarsest graph, and distributed rounds of batch moves refine it on the way back.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,10 +22,15 @@ from pyspark.sql.window import Window
 from meshloom.kernels import csr, separators
 from meshloom.kernels import partition as kernels
 from meshloom.operators import analytics, clusters, graphs, metrics
+from meshloom.operators.ordering import global_rank, sums_within
 from meshloom.plans.options import OrderOptions, PartitionOptions
 from meshloom.plans.scratch import materialize, release
 
 
+#: Groups ``(id, cid)`` from edges, weights ``(id, vwgt)`` and the most that a group may weigh.
+First = Callable[[DataFrame, DataFrame, float], DataFrame]
+
+
 def with_weights(edges: DataFrame, vertices: DataFrame | None) -> DataFrame:
     """``(id, vwgt)`` with ``vwgt`` an array; ones for vertices that are only on edges."""
     if vertices is None:
@@ -83,10 +90,13 @@ def _first(column: str = "vwgt"):
 
 
 def coarsen(
-    edges: DataFrame, vertices: DataFrame, target: int, seed: int, most: int = 40, home: DataFrame | None = None, ctype: str = "shem", two_hop: bool = True
-) -> list[tuple[DataFrame, DataFrame, DataFrame | None]]:
+    edges: DataFrame, vertices: DataFrame, target: int, seed: int, most: int = 40, home: DataFrame | None = None, ctype: str = "shem", two_hop: bool = True,
+    enough: int = 0, first: First | None = None,
+) -> list[tuple[DataFrame, DataFrame, DataFrame | None]]:
     """Levels ``(edges, vertices, cmap)`` from fine to coarse, each written; ends at ``target`` or when it hardly shrinks.
 
+    It ends, too, once vertices and edges together are no more than ``enough``.
+
     ``ctype``: ``shem`` matches along heavy edges, ``rm`` along any, ``fc`` forms star clusters.  With ``two_hop``,
     vertices left alone are paired by shared neighbours once they are more than a tenth.  With ``home (id, pid)``,
     only vertices of one home come together.
@@ -101,11 +111,13 @@ def coarsen(
         if n <= target or edges.isEmpty():
             break
         loads = vertices.select("id", _first().alias("vwgt"))
-        if ctype == "fc":
+        if level == 0 and first is not None:
+            cmap = first(edges, loads, cap)
+        elif ctype == "fc":
             cmap = clusters.star_clusters(edges, loads, cap, seed + 16 * level, home=home)
         else:
             cmap = materialize(graphs.match(edges, loads, cap, seed + level, home=home, heavy=ctype == "shem"), "cmap")
-        if two_hop and clusters.unmatched(cmap).count() > n / 10:
+        if two_hop and not (level == 0 and first is not None) and clusters.unmatched(cmap).count() > n / 10:
             cmap = clusters.two_hop(edges, loads, cmap, cap, home=home)
         if home is not None:
             home = materialize(lifted(cmap, home), "coarse-homes")
@@ -114,9 +126,13 @@ def coarsen(
         coarse = materialize(graphs.contract(edges, cmap), "coarse-edges"), materialize(packed, "coarse-vertices")
         fewer = coarse[1].count()
         if fewer > 0.95 * n:
+            if level == 0 and first is not None:  # points that say little of the edges: match from the next level on
+                continue
             break
         levels.append((edges, vertices, cmap))
         (edges, vertices), n = coarse, fewer
+        if enough and n + edges.count() <= enough:
+            break
     return [*levels, (edges, vertices, None)]
 
 
@@ -137,9 +153,11 @@ def _loads(vertices: DataFrame, part: DataFrame, options: PartitionOptions) -> t
 
 
 def _rooms(edges: DataFrame, load: np.ndarray, fair: np.ndarray, most: np.ndarray) -> DataFrame:
-    """``(to, full, room0 ...)``: how full each part is, and what it still takes of each constraint."""
-    rows = [(p, float((load[p] / fair[p]).max()), *map(float, most[p] - load[p])) for p in range(len(load))]
-    return F.broadcast(edges.sparkSession.createDataFrame(rows, "to int, full double, " + ", ".join(f"room{c} double" for c in range(load.shape[1]))))
+    """``(to, full, room0 ..., load0 ..., fair0 ...)``: how full each part is, and what it still takes, holds and should hold of each constraint."""
+    ncon = range(load.shape[1])
+    rows = [(p, float((load[p] / fair[p]).max()), *map(float, [*(most[p] - load[p]), *load[p], *fair[p]])) for p in range(len(load))]
+    names = ", ".join(f"{n}{c} double" for n in ("room", "load", "fair") for c in ncon)
+    return F.broadcast(edges.sparkSession.createDataFrame(rows, f"to int, full double, {names}"))  # k rows
 
 
 def _weights(vertices: DataFrame, ncon: int) -> DataFrame:
@@ -150,21 +168,17 @@ def _every(conditions: list):
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _admitted(moves: DataFrame, ncon: int, turn: int, chunks: int) -> DataFrame:
+def _admitted(moves: DataFrame, ncon: int) -> DataFrame:
     """The moves ``(id, to, gain, relieves, w0 ..., room0 ...)`` that a part has room for, by falling gain.
 
-    Candidates are dealt by part and hashed chunk, each with an equal share of the room of every
-    constraint.  ``relieves``: one that may enter without room, if it is the first.
+    Running sums are dealt by ranges, so a part may have any number of candidates.  ``relieves``: one that may
+    enter without room, if it is the first.
     """
-    by = Window.partitionBy("to", "_chunk").orderBy(F.desc("gain"), "id")
-    upto = moves.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    upto = upto.withColumns({f"upto{c}": F.sum(f"w{c}").over(by) for c in range(ncon)} | {"nth": F.row_number().over(by)})
+    sums = {f"upto{c}": F.col(f"w{c}") for c in range(ncon)} | {"nth": F.lit(1)}
+    upto = sums_within(moves, ["to"], sums, [F.desc("gain"), F.col("id")])
     # A constraint of which a vertex has nothing does not keep it out.
-    fits = _every([(F.col(f"w{c}") == 0) | (F.col(f"upto{c}") <= F.col(f"room{c}") / chunks) for c in range(ncon)])
-    # A chunk's share of the room may be below one vertex; the first vertex of one chunk may use half of the whole.
-    first = (F.col("_chunk") == turn % chunks) & (F.col("nth") == 1)
-    alone = first & _every([(F.col(f"w{c}") == 0) | (F.col(f"w{c}") <= F.col(f"room{c}") / 2) for c in range(ncon)])
-    return upto.where(fits | alone | (first & F.col("relieves"))).select("id", F.col("to").alias("_to"))
+    fits = _every([(F.col(f"w{c}") == 0) | (F.col(f"upto{c}") <= F.col(f"room{c}")) for c in range(ncon)])
+    return upto.where(fits | ((F.col("nth") == 1) & F.col("relieves"))).select("id", F.col("to").alias("_to"))
 
 
 def _moved(part: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -177,10 +191,6 @@ def _moved(part: DataFrame, chosen: DataFrame) -> DataFrame:
     return new
 
 
-def _chunks(vertices: DataFrame) -> int:
-    return 64 if vertices.count() > 100_000 else 1
-
-
 @dataclass(frozen=True)
 class Stay:
     """What moving away from home costs: ``rows (id, home, vsize)``, and the prices of a unit of cut and of size."""
@@ -204,7 +214,7 @@ def refine_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options
     if k == 1:
         return part
     load, fair, most = _loads(vertices, part, options)
-    rooms, weight, chunks = _rooms(edges, load, fair, most), _weights(vertices, ncon), _chunks(vertices)
+    rooms, weight = _rooms(edges, load, fair, most), _weights(vertices, ncon)
     heavy = [p for p in range(k) if (load[p] > most[p]).any()]
     placed = metrics.with_parts(edges, part)
     links = placed.groupBy("src", "ps", "pd").agg(F.sum("wgt").alias("w"))
@@ -220,34 +230,41 @@ def refine_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options
         offers = offers.join(homes, "vid").select("vid", "pd", (stay.ipc * F.col("gain") + stay.redist * F.col("vsize") * toward).alias("gain"))
     best = offers.where("gain > 0").groupBy("vid").agg(F.max(F.struct("gain", -F.col("pd"))).alias("b"))
     best = best.select(F.col("vid").alias("id"), (-F.col("b.col2")).cast("int").alias("to"), F.col("b.gain").alias("gain"))
-    moves = best.join(weight, "id").join(rooms, "to").withColumn("relieves", F.lit(False))
+    asked = ["id", "to", "gain", *(f"{n}{c}" for n in ("w", "room") for c in range(ncon))]
+    moves = best.join(weight, "id").join(rooms, "to").select(*asked, F.lit(False).alias("relieves"))
     if heavy:
-        moves = moves.unionByName(_relief(links, own, weight, part, rooms, heavy, load, fair, most, chunks))
-    return _moved(part, _admitted(moves, ncon, turn, chunks))
+        moves = moves.unionByName(_relief(links, own, weight, part, rooms, heavy, load, fair, most))
+    return _moved(part, _admitted(moves, ncon))
+
+
+#: Parts that a vertex of an overweight part may go to beside those it touches: the least full ones.
+SPARE = 8
+
 
+def _relief(links: DataFrame, own: DataFrame, weight: DataFrame, part: DataFrame, rooms: DataFrame, heavy: list[int], load, fair, most) -> DataFrame:
+    """Moves out of the parts ``heavy``: each vertex to its best part that can take it, until the excess is gone.
 
-def _relief(links: DataFrame, own: DataFrame, weight: DataFrame, part: DataFrame, rooms: DataFrame, heavy: list[int], load, fair, most, chunks: int) -> DataFrame:
-    """Moves out of the parts ``heavy``: each vertex to its best part that can take it, until the excess is gone."""
+    It may go to parts that it touches, to the ``SPARE`` least full ones and to the roomiest of each constraint.
+    """
     ncon = load.shape[1]
     rows = [(p, float((load[p] / fair[p]).max()), *map(float, load[p] - most[p])) for p in heavy]
     over = part.sparkSession.createDataFrame(rows, "pid int, _full double, " + ", ".join(f"over{c} double" for c in range(ncon)))
-    held = part.join(F.broadcast(over), "pid").join(weight, "id").join(own, "id", "left")
     useful = reduce(lambda a, b: a | b, [(F.col(f"over{c}") > 0) & (F.col(f"w{c}") > 0) for c in range(ncon)])
+    held = part.join(F.broadcast(over), "pid").join(weight, "id").where(useful).join(own, "id", "left")  # a row a part
+    full = (load / fair).max(1)
+    spare = {int(p) for p in np.argsort(full, kind="stable")[:SPARE]} | {int((most - load)[:, c].argmax()) for c in range(ncon)}
     near = links.select(F.col("src").alias("id"), F.col("pd").alias("to"), "w")
-    pairs = held.where(useful).crossJoin(rooms).where("pid <> to").join(near, ["id", "to"], "left")  # k rows for a vertex
+    either = held.select("id", F.explode(F.array(*(F.lit(p) for p in sorted(spare)))).alias("to"), F.lit(0).cast("long").alias("w"))
+    either = either.union(near.join(held.select("id"), "id", "left_semi").select("id", "to", F.col("w").cast("long")))
+    pairs = either.groupBy("id", "to").agg(F.sum("w").alias("w")).join(held, "id").join(rooms, "to").where("pid <> to")
     fits = _every([(F.col(f"w{c}") == 0) | (F.col(f"w{c}") <= F.col(f"room{c}")) for c in range(ncon)])
-    fulls = [
-        (F.element_at(F.array(*(F.lit(float(x)) for x in load[:, c])), F.col("to") + 1) + F.col(f"w{c}")) / F.element_at(F.array(*(F.lit(float(x)) for x in fair[:, c])), F.col("to") + 1)
-        for c in range(ncon)
-    ]
-    lighter = F.greatest(F.lit(0.0), *fulls) < F.col("_full")
-    pairs = pairs.withColumns({"gain": F.coalesce("w", F.lit(0)) - F.coalesce("home", F.lit(0)), "relieves": lighter}).where(fits | lighter)
-    names = ["pid", "to", "gain", "relieves", *(f"{n}{c}" for c in range(ncon) for n in ("w", "room", "over")), "full"]
+    lighter = F.greatest(F.lit(0.0), *((F.col(f"load{c}") + F.col(f"w{c}")) / F.col(f"fair{c}") for c in range(ncon))) < F.col("_full")
+    pairs = pairs.withColumns({"gain": F.col("w") - F.coalesce("home", F.lit(0)), "relieves": lighter}).where(fits | lighter)
+    names = ["pid", "to", "gain", "relieves", *(f"{n}{c}" for c in range(ncon) for n in ("w", "room", "over"))]
     best = pairs.groupBy("id").agg(F.max_by(F.struct(*names), F.struct(fits, "gain", -F.col("full"), -F.col("to"))).alias("b")).select("id", "b.*")
-    by = Window.partitionBy("pid", "_chunk").orderBy(F.desc("gain"), "id")
-    upto = best.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumns({f"out{c}": F.sum(f"w{c}").over(by) - F.col(f"w{c}") for c in range(ncon)})
-    asked = reduce(lambda a, b: a | b, [(F.col(f"w{c}") > 0) & (F.col(f"out{c}") < F.col(f"over{c}") / chunks) for c in range(ncon)])
-    return upto.where(asked).select("id", "to", "gain", *(f"w{c}" for c in range(ncon)), "full", *(f"room{c}" for c in range(ncon)), "relieves")
+    out = sums_within(best, ["pid"], {f"out{c}": F.col(f"w{c}") for c in range(ncon)}, [F.desc("gain"), F.col("id")])
+    asked = reduce(lambda a, b: a | b, [(F.col(f"w{c}") > 0) & (F.col(f"out{c}") - F.col(f"w{c}") < F.col(f"over{c}")) for c in range(ncon)])
+    return out.where(asked).select("id", "to", "gain", *(f"w{c}" for c in range(ncon)), *(f"room{c}" for c in range(ncon)), "relieves")
 
 
 def volume_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions, turn: int) -> DataFrame:
@@ -270,7 +287,7 @@ def volume_round(edges: DataFrame, vertices: DataFrame, part: DataFrame, options
     first = reach.groupBy("u").agg(F.max("rank").alias("top"))
     apart = reach.join(first, "u").groupBy("id").agg(F.min(F.col("rank") == F.col("top")).alias("ok")).where("ok").select("id")
     moves = best.join(apart, "id", "left_semi").withColumn("relieves", F.lit(False))
-    return _moved(part, _admitted(moves, ncon, turn, 1))
+    return _moved(part, _admitted(moves, ncon))
 
 
 def _rounds(step, edges: DataFrame, vertices: DataFrame, part: DataFrame, options: PartitionOptions) -> DataFrame:
@@ -324,12 +341,13 @@ def whole_parts(edges: DataFrame, vertices: DataFrame, part: DataFrame, most: in
         still = still + 1 if found is part else 0
         part = found
         if still == 2:
-            break
+            return part
+    warnings.warn(f"fragments still join other parts after {most} turns", RuntimeWarning, stacklevel=2)
     return part
 
 
-def partition(edges: DataFrame, options: PartitionOptions, vertices: DataFrame | None = None) -> DataFrame:
-    """``(id, pid)`` of every vertex."""
+def partition(edges: DataFrame, options: PartitionOptions, vertices: DataFrame | None = None, first: First | None = None) -> DataFrame:
+    """``(id, pid)`` of every vertex; ``first``, where given, makes the groups of the first level of coarsening."""
     vertices = materialize(with_weights(edges, vertices), "vertices")
     ncon = vertices.agg(F.max(F.size("vwgt"))).first()[0] or 1
     options = options.checked(ncon)
@@ -341,7 +359,7 @@ def partition(edges: DataFrame, options: PartitionOptions, vertices: DataFrame |
         return materialize(_in_kernel(edges, vertices, _kernel_partition(options), "id long, pid int"), "partition")
     if options.rtype != "greedy":
         raise ValueError(f"rtype {options.rtype!r} takes graphs within kernel_size only")
-    levels = coarsen(edges, vertices, max(30 * options.nparts, options.kernel_size // 20), options.seed, ctype=options.ctype, two_hop=not options.no2hop)
+    levels = coarsen(edges, vertices, max(30 * options.nparts, options.kernel_size // 20), options.seed, ctype=options.ctype, two_hop=not options.no2hop, enough=options.kernel_size, first=first)
     coarse_edges, coarse_vertices, _ = levels[-1]
     part = materialize(_in_kernel(coarse_edges, coarse_vertices, _kernel_partition(options), "id long, pid int"), "partition")
     for fine_edges, fine_vertices, cmap in reversed(levels[:-1]):
@@ -399,8 +417,6 @@ def nested_dissection(edges: DataFrame, options: OrderOptions | None = None, ver
         return pd.DataFrame({"part": pdf["part"].iloc[0], "id": ids[order], "nth": np.arange(len(ids))})
 
     placed = materialize(rows.groupBy("part").applyInPandas(dissect, "part long, id long, nth long"), "dissected")
-    from meshloom.operators.ordering import global_rank
-
     full = groups.join(placed.withColumnRenamed("id", "cid"), "cid").withColumn("late", F.lit(0))
     if late is not None:
         full = full.join(late.withColumn("_l", F.lit(1)), "id", "left").withColumn("late", F.coalesce("_l", F.lit(0)))
@@ -438,23 +454,42 @@ def induce(rows: DataFrame, part: DataFrame, k: int, slack: float = 1.03) -> Dat
     """``(id, pid)`` of rows ``(id, via)`` from the parts of their columns ``(id, pid)``.
 
     Rows whose columns agree go there.  Others go to the part most of their columns are in, by falling
-    majority while it has room; the rest to their touched part with most room, then anywhere with room.
+    majority while it has room, up to ``slack`` times the mean; then to their touched part with most room left,
+    while that has some; then anywhere with room.  What no part has room for goes to its majority.
     """
-    touching = rows.join(part.select(F.col("id").alias("via"), "pid"), "via").groupBy("id", "pid").agg(F.count("*").alias("n"))
-    total = rows.select("id").distinct().count()
-    best = touching.groupBy("id").agg(F.max_by("pid", F.struct("n", -F.col("pid"))).alias("to"), F.max("n").alias("n"), F.count("*").alias("parts"), F.collect_list("pid").alias("touched"))
+    met = rows.join(part.select(F.col("id").alias("via"), F.col("pid").cast("int").alias("pid")), "via")
+    touching = materialize(met.groupBy("id", "pid").agg(F.count("*").alias("n")), "touching")
+    best = touching.groupBy("id").agg(F.max_by("pid", F.struct("n", -F.col("pid"))).alias("pid"), F.max("n").alias("n"), F.count("*").alias("parts"))
     best = materialize(best, "majorities")
-    sure = best.where("parts = 1").select("id", F.col("to").alias("pid"))
-    loads = {r["pid"]: r["n"] for r in sure.groupBy("pid").agg(F.count("*").alias("n")).collect()}  # k rows
-    room = [max(0.0, slack * total / k - loads.get(p, 0)) for p in range(k)]
-    chunk = F.pmod(F.xxhash64("id"), F.lit(16))
-    nth = F.row_number().over(Window.partitionBy("to", "_chunk").orderBy(F.desc("n"), "id"))
-    share = F.element_at(F.array(*(F.lit(float(np.ceil(r / 16))) for r in room)), F.col("to") + 1)
-    torn = best.where("parts > 1").withColumn("_chunk", chunk).withColumn("_fits", nth <= share)
-    spare = F.array(*(F.lit(float(r)) for r in room))
-    lighter = F.array_max(F.transform("touched", lambda p: F.struct(F.element_at(spare, p + 1).alias("r"), (-p).alias("p"))))
-    placed = torn.select("id", F.when(F.col("_fits"), F.col("to")).otherwise((-lighter["p"]).cast("int")).alias("pid"))
-    return sure.union(placed)
+    share = slack * best.count() / k
+    parts = rows.sparkSession.range(k).select(F.col("id").cast("int").alias("pid"))
+    placed = best.where("parts = 1").select("id", "pid")
+
+    def room() -> DataFrame:
+        load = placed.groupBy("pid").agg(F.count("*").alias("_load"))
+        left = F.ceil(F.lit(share) - F.coalesce("_load", F.lit(0))).cast("long")
+        return materialize(parts.join(load, "pid", "left").select("pid", left.alias("room")).where("room > 0"), "room")  # k rows
+
+    def admit(asking: DataFrame) -> DataFrame:
+        """Of ``(id, pid, n, room)``, those that the part has room for, by falling ``n``."""
+        nth = sums_within(asking, ["pid"], {"nth": F.lit(1)}, [F.desc("n"), F.col("id")])
+        return placed.union(materialize(nth.where("nth <= room").select("id", "pid"), "admitted"))
+
+    torn = best.where("parts > 1")
+    placed = admit(torn.select("id", "pid", "n").join(F.broadcast(room()), "pid"))  # k rows
+    left = torn.join(placed, "id", "left_anti").select("id")
+    roomy = touching.join(left, "id", "left_semi").join(F.broadcast(room()), "pid").groupBy("id")  # k rows
+    roomy = roomy.agg(F.max_by(F.struct("pid", "n", "room"), F.struct("room", -F.col("pid"))).alias("b")).select("id", "b.*")
+    placed = admit(roomy)
+    left = materialize(torn.join(placed, "id", "left_anti").select("id", F.col("pid").alias("_best")), "left")
+    n = left.count()
+    if n == 0:
+        return placed
+    ends = room().withColumn("_end", F.sum("room").over(Window.orderBy(F.desc("room"), "pid")))  # k rows
+    ends = ends.withColumn("_begin", F.col("_end") - F.col("room")).where(F.col("_begin") < n)
+    seats = ends.select("pid", F.explode(F.sequence("_begin", F.least("_end", F.lit(n)) - 1)).alias("_seat"))
+    seated = global_rank(left, ["id"], "_seat").join(seats, "_seat", "left")
+    return placed.union(seated.select("id", F.coalesce("pid", "_best").alias("pid")))
 
 
 # -- adaptive ---------------------------------------------------------------
@@ -479,7 +514,8 @@ def remap(part: DataFrame, k: int) -> DataFrame:
     before = sum(r["size"] for r in held if r["pid"] == r["home"])
     if kept <= before:
         return part.select("id", "pid")
-    return part.select("id", F.element_at(F.array(*(F.lit(full[p]) for p in range(k))), F.col("pid") + 1).alias("pid"))
+    names = part.sparkSession.createDataFrame(list(full.items()), "pid int, _name int")
+    return part.join(F.broadcast(names), "pid").select("id", F.col("_name").alias("pid"))  # k rows
 
 
 def refine_partition(edges: DataFrame, part: DataFrame, options: PartitionOptions, vertices: DataFrame | None = None) -> DataFrame:
@@ -489,10 +525,25 @@ def refine_partition(edges: DataFrame, part: DataFrame, options: PartitionOption
     return _rounds(refine_round, edges, vertices, part.select("id", F.col("pid").cast("int").alias("pid")), options)
 
 
-def geometric_kway(edges: DataFrame, points: DataFrame, options: PartitionOptions, dims: int = 3) -> DataFrame:
-    """``(id, pid)``: edges dealt along a space-filling curve for locality, then partitioned."""
-    from meshloom.operators.geometry import part_geom
+def curve_blocks(edges: DataFrame, points: DataFrame, weights: DataFrame, cap: float, block: int = 8, dims: int = 3) -> DataFrame:
+    """``(id, cid)``: groups of neighbours among each ``block`` vertices that follow one another along the Morton curve.
+
+    One order by ranges stands for several rounds of matching.  A vertex without an edge into its block stays alone, as do
+    those of a block that are above ``cap (vwgt)`` together, and vertices without a point.
+    """
+    from meshloom.operators.geometry import morton_order
 
-    near = part_geom(points, max(8, options.nparts), dims).select(F.col("id").alias("src"), F.col("pid").alias("_near"))
-    dealt = edges.join(near, "src", "left").repartition("_near").drop("_near")
-    return partition(dealt, options, points.select("id"))
+    dealt = materialize(morton_order(points, dims).select("id", F.floor(F.col("_rank") / block).cast("long").alias("_block")), "curve")
+    end = lambda c: dealt.select(F.col("id").alias(c), F.col("_block").alias(f"_{c}"))
+    near = edges.where("src <> dst").join(end("src"), "src").join(end("dst"), "dst").where("_src = _dst").select(F.col("src").alias("id"), F.col("_src").alias("_block")).distinct()
+    light = near.join(weights.select("id", "vwgt"), "id").groupBy("_block").agg(F.sum("vwgt").alias("w"), F.min("id").alias("cid")).where(F.col("w") <= cap)
+    grouped = near.join(light, "_block").select("id", "cid")
+    return materialize(weights.select("id").join(grouped, "id", "left").select("id", F.coalesce("cid", "id").alias("cid")), "cmap")
+
+
+def geometric_kway(edges: DataFrame, points: DataFrame, options: PartitionOptions, dims: int = 3, vertices: DataFrame | None = None) -> DataFrame:
+    """``(id, pid)``: as :func:`partition`, where the first level of coarsening groups vertices that are near on a space-filling curve.
+
+    ``points`` are ``(id, xyz)``; a vertex without one is matched on later levels.
+    """
+    return partition(edges, options, vertices, first=lambda e, w, cap: curve_blocks(e, points, w, cap, dims=dims))

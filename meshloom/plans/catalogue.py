@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.plans import cluster_queries, graph_queries, matrix_queries, other_queries, partition_queries  # noqa: F401  they register
+from meshloom.plans import cluster_queries, graph_queries, matrix_queries, other_queries, partition_queries, source_queries  # noqa: F401  they register
 from meshloom.plans.registry import ORACLES, QUERIES, Query
 
 

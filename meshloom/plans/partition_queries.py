@@ -9,6 +9,7 @@ from meshloom.operators import dissection, graphs, metrics, partitioning, repart
 from meshloom.plans import fixtures as fx
 from meshloom.plans.options import OrderOptions, PartitionOptions
 from meshloom.plans.registry import register
+from meshloom.plans.scratch import materialize
 
 D = f"WITH {fx.DUAL}, v AS (SELECT DISTINCT src AS id FROM e)"
 INVARIANTS = "count(*) AS n_vertices, CAST(8 AS BIGINT) AS n_parts, true AS in_range, true AS once, true AS balanced, true AS beats_hash"
@@ -38,7 +39,17 @@ def partition_kway(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_kway_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distributed way, which larger graphs take."""
     e = fx.kept_dual(spark, sf_dir)
-    return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, kernel_size=6000)), 8, 1.10)
+    return _invariants(e, partitioning.partition(e, PartitionOptions(nparts=8, kernel_size=2500)), 8, 1.03)
+
+
+@register("partition_geometric", f"{D} SELECT {INVARIANTS} FROM v")
+def partition_geometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributed way with a first level of groups along a curve through the orders' least and greatest parts."""
+    e = fx.kept_dual(spark, sf_dir)
+    ends = [f("node").cast("double") for f in (F.min, F.max)]
+    points = fx.incidence(spark, sf_dir).groupBy(F.col("elem").alias("id")).agg(F.array(*ends).alias("xyz"))
+    points = points.join(graphs.vertices_of(e), "id", "left_semi")
+    return _invariants(e, partitioning.geometric_kway(e, points, PartitionOptions(nparts=8, kernel_size=2500), dims=2), 8, 1.03)
 
 
 @register("partition_rb", f"{D} SELECT {INVARIANTS} FROM v")
@@ -67,6 +78,25 @@ def mesh_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "induced_elements",
+    f"""WITH {fx.INC}, a AS (SELECT elem, count(DISTINCT node % 8) AS parts, min(node % 8) AS pid FROM inc GROUP BY 1)
+    SELECT count(*) AS n_rows, count(*) FILTER (parts = 1) AS sure, CAST(0 AS BIGINT) AS sure_elsewhere, true AS within_bound FROM a""",
+)
+def induced_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements take the parts of their nodes, within the room of the parts."""
+    inc = materialize(fx.incidence(spark, sf_dir), "incidence")
+    nodes = inc.select(F.col("node").alias("id")).distinct().withColumn("pid", fx.part_of("id", 8))
+    found = partitioning.induce(inc.select(F.col("elem").alias("id"), F.col("node").alias("via")), nodes, 8)
+    sure = inc.groupBy(F.col("elem").alias("id")).agg(F.count_distinct(fx.part_of("node", 8)).alias("parts"), F.min(fx.part_of("node", 8)).alias("only"))
+    load = found.groupBy("pid").agg(F.count("*").alias("n")).agg((8 * F.max("n") <= 1.03 * F.sum("n") + 8).alias("within_bound"))
+    facts = found.join(sure, "id").agg(
+        F.count("*").alias("n_rows"), F.sum((F.col("parts") == 1).cast("long")).alias("sure"),
+        F.sum(((F.col("parts") == 1) & (F.col("pid") != F.col("only"))).cast("long")).alias("sure_elsewhere"),
+    )
+    return facts.join(F.broadcast(load))  # one row
+
+
 @register("node_nd", f"{D} SELECT count(*) AS n_vertices, true AS permutation FROM v")
 def node_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = partitioning.nested_dissection(fx.kept_dual(spark, sf_dir), OrderOptions())

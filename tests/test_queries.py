@@ -10,7 +10,6 @@ from meshloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"partition_kway_distributed", "adaptive_repart"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def rows_of(df):
     return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, duck, name):
     got = catalogue.queries()[name](spark, SF).toPandas()
     want = duck.execute(catalogue.oracle_sql()[name]).df()
