@@ -312,7 +312,7 @@ def less_connected(edges: DataFrame, vertices: DataFrame, part: DataFrame, optio
             link[r["ps"], r["pd"]] = r["wgt"]
         degree = (link > 0).sum(1)
         if degree.max(initial=0) < 1.4 * max(degree.mean(), 1e-9):
-            break
+            return part
         a = int(np.argmax(degree))
         b = min(np.flatnonzero(link[a]).tolist(), key=lambda p: (link[a, p], p))
         allowed = [p for p in np.flatnonzero(link[b]).tolist() if p not in (a, b)]
@@ -328,6 +328,7 @@ def less_connected(edges: DataFrame, vertices: DataFrame, part: DataFrame, optio
         if ((load > most) & (load > before)).any():
             break
         part = new
+    warnings.warn("a part still has 1.4 times the mean number of neighbour parts or more", RuntimeWarning, stacklevel=2)
     return part
 
 

@@ -98,3 +98,14 @@ def test_stream_state_survives_a_restart(spark, tmp_path):
     assert again.edges.count() == 2 * len(pairs) + 2 and again.edges.agg(F.max("wgt")).first()[0] == 3
     written = spark.read.parquet(f"{path}/edges/batch=3").count()
     assert written == 2
+
+
+def test_links_between_parts_are_given_up_or_it_is_said(spark):
+    """Part 0 holds the hub of four chains, and chain 1 has one weak link to it; without room it stays and a warning says so."""
+    pairs = [(0, 10), (10, 11), (0, 20), (20, 21), (0, 30), (30, 31), (0, 40), (40, 41), (11, 21)]
+    edges = spark.createDataFrame(both(pairs), EDGES)
+    part = spark.createDataFrame([(v, v // 10) for v in (0, 10, 11, 20, 21, 30, 31, 40, 41)], "id long, pid int")
+    vertices = partitioning.with_weights(edges, None)
+    with pytest.warns(RuntimeWarning, match="neighbour parts"):
+        out = partitioning.less_connected(edges, vertices, part, PartitionOptions(nparts=5).checked(1))
+    assert sorted(r["id"] for r in out.collect()) == [0, 10, 11, 20, 21, 30, 31, 40, 41]
