@@ -456,6 +456,46 @@ def test_hot_nodes_are_split(spark, monkeypatch):
     assert found == {(a, b): 1 + (a % 3 == b % 3) for a in range(19) for b in range(19) if a != b}
 
 
+def shared_nodes(inc, ncommon, relaxed):
+    """The dual graph by brute force."""
+    nodes = {}
+    for e, n in set(inc):
+        nodes.setdefault(e, set()).add(n)
+    need = {e: min(ncommon, len(x) - 1) if relaxed else ncommon for e, x in nodes.items()}
+    found = {(e, e): 0 for e, x in nodes.items() if relaxed and len(x) == 1}
+    return found | {(a, b): len(x & y) for a, x in nodes.items() for b, y in nodes.items() if a != b and x & y and len(x & y) >= min(need[a], need[b])}
+
+
+@pytest.mark.parametrize("ncommon", [1, 2, 3])
+@pytest.mark.parametrize("relaxed", [False, True])
+def test_dual_graph_of_small_and_wide_elements(spark, monkeypatch, ncommon, relaxed):
+    """Elements of one to nine nodes, those above four by the way of wide ones; repeated rows count once."""
+    monkeypatch.setattr(mesh, "WIDE", 4)
+    monkeypatch.setattr(mesh, "HOT", 6)
+    rng = np.random.default_rng(7)
+    inc = [(e, int(n)) for e in range(30) for n in rng.choice(14, 1 + e % 9, replace=False)]
+    got = mesh.dual_graph(spark.createDataFrame([*inc, *inc[:9]], "elem long, node long"), ncommon, relaxed).collect()
+    assert len(got) == len({(r["src"], r["dst"]) for r in got})
+    assert {(r["src"], r["dst"]): r["wgt"] for r in got} == shared_nodes(inc, ncommon, relaxed)
+
+
+def test_elements_that_share_one_node_do_not_meet(spark, monkeypatch):
+    """A node of 300 elements makes 44,850 pairs; where two shared nodes are asked for, none of them is formed."""
+    made = []
+    counted = mesh._counted
+    monkeypatch.setattr(mesh, "_counted", lambda pairs: made.append(pairs.count()) or counted(pairs))
+    inc = [(e, n) for e in range(300) for n in (0, e + 1)] + [(300, 0), (300, 1), (300, 999)]
+    found = {(r["src"], r["dst"]): r["wgt"] for r in mesh.dual_graph(spark.createDataFrame(inc, "elem long, node long"), 2, relaxed=False).collect()}
+    assert found == {(0, 300): 2, (300, 0): 2} and sum(made) == 1
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "MADE", 50)
+    inc = spark.createDataFrame([(e, e % 4) for e in range(40)], "elem long, node long")
+    pairs = mesh._pairs(inc, "node", "elem")
+    assert pairs.count() == 4 * 45 and f"{4 * 100 // 50 + 1}), REPARTITION_BY_NUM" in pairs._jdf.queryExecution().toString()
+
+
 def test_scratch_tables_go(spark):
     from meshloom.plans import scratch
 
