@@ -109,3 +109,12 @@ def test_links_between_parts_are_given_up_or_it_is_said(spark):
     with pytest.warns(RuntimeWarning, match="neighbour parts"):
         out = partitioning.less_connected(edges, vertices, part, PartitionOptions(nparts=5).checked(1))
     assert sorted(r["id"] for r in out.collect()) == [0, 10, 11, 20, 21, 30, 31, 40, 41]
+
+
+def test_a_round_writes_its_links_once(spark, monkeypatch):
+    written, kept = [], partitioning.materialize
+    monkeypatch.setattr(partitioning, "materialize", lambda df, name="table", **o: written.append(name) or kept(df, name, **o))
+    edges = spark.createDataFrame(both([(0, 1), (1, 2), (2, 3)]), EDGES)
+    part = spark.createDataFrame([(v, v % 2) for v in range(4)], "id long, pid int")
+    moved = partitioning.refine_round(edges, partitioning.with_weights(edges, None), part, PartitionOptions(nparts=2).checked(1), 0)
+    assert moved.count() == 4 and written.count("links") == 1
