@@ -496,6 +496,27 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert pairs.count() == 4 * 45 and f"{4 * 100 // 50 + 1}), REPARTITION_BY_NUM" in pairs._jdf.queryExecution().toString()
 
 
+def test_incidences_and_twos_are_dealt_by_their_number(spark, monkeypatch):
+    """No map over a whole split or a coalesced partition holds incidences or twos; files are small, so that a split makes few twos."""
+    plans, tables = {}, {}
+    materialize = mesh.materialize
+
+    def recorded(df, name="table", **options):
+        plans[name] = df._jdf.queryExecution().toString()
+        tables[name] = materialize(df, name, **options)
+        return tables[name]
+
+    monkeypatch.setattr(mesh, "materialize", recorded)
+    monkeypatch.setattr(mesh, "SORTED", 50)
+    monkeypatch.setattr(mesh, "FILED", 10)
+    inc = [(e, n) for e in range(60) for n in (e, e + 1, e + 2)]
+    found = {(r["src"], r["dst"]): r["wgt"] for r in mesh.dual_graph(spark.createDataFrame([*inc, *inc, (None, 1), (7, None)], "elem long, node long"), 2, relaxed=False).collect()}
+    assert found == {(a, b): 2 for a in range(60) for b in (a - 1, a + 1) if 0 <= b < 60}
+    for name, n in (("incidence", 2 * len(inc) + 2), ("twos", len(inc))):
+        assert f"{n // 50 + 1}), REPARTITION_BY_NUM" in plans[name] and "HashAggregate" not in plans[name]
+    assert len(tables["incidence"].inputFiles()) >= len(inc) // 10
+
+
 def test_scratch_tables_go(spark):
     from meshloom.plans import scratch
 
