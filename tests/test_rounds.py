@@ -118,3 +118,60 @@ def test_a_round_writes_its_links_once(spark, monkeypatch):
     part = spark.createDataFrame([(v, v % 2) for v in range(4)], "id long, pid int")
     moved = partitioning.refine_round(edges, partitioning.with_weights(edges, None), part, PartitionOptions(nparts=2).checked(1), 0)
     assert moved.count() == 4 and written.count("links") == 1
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    """260 vertices in a ring, each with an edge to the 20 that follow."""
+    return spark.createDataFrame(both([(v, (v + d) % 260) for v in range(260) for d in range(1, 21)]), EDGES)
+
+
+def test_the_coarsest_graph_is_within_the_kernel_s_size(dense, monkeypatch):
+    """A graph of few vertices may have too many edges for the kernel, and none of its vertices is lost on the way."""
+    sizes, run = [], partitioning._in_kernel
+    monkeypatch.setattr(partitioning, "_in_kernel", lambda e, v, *a: sizes.append(e.count() + v.count()) or run(e, v, *a))
+    part = partitioning.partition(dense, PartitionOptions(nparts=2, kernel_size=4000))
+    n = sorted(r["count"] for r in part.groupBy("pid").count().collect())
+    assert sizes[0] <= 4000 and sum(n) == 260 and len(n) == 2 and n[1] <= 1.03 * 130 + 1 and cut(dense, part) < 1000
+
+
+def test_groups_of_blocks(spark, dense):
+    """Groups hold neighbours of one block, within the cap; a block has 24 vertices and their 960 edges; weights count."""
+    loads = graphs.vertices_of(dense).withColumn("vwgt", F.when(F.col("id") == 5, 9).otherwise(1).cast("long"))
+    cmap = partitioning.block_groups(dense, loads, 10.0, 260, 24 * 41)
+    rows = {r["id"]: r["cid"] for r in cmap.collect()}
+    members = {c: [v for v in rows if rows[v] == c] for c in set(rows.values())}
+    assert len(rows) == 260 and len(members) <= 260 // 4
+    assert all(min(m) == c and len({v // 24 for v in m}) == 1 and sum(9 if v == 5 else 1 for v in m) <= 10 for c, m in members.items())
+    assert partitioning.block_groups(dense, loads, 10.0, 260, 41) is None  # blocks of one vertex hold no edges
+
+
+def test_groups_leave_vertices_without_edges_alone(spark):
+    """Vertices 4 and 9 have edges to other blocks only; the kernel alone would pair them, though nothing joins them."""
+    pairs = [(a, b) for block in (0, 5) for a in range(block, block + 4) for b in range(a + 1, block + 4)] + [(4, 9)]
+    edges = spark.createDataFrame(both(pairs), EDGES)
+    loads = graphs.vertices_of(edges).withColumn("vwgt", F.lit(1).cast("long"))
+    rows = {r["id"]: r["cid"] for r in partitioning.block_groups(edges, loads, 4.0, 10, 17).collect()}
+    assert rows[4] == 4 and rows[9] == 9 and len(rows) == 10 and len(set(rows.values())) < 8
+
+
+def test_running_sums_of_few_rows_are_those_of_many(spark):
+    rows = spark.createDataFrame([(i, i % 3, (i * 37) % 11) for i in range(90)], "id long, k int, v long")
+    found = [sorted(map(tuple, ordering.sums_within(rows, ["k"], {"a": F.col("v")}, [F.desc("v"), F.col("id")], few).collect())) for few in (False, True)]
+    assert found[0] == found[1]
+
+
+def test_refinement_ends_where_the_cut_has_settled(spark, grid, monkeypatch):
+    """Rounds go on while the cut falls, and while a part is above its bound."""
+    cuts = iter([(100, True), (100, False), (100, False), (99, False), (80, False), (80, False), (80, False), (80, False)])
+    asked = []
+
+    def step(edges, vertices, part, options, turn, seen):
+        seen.append(next(cuts))
+        asked.append(turn)
+        return part.select("id", "pid")
+
+    monkeypatch.setattr(partitioning, "refine_round", step)
+    part = graphs.vertices_of(grid).select("id", F.lit(0).alias("pid"))
+    partitioning._refined(grid, partitioning.with_weights(grid, None), part, PartitionOptions(nparts=2))
+    assert asked == [0, 1, 2, 3, 4, 5, 6]
